@@ -15,8 +15,8 @@ U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 _MULT = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1 << 20
-_SEP = np.zeros(256, bool)
-_SEP[[0x20, *range(0x09, 0x0E)]] = True
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _TAB = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -38,41 +38,46 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
         return h ^ (h >> U64(32))
 
 
+def span_hashes(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the ordered spans raw[start:end], by prefix sums."""
+    n, out, i = len(starts), np.empty(len(starts), U64), 0
+    up, down = _powers(_CHUNK + 1)
+    with np.errstate(over="ignore"):
+        while i < n:
+            s = int(starts[i])
+            j = int(np.searchsorted(ends, s + _CHUNK, "right"))
+            if j <= i:  # a span longer than a chunk
+                out[i] = xxhash.xxh64_intdigest(raw[s : int(ends[i])])
+                i += 1
+                continue
+            e = int(ends[j - 1])
+            sums = np.zeros(e - s + 1, U64)
+            np.cumsum(_TAB[data[s:e]] * up[: e - s], out=sums[1:])
+            a, b = starts[i:j] - s, ends[i:j] - s
+            out[i:j] = mix((sums[b] - sums[a]) * down[a])
+            i = j
+    return out
+
+
+def texts_words(texts: list[bytes | None]) -> tuple:
+    """One buffer with a newline after each text; where texts start; where words start and end; each text's first and end word."""
+    parts = [t or b"" for t in texts]
+    raw = b"\n".join([*parts, b""])
+    data = np.frombuffer(raw, np.uint8)
+    at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)])
+    sep = SEPARATOR[data]
+    before = np.concatenate([[True], sep[:-1]]) if len(sep) else sep
+    starts, ends = np.flatnonzero(before & ~sep), np.flatnonzero(sep & ~before)
+    bounds = np.searchsorted(starts, at)
+    return raw, data, at, starts, ends, bounds[:-1], bounds[1:]
+
+
 class Words:
     """The words of a batch: starts, ends (byte positions), hash; lo[d]:hi[d] are document d's words."""
 
     def __init__(self, texts: list[bytes | None]):
-        parts = [t or b"" for t in texts]
-        self.raw = b"\n".join([*parts, b""])
-        self.data = np.frombuffer(self.raw, np.uint8)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        self.at = np.concatenate([[0], np.cumsum(size)])
-        sep = _SEP[self.data]
-        before = np.concatenate([[True], sep[:-1]]) if len(sep) else sep
-        self.starts = np.flatnonzero(before & ~sep)
-        self.ends = np.flatnonzero(sep & ~before)
-        bounds = np.searchsorted(self.starts, self.at)
-        self.lo, self.hi = bounds[:-1], bounds[1:]
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        n, out, i = len(self.starts), np.empty(len(self.starts), U64), 0
-        up, down = _powers(_CHUNK + 1)
-        with np.errstate(over="ignore"):
-            while i < n:
-                s = int(self.starts[i])
-                j = int(np.searchsorted(self.ends, s + _CHUNK, "right"))
-                if j <= i:  # a word longer than a chunk
-                    out[i] = xxhash.xxh64_intdigest(self.raw[s : int(self.ends[i])])
-                    i += 1
-                    continue
-                e = int(self.ends[j - 1])
-                sums = np.zeros(e - s + 1, U64)
-                np.cumsum(_TAB[self.data[s:e]] * up[: e - s], out=sums[1:])
-                a, b = self.starts[i:j] - s, self.ends[i:j] - s
-                out[i:j] = mix((sums[b] - sums[a]) * down[a])
-                i = j
-        return out
+        self.raw, self.data, self.at, self.starts, self.ends, self.lo, self.hi = texts_words(texts)
+        self.hash = span_hashes(self.raw, self.data, self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:
@@ -128,3 +133,19 @@ def texts_of(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def count_words(docs, text: str) -> int:
+    """The words of all texts."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def count(batches):
+        for batch in batches:
+            n = 0
+            for t in batch.column(0).cast(pa.large_binary()).to_pylist():
+                sep = SEPARATOR[np.frombuffer(t or b"", np.uint8)]
+                n += int((~sep & np.concatenate([[True], sep[:-1]])).sum()) if len(sep) else 0
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return docs.select(F.col(text)).mapInArrow(count, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
