@@ -59,13 +59,13 @@ def span_hashes(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return out
 
 
-def texts_words(texts: list[bytes | None]) -> tuple:
+def texts_words(texts: list[bytes | None], separator: np.ndarray = SEPARATOR) -> tuple:
     """One buffer with a newline after each text; where texts start; where words start and end; each text's first and end word."""
     parts = [t or b"" for t in texts]
     raw = b"\n".join([*parts, b""])
     data = np.frombuffer(raw, np.uint8)
     at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)])
-    sep = SEPARATOR[data]
+    sep = separator[data]
     before = np.concatenate([[True], sep[:-1]]) if len(sep) else sep
     starts, ends = np.flatnonzero(before & ~sep), np.flatnonzero(sep & ~before)
     bounds = np.searchsorted(starts, at)

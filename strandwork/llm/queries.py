@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import backoff, fingerprint, html_extract, mixing, pack, substring, warc
+from strandwork.llm import backoff, fingerprint, html_extract, mixing, pack, substring, toxicity, warc
 from strandwork.llm._store import cut
 
 
@@ -25,6 +25,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.round_trip(_table(spark, sf_dir, "pages"))
     digest = F.when(F.col("kind") == "response", F.sha2("payload", 256)).otherwise(F.col("digest"))
@@ -50,6 +56,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_html_extraction": op3_html_extraction,
     "op4_fingerprints": op4_fingerprints,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
