@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm import backoff, fingerprint, html_extract, mixing, pack, substring, toxicity, warc
+from strandwork.llm import backoff, fingerprint, html_extract, mixing, nn_descent, pack, substring, toxicity, warc
 from strandwork.llm._store import cut
 
 
@@ -37,6 +37,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", digest.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return backoff.score(docs).drop("text")
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_substring_dedup": op10_substring_dedup,
