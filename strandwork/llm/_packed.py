@@ -3,6 +3,9 @@
 Documents are dealt to batches of a few MB. A batch sends its distinct keys, sorted, as one binary row for each
 hash range; a range adds up the counts of all batches and answers each batch with the totals in the same order,
 so neither document ids nor positions travel. A key that stands in a third of all rows arrives once per batch.
+
+The hash range is part of a key, so 48 further bits travel, and with a check 80. The ranges grow in number with the
+corpus, so a range holds some million keys and its keys meet by chance at a rate that does not grow.
 """
 
 from __future__ import annotations
@@ -47,34 +50,56 @@ def ranges(k: np.ndarray, parts: int) -> np.ndarray:
     return ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
+def _low(k: np.ndarray) -> bytes:
+    """The low 48 bits of each key."""
+    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _key(low: bytes) -> np.ndarray:
+    out = np.zeros((len(low) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _small(n: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and more follow with four bytes, in order."""
+    n = np.minimum(n, 0xFFFFFFFF)
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<u4").tobytes()
+
+
+def _large(data: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u4", offset=size)
+    return out
+
+
 def blobs(b: int, d: Distinct, parts: int) -> pa.Table:
     """One row for each hash range that the batch has keys in."""
     p = ranges(d.k, parts)
     cuts = np.flatnonzero(np.diff(p, prepend=-1)) if len(p) else np.empty(0, int)
     ends = np.append(cuts[1:], len(p))
-    n = np.minimum(d.count, 0xFFFFFFFF).astype("<u4")
-    rows = [(int(p[s]), b, d.k[s:e].astype("<u8").tobytes(), None if d.c is None else d.c[s:e].astype("<u4").tobytes(), n[s:e].tobytes()) for s, e in zip(cuts, ends)]
+    rows = [(int(p[s]), b, _low(d.k[s:e]), None if d.c is None else d.c[s:e].astype("<u4").tobytes(), _small(d.count[s:e])) for s, e in zip(cuts, ends)]
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _BLOBS)], schema=_BLOBS) if rows else _BLOBS.empty_table()
 
 
-def totals(replies: pa.Table, size: int) -> np.ndarray:
-    """The totals of a batch's distinct keys, in their order."""
+def totals(replies: pa.Table, k: np.ndarray, parts: int) -> np.ndarray:
+    """The totals of a batch's distinct keys k, in their order."""
+    size = np.bincount(ranges(k, parts), minlength=parts) if len(k) else np.zeros(parts, np.int64)
     rows = sorted(zip(replies.column("p").to_pylist(), replies.column("n").to_pylist()))
-    out = np.frombuffer(b"".join(x for _, x in rows), "<u4")
-    if len(out) != size:
-        raise ValueError(f"{len(out)} totals for {size} keys: the batch was not read back as it was sent")
-    return out
+    if [p for p, _ in rows] != np.flatnonzero(size).tolist():
+        raise ValueError("the batch was not read back as it was sent")
+    return np.concatenate([_large(x, int(size[p])) for p, x in rows]) if rows else np.empty(0, np.int64)
 
 
 def _tally(table):
     k, c, n = (table.column(x).to_pylist() for x in ("k", "c", "n"))
-    key = np.frombuffer(b"".join(k), "<u8")
+    key = _key(b"".join(k))
     check = None if c[0] is None else np.frombuffer(b"".join(c), "<u4")
     d = Distinct(key, check)
-    add = np.bincount(d.of, np.frombuffer(b"".join(n), "<u4"), len(d.k))
-    each = np.minimum(add, 0xFFFFFFFF).astype("<u4")[d.of]
-    at = np.cumsum([0, *(len(x) // 8 for x in k)])
-    return pa.Table.from_arrays([table.column("b").combine_chunks().cast(pa.int32()), table.column("p").combine_chunks().cast(pa.int32()), pa.array([each[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())], schema=_REPLIES)
+    size = [len(x) // 6 for x in k]
+    each = np.bincount(d.of, np.concatenate([_large(x, m) for x, m in zip(n, size)]), len(d.k)).astype(np.int64)[d.of]
+    at = np.cumsum([0, *size])
+    return pa.Table.from_arrays([table.column("b").combine_chunks().cast(pa.int32()), table.column("p").combine_chunks().cast(pa.int32()), pa.array([_small(each[s:e]) for s, e in zip(at, at[1:])], pa.binary())], schema=_REPLIES)
 
 
 def tally(sent: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from strandwork.llm._packed import BLOBS, Distinct, blobs, dealt, tally, totals
 from strandwork.llm._store import slices
 from strandwork.llm._text import U64, Words, count_words, grams, texts_of
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 RESULTS = ("n_words", "log10_score", "mean_log10")
 
 
@@ -50,12 +50,12 @@ def _level(w: Words, order: int, below: np.ndarray | None) -> _Others:
     return _Others(w, grams(w.hash, order, 0x51ED27 * order)[at], at)
 
 
-def _known(w: Words, replies: pa.Table, upto: int) -> list[np.ndarray]:
+def _known(w: Words, replies: pa.Table, upto: int, parts: int) -> list[np.ndarray]:
     """Counts by the other documents of the n-grams that start at each word, for orders 1 to upto."""
     kind, out = np.array(replies.column("kind").to_pylist(), np.int64), []
     for order in range(1, upto + 1):
         level = _level(w, order, out[-1] if order > 2 else None)
-        out.append(level.counts(totals(replies.filter(pa.array(kind == order)), len(level.distinct.k))))
+        out.append(level.counts(totals(replies.filter(pa.array(kind == order)), level.distinct.k, parts)))
     return out
 
 
@@ -92,7 +92,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
     def longer(order):
         def send(key, left, right):
             w = Words(texts_of(left.column(text)))
-            return blobs(key[0].as_py(), _level(w, order, _known(w, right, order - 1)[-1]).distinct, n)
+            return blobs(key[0].as_py(), _level(w, order, _known(w, right, order - 1, n)[-1]).distinct, n)
 
         return send
 
@@ -107,7 +107,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
 
     def finish(key, left, right):
         w = Words(texts_of(left.column(text)))
-        each = _scores(w, _known(w, right, order), words, alpha)
+        each = _scores(w, _known(w, right, order, n), words, alpha)
         sums = np.concatenate([[0.0], np.cumsum(each)])
         doc = np.array([float(each[a:b].sum()) for a, b in zip(w.lo, w.hi)]) if len(w.lo) else sums[:0]
         mean = [s / c if c else None for s, c in zip(doc.tolist(), w.counts.tolist())]

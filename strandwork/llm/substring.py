@@ -3,7 +3,7 @@
 Seeds are winnowed anchors: of the hashes of `anchor` consecutive words, the smallest in every run of
 `length - anchor + 1`, so each window of `length` words holds one, picked from the window alone. Anchors are
 joined over all documents; an anchor that occurs again is extended both ways to each window that it stands for, and
-these are joined by a 96-bit hash of their whole word sequence. Windows that overlap make up the maximal repeats.
+these are joined by an 80-bit hash of their whole word sequence. Windows that overlap make up the maximal repeats.
 
 Defined cases: null or empty text and texts under `length` words lose nothing; a repeat within one document counts;
 repeated rows lose each window that they share; extra columns pass through, and a column named like a result is
@@ -83,7 +83,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, anchor
         w = Words(texts_of(left.column(text)))
         h, starts, own = anchors(w, length, anchor)
         d = Distinct(h)
-        return blobs(key[0].as_py(), _windows(w, length, starts, own, d, totals(right, len(d.k)) > 1)[1], n)
+        return blobs(key[0].as_py(), _windows(w, length, starts, own, d, totals(right, d.k, n) > 1)[1], n)
 
     schema = docs.select("*", F.lit("").alias("kept_text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
     arrow, kept_columns = to_arrow_schema(schema), docs.columns
@@ -92,8 +92,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, anchor
         w = Words(texts_of(left.column(text)))
         h, starts, own = anchors(w, length, anchor)
         d, kind = Distinct(h), np.array(right.column("kind").to_pylist(), bool)
-        starts, windows = _windows(w, length, starts, own, d, totals(right.filter(pa.array(~kind)), len(d.k)) > 1)
-        again = totals(right.filter(pa.array(kind)), len(windows.k))[windows.of] > 1
+        starts, windows = _windows(w, length, starts, own, d, totals(right.filter(pa.array(~kind)), d.k, n) > 1)
+        again = totals(right.filter(pa.array(kind)), windows.k, n)[windows.of] > 1
         kept, lost = _kept(w, _covered(w, starts[again], length))
         columns = [left.column(c) for c in kept_columns]
         return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(lost, pa.int64())], names=arrow.names)
