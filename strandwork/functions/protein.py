@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandwork.functions import tables as T
-from strandwork.functions.sequence import at, count_of, kmers, literal_map, starts
+from strandwork.functions.sequence import count_of, kmers, let, literal_map
 
 
 def total(s: Column, values: dict[str, float]) -> Column:
@@ -23,24 +23,30 @@ def molecular_weight(s: Column) -> Column:
     return total(s, T.MASS) - (F.length(s) - 1) * T.WATER
 
 
-def charge_at(s: Column, ph: Column | float) -> Column:
-    ph = F.lit(ph) if isinstance(ph, float) else ph
+def _charge(count, ph: Column) -> Column:
     part = lambda x: 1.0 / (1.0 + F.pow(F.lit(10.0), x))
     out = part(ph - T.PKA_N_TERM) - part(T.PKA_C_TERM - ph)
     for aa, pk in T.PKA.items():
-        out = out + (-part(pk - ph) if aa in "DECY" else part(ph - pk)) * count_of(s, aa)
+        out = out + (-part(pk - ph) if aa in "DECY" else part(ph - pk)) * count(aa)
     return out
 
 
+def charge_at(s: Column, ph: Column | float) -> Column:
+    return _charge(lambda aa: count_of(s, aa), F.lit(ph) if isinstance(ph, float) else ph)
+
+
 def isoelectric_point(s: Column, rounds: int = 100) -> Column:
     """Bisection of the charge over [0, 14], in one expression over the residue counts."""
     pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
 
-    def halve(x: Column, _: Column) -> Column:
-        mid = (x["lo"] + x["hi"]) / 2.0
-        return F.when(charge_at(s, mid) > 0, pair(mid, x["hi"])).otherwise(pair(x["lo"], mid))
+    def search(n: Column) -> Column:
+        def halve(x: Column, _: Column) -> Column:
+            mid = (x["lo"] + x["hi"]) / 2.0
+            return F.when(_charge(lambda aa: n[aa], mid) > 0, pair(mid, x["hi"])).otherwise(pair(x["lo"], mid))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pair(F.lit(0.0), F.lit(14.0)), halve, lambda x: (x["lo"] + x["hi"]) / 2.0)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pair(F.lit(0.0), F.lit(14.0)), halve, lambda x: (x["lo"] + x["hi"]) / 2.0)
+
+    return let(F.struct(*(count_of(s, aa).alias(aa) for aa in T.PKA)), search)
 
 
 def gravy(s: Column) -> Column:
@@ -83,40 +89,59 @@ def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(a), F.lit(1))
 
 
-def interface_residues(s: Column, half: int = 3, least: float = 1.05) -> Column:
+def interface_residues(s: Column, half: int = 3) -> Column:
     """Structs of pos and score: the mean interface propensity of the window around each residue, cut at the ends."""
-    v = residue_values(s, T.INTERFACE, 1.0)
-    return F.transform(v, lambda _, i: F.struct(i.cast("long").alias("pos"), _mean(F.slice(v, F.greatest(i - half, F.lit(0)) + 1, F.least(i + half, F.size(v) - 1) - F.greatest(i - half, F.lit(0)) + 1)).alias("score")))
+
+    def around(v: Column) -> Column:
+        lo = lambda i: F.greatest(i - half, F.lit(0))
+        return F.transform(v, lambda _, i: F.struct(i.cast("long").alias("pos"), _mean(F.slice(v, lo(i) + 1, F.least(i + half, F.size(v) - 1) - lo(i) + 1)).alias("score")))
+
+    return let(residue_values(s, T.INTERFACE, 1.0), around)
 
 
 def autocorrelation(s: Column, values: dict[str, float], lag: int, geary: bool) -> Column:
     """Geary or Moran autocorrelation of a property at a lag; null where the sequence is too short."""
-    v = residue_values(s, values)
-    n, m = F.size(v), _mean(v)
-    var = _mean(F.transform(v, lambda x: F.pow(x - m, F.lit(2.0))))
-    pairs = F.zip_with(F.slice(v, F.lit(1), F.greatest(n - lag, F.lit(0))), F.slice(v, F.lit(lag + 1), F.greatest(n - lag, F.lit(0))), lambda a, b: F.pow(a - b, F.lit(2.0)) if geary else (a - m) * (b - m))
-    num = F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y)
-    raw = F.try_divide(n * num, 2.0 * (n - lag) * (n - 1) * var) if geary else F.try_divide(F.try_divide(num, n - lag), var)
-    return F.when(n > lag, F.coalesce(raw, F.lit(0.0)))
+
+    def of(x: Column) -> Column:
+        v, m = x["v"], x["m"]
+        n = F.size(v)
+        var = _mean(F.transform(v, lambda y: F.pow(y - m, F.lit(2.0))))
+        pairs = F.zip_with(F.slice(v, F.lit(1), F.greatest(n - lag, F.lit(0))), F.slice(v, F.lit(lag + 1), F.greatest(n - lag, F.lit(0))), lambda a, b: F.pow(a - b, F.lit(2.0)) if geary else (a - m) * (b - m))
+        num = F.aggregate(pairs, F.lit(0.0), lambda a, y: a + y)
+        raw = F.try_divide(n * num, 2.0 * (n - lag) * (n - 1) * var) if geary else F.try_divide(F.try_divide(num, n - lag), var)
+        return F.when(n > lag, F.coalesce(raw, F.lit(0.0)))
+
+    return let(let(residue_values(s, values), lambda v: F.struct(v.alias("v"), _mean(v).alias("m"))), of)
 
 
 def ctd(s: Column) -> Column:
     """Composition, transition and distribution descriptors as a map of 95 features."""
-    out: list[Column] = []
-    for prop, classes in T.CTD.items():
-        code = F.translate(s, "".join(classes), "".join(str(i + 1) * len(c) for i, c in enumerate(classes)))
-        code = F.regexp_replace(code, "[^123]", "")
-        n = F.length(code)
-        for k in "123":
-            out += [F.lit(f"{prop}_C{k}"), F.coalesce(F.try_divide(count_of(code, k).cast("double"), n), F.lit(0.0))]
-        changes = F.size(F.filter(starts(code, 2), lambda i: at(code, i, 1) != at(code, i + 1, 1)))
-        out += [F.lit(f"{prop}_T"), F.coalesce(F.try_divide(changes.cast("double"), n - 1), F.lit(0.0))]
-        for k in "123":
-            where = F.filter(starts(code, 1), lambda i: at(code, i, 1) == k)
-            m = F.size(where)
-            for name, place in (("D1", F.lit(0)), ("D25", F.floor(m / 4)), ("D50", F.floor(m / 2)), ("D75", F.floor(3 * m / 4)), ("D100", m - 1)):
-                out += [F.lit(f"{prop}_{k}_{name}"), F.coalesce(F.try_divide(F.try_element_at(where, (place + 1).cast("int")).cast("double"), n), F.lit(0.0))]
-    return F.create_map(*out)
+
+    def one(prop: str, classes: tuple) -> Column:
+        code = F.regexp_replace(F.translate(s, "".join(classes), "".join(str(i + 1) * len(c) for i, c in enumerate(classes))), "[^123]", "")
+
+        def features(x: Column) -> Column:
+            c, n = x["c"], F.length(x["c"])
+            out = []
+            for k in "123":
+                out.append(F.struct(F.lit(f"{prop}_C{k}").alias("key"), F.coalesce(F.try_divide(count_of(c, k).cast("double"), n), F.lit(0.0)).alias("value")))
+            out.append(F.struct(F.lit(f"{prop}_T").alias("key"), F.coalesce(F.try_divide(x["t"].cast("double"), n - 1), F.lit(0.0)).alias("value")))
+            for k in "123":
+                where, m = x[f"p{k}"], F.size(x[f"p{k}"])
+                for name, place in (("D1", F.lit(0)), ("D25", F.floor(m / 4)), ("D50", F.floor(m / 2)), ("D75", F.floor(3 * m / 4)), ("D100", m - 1)):
+                    out.append(F.struct(F.lit(f"{prop}_{k}_{name}").alias("key"), F.coalesce(F.try_divide(F.get(where, place.cast("int")).cast("double"), n), F.lit(0.0)).alias("value")))
+            return F.array(*out)
+
+        def parts(c: Column) -> Column:
+            turns = F.size(F.filter(kmers(c, 2), lambda p: ~p.isin("11", "22", "33")))
+            letters = F.filter(F.split(c, ""), lambda y: y != "")
+            indexed = F.transform(letters, lambda y, i: F.struct(y.alias("y"), i.alias("i")))
+            places = lambda k: F.transform(F.filter(indexed, lambda e: e["y"] == k), lambda e: e["i"])
+            return F.struct(c.alias("c"), turns.alias("t"), *(places(k).alias(f"p{k}") for k in "123"))
+
+        return let(let(code, parts), features)
+
+    return F.map_from_entries(F.concat(*(one(p, c) for p, c in T.CTD.items())))
 
 
 def profile(s: Column) -> Column:
@@ -144,4 +169,5 @@ def is_rgene(evidence: Column) -> Column:
 
 def metal_binding(s: Column) -> Column:
     """0-based places of H, C, D, E and M."""
-    return F.filter(starts(s, 1), lambda i: at(s, i, 1).isin(*"HCDEM"))
+    indexed = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    return F.transform(F.filter(indexed, lambda e: e["c"].isin(*"HCDEM")), lambda e: e["i"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v))))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count_of(s: Column, letters: str) -> Column:
     """How many of the letters the sequence has."""
     return (F.length(s) - F.length(F.translate(s, letters, ""))).cast("long")
@@ -63,9 +70,17 @@ def at(s: Column, start: Column, width: int | Column) -> Column:
     return F.substring(s, start + 1, F.lit(width) if isinstance(width, int) else width)
 
 
+def windows(s: Column, width: int, step: int = 1) -> Column:
+    """All full windows, step <= width: one pass of the pattern matcher, where substrings would walk from the start each time."""
+    return F.regexp_extract_all(s, F.lit(f"(?=(.{{{width}}})).{{{step}}}"), F.lit(1))
+
+
 def find_motif(s: Column, motif: str) -> Column:
-    """0-based starts of all hits, overlapping ones too."""
-    return F.filter(starts(s, len(motif)), lambda i: at(s, i, len(motif)) == motif.upper())
+    """0-based starts of all hits, overlapping ones too: the text is split before each hit."""
+    m = motif.upper()
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
+    add = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when((acc["at"] > 0) | s.startswith(m), F.concat(acc["hits"], F.array(acc["at"]))).otherwise(acc["hits"]).alias("hits"))
+    return F.aggregate(F.split(s, f"(?={m})"), none, add, lambda acc: acc["hits"])
 
 
 def codons(s: Column, frame: int = 0) -> Column:
@@ -92,44 +107,58 @@ def six_frames(s: Column, code: int = 1) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    return F.transform(starts(s, k), lambda i: at(s, i, k))
+    return windows(s, k)
 
 
 def gc_skew(s: Column, window: int = 100, step: int = 10) -> Column:
     """Structs of pos and skew for all full windows."""
 
-    def one(i: Column) -> Column:
-        w = at(s, i, window)
+    def one(w: Column, i: Column) -> Column:
         g, c = count_of(w, "G"), count_of(w, "C")
-        return F.struct(i.cast("long").alias("pos"), F.when(g + c == 0, F.lit(0.0)).otherwise((g - c) / F.greatest(g + c, F.lit(1))).alias("skew"))
+        return F.struct((i * step).cast("long").alias("pos"), F.when(g + c == 0, F.lit(0.0)).otherwise((g - c) / F.greatest(g + c, F.lit(1))).alias("skew"))
 
-    return F.transform(starts(s, window, step), one)
+    return F.transform(windows(s, window, step), one)
 
 
 def bubble_stability(s: Column, window: int = 10) -> Column:
     """AT fraction of all windows, with their starts."""
-    return F.transform(starts(s, window), lambda i: F.struct(i.cast("long").alias("pos"), (count_of(at(s, i, window), "AT") / float(window)).alias("at")))
+    return F.transform(windows(s, window), lambda w, i: F.struct(i.cast("long").alias("pos"), (count_of(w, "AT") / float(window)).alias("at")))
+
+
+def _complexity(seqs: pd.Series, most: int) -> pd.Series:
+    out = []
+    for x in seqs:
+        code = np.frombuffer((x or "").encode(), np.uint8).astype(np.int64)
+        n, seen, could, window = len(code), 0, 0, np.zeros(len(code), np.int64)
+        for k in range(1, most + 1):
+            if n >= k:  # a k-mer is a number of k bytes; 8 of them fill 64 bits
+                window = window[: n - k + 1] * 256 + code[k - 1 :]
+                seen += len(np.unique(window))
+                could += min(4**k, n - k + 1)
+        out.append(seen / could if could else 0.0)
+    return pd.Series(out)
 
 
 def linguistic_complexity(s: Column, most: int = 8) -> Column:
-    """Distinct k-mers over possible ones, k = 1 to most."""
-    n = F.length(s)
-    seen = sum((F.size(F.array_distinct(kmers(s, k))) for k in range(1, most + 1)), F.lit(0))
-    could = sum((F.greatest(F.least(F.lit(4**k), n - k + 1), F.lit(0)) for k in range(1, most + 1)), F.lit(0))
-    return F.when(could == 0, F.lit(0.0)).otherwise(seen / F.greatest(could, F.lit(1)))
+    """Distinct k-mers over possible ones, k = 1 to most (8 at most). Counting distinct windows is what arrays of strings are slow at."""
+    return F.pandas_udf(lambda x: _complexity(x, most), "double", F.PandasUDFType.SCALAR)(s)
+
+
+def _cuts(s: Column, enzyme: str) -> Column:
+    site, cut = T.ENZYMES[enzyme]
+    return F.transform(find_motif(s, site), lambda i: F.struct(F.lit(enzyme).alias("enzyme"), i.cast("long").alias("pos"), (i + cut).cast("long").alias("cut")))
 
 
 def digest(s: Column) -> Column:
     """Structs of enzyme, pos and cut for all enzymes' sites."""
-    sites = [F.transform(find_motif(s, site), lambda i, n=name, c=cut: F.struct(F.lit(n).alias("enzyme"), i.cast("long").alias("pos"), (i + c).cast("long").alias("cut"))) for name, (site, cut) in T.ENZYMES.items()]
-    return F.concat(*sites)
+    return F.concat(*(F.when(s.contains(T.ENZYMES[e][0]), _cuts(s, e)).otherwise(F.array().cast("array<struct<enzyme:string,pos:bigint,cut:bigint>>")) for e in T.ENZYMES))
 
 
 def virtual_digest(s: Column, enzymes: list[str]) -> Column:
     """Fragments between the sorted cuts of the named enzymes."""
-    cuts = F.concat(*(F.transform(find_motif(s, T.ENZYMES[e][0]), lambda i, c=T.ENZYMES[e][1]: i + c) for e in enzymes))
+    cuts = F.concat(*(F.transform(_cuts(s, e), lambda x: x["cut"].cast("int")) for e in enzymes))
     ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(F.length(s)))))
-    return F.transform(F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))), lambda a, i: at(s, a, F.element_at(ends, i + 2) - a))
+    return let(ends, lambda e: F.transform(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), lambda a, i: at(s, a, F.element_at(e, i + 2) - a)))
 
 
 def expand_ambiguous(s: Column) -> Column:
@@ -172,16 +201,12 @@ def mirna_sites(mirna: Column, mrna: Column, least: int = 6) -> Column:
     seed = F.translate(F.translate(F.substring(mirna, 2, 7), "T", "U"), *T.RNA_COMPLEMENT)
     target = transcribe(mrna)
 
-    def one(i: Column) -> Column:
-        hits = F.size(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda j: at(seed, j, 1) == at(target, i + j, 1)))
-        return F.struct(i.cast("long").alias("pos"), hits.cast("long").alias("matches"))
-
-    sites = F.filter(F.transform(starts(target, 8), one), lambda x: x["matches"] >= least)
-
-    def kind(x: Column) -> Column:
-        return F.when((x["matches"] == 7) & (at(target, x["pos"].cast("int"), 1) == "A"), "7mer-A1").when(x["matches"] == 7, "7mer-m8").otherwise("6mer")
+    def one(w: Column, i: Column) -> Column:
+        hits = F.size(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda j: at(seed, j, 1) == at(w, j, 1)))
+        kind = F.when((hits == 7) & w.startswith("A"), "7mer-A1").when(hits == 7, "7mer-m8").otherwise("6mer")
+        return F.struct(i.cast("long").alias("pos"), hits.cast("long").alias("matches"), kind.alias("site"))
 
-    return F.when(F.length(seed) == 7, F.transform(sites, lambda x: F.struct(x["pos"], x["matches"], kind(x).alias("site"))))
+    return F.when(F.length(seed) == 7, F.filter(F.transform(windows(target, 8), one), lambda x: x["matches"] >= least))
 
 
 def in_centromere(chrom: Column, pos: Column) -> Column:
@@ -198,7 +223,7 @@ def chromosome_position(chrom: Column, pos: Column) -> Column:
 
 
 def normalise_chromosome(raw: Column) -> Column:
-    digits = F.regexp_replace(raw, "[^0-9]", "")
+    digits = F.regexp_replace(F.regexp_replace(raw, "[^0-9]", ""), "^0+", "")
     return F.when(digits == "", raw).otherwise(F.concat(F.lit("chr"), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)))
 
 
