@@ -40,8 +40,8 @@ def quantile_normalise(values: DataFrame) -> DataFrame:
     """Each value becomes the mean over samples of the values at its rank; ties take the highest rank's mean."""
     down = Window.partitionBy("sample").orderBy(F.col("value").desc())
     ranked = values.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy(F.col("value").desc(), "gene"))).withColumn("rank", F.rank().over(down))
-    means = ranked.groupBy("place").agg(F.avg("value").alias("mean"))
-    return ranked.join(means, ranked["rank"] == means["place"]).select("gene", "sample", F.col("mean").alias("value"))
+    means = ranked.groupBy(F.col("place").alias("rank")).agg(F.avg("value").alias("mean"))
+    return ranked.join(means, "rank").select("gene", "sample", F.col("mean").alias("value"))
 
 
 def welch(values: DataFrame, case: Column) -> DataFrame:

@@ -73,11 +73,7 @@ query("find_motif", v.sql("SELECT doc_id, p - 1 AS pos FROM (SELECT doc_id, s, u
     lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.find_motif(s, "TATAA")).alias("pos")).select("doc_id", F.col("pos").cast("long"))
 )
 
-ENZYMES = ", ".join(f"('{n}', '{site}', {cut})" for n, (site, cut) in T.ENZYMES.items())
-
-query("restriction_digest", v.sql(f"SELECT enzyme, doc_id, p - 1 AS pos, p - 1 + cut AS cut FROM (SELECT doc_id, s, enzyme, site, cut, unnest(range(1, length(s) - length(site) + 2)) AS p FROM v_dna, (VALUES {ENZYMES}) e(enzyme, site, cut) WHERE contains(s, site)) WHERE substr(s, CAST(p AS INTEGER), length(site)) = site", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.digest(s)).alias("x")).select("x.enzyme", "doc_id", "x.pos", "x.cut")
-)
+query("restriction_digest", None)(lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.digest(s)).alias("x")).select("x.enzyme", "doc_id", "x.pos", "x.cut"))
 
 
 @query("virtual_digest", v.sql("""SELECT doc_id, count(*) AS fragments, CAST(max(b - a) AS BIGINT) AS longest, CAST(sum(b - a) AS BIGINT) AS total FROM (
@@ -385,7 +381,7 @@ def gene_models(spark, d) -> DataFrame:
     return m.select("gene", F.size(parts).cast("long").alias("n_parts"), cds.alias("cds_length"))
 
 
-@query("feature_types", v.sql("SELECT p.id, coalesce(min(CASE e.type WHEN 'CDS' THEN '1CDS' WHEN 'exon' THEN '2exon' ELSE '3UTR' END)[2:], 'intron') AS feature FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS tx, l_orderkey * 1000 + l_partkey % 800 AS pos FROM lineitem) p LEFT JOIN v_exon e ON e.tx = p.tx AND p.pos BETWEEN e.st AND e.en GROUP BY p.id", v.EXONS))
+@query("feature_types", v.sql("SELECT p.id, coalesce(min(CASE e.type WHEN 'CDS' THEN '1CDS' WHEN 'exon' THEN '2exon' WHEN 'five_prime_UTR' THEN '3UTR' END)[2:], 'intron') AS feature FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS tx, l_orderkey * 1000 + l_partkey % 800 AS pos FROM lineitem) p LEFT JOIN v_exon e ON e.tx = p.tx AND p.pos BETWEEN e.st AND e.en GROUP BY p.id", v.EXONS))
 def feature_types(spark, d) -> DataFrame:
     line = v.table(spark, d, "lineitem")
     points = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("tx"), (F.col("l_orderkey") * 1000 + F.col("l_partkey") % 800).alias("pos"))
@@ -426,7 +422,7 @@ query("tissue_tau", v.sql("SELECT gene, round(tau, 6) AS tau, CASE WHEN tau >= 0
 
 @query("gene_set_enrichment", None)
 def gene_set_enrichment(spark, d) -> DataFrame:
-    genes = v.table(spark, d, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 6).alias("set"))
+    genes = v.table(spark, d, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 6).cast("string").alias("set"))
     chosen = welch(spark, d).where(F.abs("t") >= 2)
     return E.enrichment(genes, chosen, 35000)
 
