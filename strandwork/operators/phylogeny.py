@@ -30,7 +30,7 @@ def upgma(taxa: list, d: np.ndarray) -> list[tuple]:
         new, height = len(nodes), far / 2
         nodes.append([new, None, None, 0.0])
         for c in (clusters[i], clusters[j]):
-            nodes[c[0]][1], nodes[c[0]][3] = new, height - c[2]
+            nodes[c[0]][1], nodes[c[0]][3] = new, float(height - c[2])
         clusters = [c for k, c in enumerate(clusters) if k not in (i, j)] + [(new, clusters[i][1] + clusters[j][1], height)]
     return [tuple(n) for n in nodes]
 

@@ -476,3 +476,127 @@ def _screen(fp: DataFrame) -> DataFrame:
 
     q = F.broadcast(fp.where("vec_id = 0").select(F.col("bits").alias("q")))
     return fp.join(q).where(tanimoto(F.col("bits"), F.col("q")) >= 0.4).select("vec_id", *(r6(f(F.col("bits"), F.col("q"))).alias(n) for n, f in (("tanimoto", tanimoto), ("dice", dice), ("cosine", cosine))))
+
+
+# Alignment, trees, folding
+
+def nation_pairs(spark, d) -> DataFrame:
+    n = v.table(spark, d, "nation")
+    return n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")).join(n.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y")), F.col("a") < F.col("b"))
+
+
+def _aligned(mode: str):
+    from strandwork.operators.alignment import align_column
+
+    def run(spark, d) -> DataFrame:
+        return nation_pairs(spark, d).select("a", "b", align_column(F.col("x"), F.col("y"), mode=mode).alias("al")).select("a", "b", "al.*")
+
+    return run
+
+
+for _mode in ("global", "local", "semiglobal"):
+    query(f"align_{_mode}")(_aligned(_mode))
+
+
+@query("upgma_tree")
+def upgma_tree(spark, d) -> DataFrame:
+    from strandwork.operators.phylogeny import trees
+
+    p = nation_pairs(spark, d).select(F.lit(0).alias("tree"), "a", "b", G.p_distance(F.col("x"), F.col("y")).alias("d"))
+    return trees(p, "tree")
+
+
+@query("neighbour_joining_tree")
+def neighbour_joining_tree(spark, d) -> DataFrame:
+    from strandwork.operators.phylogeny import neighbour_joining, trees
+
+    p = nation_pairs(spark, d).select(F.lit(0).alias("tree"), "a", "b", G.p_distance(F.col("x"), F.col("y")).alias("d"))
+    return trees(p, "tree", neighbour_joining)
+
+
+@query("rna_fold")
+def rna_fold(spark, d) -> DataFrame:
+    from strandwork.operators.alignment import fold_column
+
+    return keys_as_dna(spark, d).select("id", fold_column(S.transcribe(s)).alias("f")).select("id", "f.*")
+
+
+@query("kmer_seed_hits", v.sql("SELECT a.id AS query, b.id AS subject, count(*) AS seeds FROM (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p) WHERE id < 0 OR true) a JOIN (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p)) b USING (kmer) GROUP BY 1, 2", KEYS))
+def kmer_seed_hits(spark, d) -> DataFrame:
+    from strandwork.operators.alignment import seed_hits
+
+    k = keys_as_dna(spark, d).select("id", "s")
+    return seed_hits(k, k, 11)
+
+
+# Molecules
+
+# Example molecules by name.
+SMILES = {"aspirin": "CC(=O)Oc1ccccc1C(=O)O", "ibuprofen": "CC(C)Cc1ccc(cc1)C(C)C(=O)O", "caffeine": "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "benzene": "c1ccccc1", "ethanol": "CCO", "glycine": "NCC(=O)O"}
+
+
+@query("molecule_descriptors")
+def molecule_descriptors(spark, d) -> DataFrame:
+    from strandwork.functions import molecule as M
+
+    m = spark.createDataFrame(list(SMILES.items()), "name string, smiles string").withColumn("d", M.descriptors(F.col("smiles")))
+    x = F.col("d")
+    return m.select("name", "d.*", M.lipinski(x).alias("lipinski"), M.veber(x).alias("veber"), M.ghose(x).alias("ghose"), M.egan(x).alias("egan"), M.muegge(x).alias("muegge"), M.admet(x).alias("admet"), M.alerts(x).alias("alerts"))
+
+
+@query("virtual_screening")
+def virtual_screening(spark, d) -> DataFrame:
+    from strandwork.functions import molecule as M
+    from strandwork.operators.similarity import tanimoto
+
+    m = spark.createDataFrame(list(SMILES.items()), "name string, smiles string").withColumn("fp", M.fingerprint(F.col("smiles")))
+    q = F.broadcast(m.where("name = 'aspirin'").select(F.col("fp").alias("q")))
+    return m.join(q).select("name", r6(tanimoto(F.col("fp"), F.col("q"))).alias("tanimoto")).withColumn("rank", F.row_number().over(Window.orderBy(F.col("tanimoto").desc(), "name")))
+
+
+# Models
+
+def _nb_sql(features: list[str], classes: dict) -> tuple[str, list[str]]:
+    import math
+
+    parts = []
+    for prior, means, variances in classes.values():
+        terms = " ".join(f"- {0.5 * math.log(2 * math.pi * x)!r}::DOUBLE - ({f} - {m}) * ({f} - {m}) / {2 * x!r}::DOUBLE" for f, m, x in zip(features, means, variances))
+        parts.append(f"({math.log(prior + 1e-10)!r}::DOUBLE {terms})")
+    return parts, list(classes)
+
+
+def promoter_features() -> list[Column]:
+    n = F.length("s")
+    cpg = F.coalesce(F.try_divide(F.regexp_count("s", F.lit("CG")).cast("double"), n - 1), F.lit(0.0))
+    tata = F.when(s.contains("TATAAA"), 1.0).when(s.contains("TATA"), 0.5).when(s.contains("TAT"), 0.2).otherwise(0.0)
+    box = F.when(s.contains("GGGCGG"), 1.0).when(s.contains("GGCGG"), 0.6).when(s.contains("GCGG"), 0.3).otherwise(0.0)
+    return [S.gc_content(s) / 100.0, cpg, tata, box, F.when(s.contains("CCAAT"), 0.8).otherwise(0.0)]
+
+
+def _promoter_sql() -> str:
+    from strandwork.operators.models import BUILT_IN
+
+    (a, b), _ = _nb_sql(["f1", "f2", "f3", "f4", "f5"], BUILT_IN["promoter"][1])
+    return f"""SELECT doc_id, CASE WHEN a >= b THEN 'promoter' ELSE 'non-promoter' END AS label, round(1 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS confidence FROM (SELECT doc_id, {a} AS a, {b} AS b FROM (
+        SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE {n_of('GC')} / CAST(length(s) AS DOUBLE) END AS f1, coalesce(((length(s) - length(replace(s, 'CG', ''))) / 2.0) / nullif(length(s) - 1, 0), 0) AS f2,
+            CASE WHEN contains(s, 'TATAAA') THEN 1.0 WHEN contains(s, 'TATA') THEN 0.5 WHEN contains(s, 'TAT') THEN 0.2 ELSE 0 END AS f3,
+            CASE WHEN contains(s, 'GGGCGG') THEN 1.0 WHEN contains(s, 'GGCGG') THEN 0.6 WHEN contains(s, 'GCGG') THEN 0.3 ELSE 0 END AS f4, CASE WHEN contains(s, 'CCAAT') THEN 0.8 ELSE 0 END AS f5 FROM v_dna))"""
+
+
+@query("nb_promoter", v.sql(_promoter_sql(), v.DNA))
+def nb_promoter(spark, d) -> DataFrame:
+    from strandwork.operators.models import BUILT_IN, naive_bayes
+
+    f = v.dna(spark, d).select("doc_id", *(c.alias(f"f{i + 1}") for i, c in enumerate(promoter_features())))
+    return f.select("doc_id", naive_bayes([F.col(f"f{i}") for i in range(1, 6)], BUILT_IN["promoter"][1]).alias("x")).select("doc_id", "x.label", r6("x.confidence").alias("confidence"))
+
+
+@query("nearest_neighbours")
+def nearest_neighbours(spark, d) -> DataFrame:
+    """Suppliers classified by their nation's balance among the nations' mean balances of customers."""
+    from strandwork.operators.models import k_nearest
+
+    c, sup = v.table(spark, d, "customer"), v.table(spark, d, "supplier")
+    points = c.groupBy(F.col("c_nationkey").cast("long").alias("pid")).agg(F.array(F.avg("c_acctbal") / 1000.0).alias("v"), F.max("c_mktsegment").alias("label"))
+    return k_nearest(sup.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 1000.0).alias("v")), points, 3).withColumn("confidence", r6("confidence"))
