@@ -149,3 +149,19 @@ def count_words(docs, text: str) -> int:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     return docs.select(F.col(text)).mapInArrow(count, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
+def small_batches(batches, column: int, step: int = 1 << 20):
+    """The same rows in batches of about step bytes of text, so that work on a batch needs bounded memory."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(np.nan_to_num(np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)))
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, before + step, "right")))
+            yield batch.slice(start, end - start)
+            start = end

@@ -19,7 +19,7 @@ import numpy as np
 from strandwork.llm._packed import Distinct
 from strandwork.llm._text import SEPARATOR, span_hashes, texts_words
 
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 300_000
 _ODD = rb"[\x1c-\x1f\xf0-\xf7]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 
 
@@ -29,10 +29,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.whole = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
+        self.load = lambda: Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
+        self.whole = self.load()
         special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([_ODD, *map(re.escape, special)]))
         self.fast = self._ranked(name, public_tokenizers)
+        if self.fast is not None:
+            self.whole = None  # loaded again where a text needs it
         self._forget()
 
     def _ranked(self, name: str, public):
@@ -76,6 +79,8 @@ class Encoder:
             return [np.array(e.ids, np.int32) for e in self.whole.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         out: list = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.odd.search(t)] if self.odd.search(b"\n".join(texts)) else []
+        if odd and self.whole is None:
+            self.whole = self.load()
         for i in odd:
             out[i] = np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, np.int32)
         skip = set(odd)
