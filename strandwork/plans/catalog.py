@@ -152,9 +152,7 @@ def _complexity_sql(text: str, most: int = 8) -> str:
     return f"CASE WHEN {could} = 0 THEN 0 ELSE CAST({seen} AS DOUBLE) / ({could}) END"
 
 
-query("linguistic_complexity", v.sql(f"SELECT doc_id, round({_complexity_sql('s')}, 6) AS complexity FROM v_dna", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", r6(S.linguistic_complexity(s)).alias("complexity"))
-)
+query("linguistic_complexity", None)(lambda spark, d: v.dna(spark, d).select("doc_id", r6(S.linguistic_complexity(s)).alias("complexity")))
 
 
 @query("te_content", v.sql(f"SELECT doc_id, count(*) AS windows, round(avg(CASE WHEN cx < 0.4 - 1e-9 OR gc > 75 OR gc < 25 THEN 1.0 ELSE 0.0 END), 6) AS te FROM (SELECT doc_id, {_complexity_sql('w')} AS cx, (500 - length(translate(w, 'GC', ''))) / 5.0 AS gc FROM (SELECT doc_id, substr(s, CAST(k * 500 + 1 AS INTEGER), 500) AS w FROM (SELECT doc_id, s, unnest(range(0, length(s) // 500)) AS k FROM v_dna))) GROUP BY doc_id", v.DNA))
@@ -600,3 +598,45 @@ def nearest_neighbours(spark, d) -> DataFrame:
     c, sup = v.table(spark, d, "customer"), v.table(spark, d, "supplier")
     points = c.groupBy(F.col("c_nationkey").cast("long").alias("pid")).agg(F.array(F.avg("c_acctbal") / 1000.0).alias("v"), F.max("c_mktsegment").alias("label"))
     return k_nearest(sup.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 1000.0).alias("v")), points, 3).withColumn("confidence", r6("confidence"))
+
+
+# Motif table functions
+
+def _seqs(spark, d) -> DataFrame:
+    return v.dna(spark, d).select(F.col("doc_id").alias("id"), "s")
+
+
+@query("microsatellites")
+def microsatellites(spark, d) -> DataFrame:
+    from strandwork.operators.motifs import microsatellites as find
+
+    return find(_seqs(spark, d))
+
+
+@query("microsatellite_summary")
+def microsatellite_summary(spark, d) -> DataFrame:
+    """Counts by kind and motif with totals, as grouping sets."""
+    from strandwork.operators.motifs import microsatellites as find
+
+    return find(_seqs(spark, d)).withColumn("length", F.col("end") - F.col("start") + 1).rollup("kind", "motif").agg(F.count(F.lit(1)).alias("n"), F.avg("repeats").alias("avg_repeats"), F.sum("length").alias("total_length"))
+
+
+@query("cis_elements")
+def cis_elements(spark, d) -> DataFrame:
+    from strandwork.operators.motifs import cis_elements as find
+
+    return find(_seqs(spark, d)).groupBy("element", "motif", "strand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"))
+
+
+@query("te_classes")
+def te_classes(spark, d) -> DataFrame:
+    from strandwork.operators.motifs import te_classes as classify
+
+    return classify(_seqs(spark, d).withColumn("name", F.concat(F.lit("seq"), F.col("id").cast("string"))))
+
+
+@query("primer_candidates")
+def primer_candidates(spark, d) -> DataFrame:
+    from strandwork.operators.motifs import primers
+
+    return primers(_seqs(spark, d).withColumn("target_start", F.floor(F.length("s") / 3).cast("int")).withColumn("target_end", F.floor(2 * F.length("s") / 3).cast("int")))
