@@ -33,8 +33,6 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-s = F.col("s")
-N = "length(s) - length(translate(s, '{0}', ''))"
 
 
 def n_of(letters: str) -> str:
@@ -44,7 +42,7 @@ def n_of(letters: str) -> str:
 # Sequence projections and aggregates
 
 query("gc_content", v.sql(f"SELECT doc_id, round(CASE WHEN length(s) = 0 THEN 0 ELSE {n_of('GC')} * 100.0 / length(s) END, 6) AS gc, round(CASE WHEN length(s) < 14 THEN 2.0 * {n_of('AT')} + 4.0 * {n_of('GC')} ELSE 64.9 + 41.0 * ({n_of('GC')} - 16.4) / length(s) END, 6) AS tm FROM v_dna", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", r6(S.gc_content(s)).alias("gc"), r6(S.melting_temperature(s)).alias("tm"))
+    lambda spark, d: v.dna(spark, d).select("doc_id", r6(S.gc_content(F.col("s"))).alias("gc"), r6(S.melting_temperature(F.col("s"))).alias("tm"))
 )
 
 query("base_counts", v.sql("SELECT base, count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS base FROM v_dna WHERE s <> '') GROUP BY base", v.DNA))(
@@ -52,11 +50,11 @@ query("base_counts", v.sql("SELECT base, count(*) AS n FROM (SELECT unnest(strin
 )
 
 query("alphabet_check", v.sql("SELECT doc_id, regexp_full_match(s, '[ATGC]*') AS is_dna, regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWY*]*') AS is_protein, CASE WHEN contains(s, 'U') THEN 'rna' WHEN regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWY*]*') AND regexp_matches(s, '[EFIJLOPQXZ]') THEN 'protein' ELSE 'dna' END AS kind FROM v_dna", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", S.is_valid(s, "DNA").alias("is_dna"), S.is_valid(s, "PROTEIN").alias("is_protein"), S.infer_kind(s).alias("kind"))
+    lambda spark, d: v.dna(spark, d).select("doc_id", S.is_valid(F.col("s"), "DNA").alias("is_dna"), S.is_valid(F.col("s"), "PROTEIN").alias("is_protein"), S.infer_kind(F.col("s")).alias("kind"))
 )
 
 query("reverse_complement", v.sql("SELECT doc_id, reverse(translate(s, 'ATGC', 'TACG')) AS rc, replace(s, 'T', 'U') AS rna, replace(replace(s, 'T', 'U'), 'U', 'T') = s AS back FROM v_dna", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", S.reverse_complement(s).alias("rc"), S.transcribe(s).alias("rna"), (S.back_transcribe(S.transcribe(s)) == s).alias("back"))
+    lambda spark, d: v.dna(spark, d).select("doc_id", S.reverse_complement(F.col("s")).alias("rc"), S.transcribe(F.col("s")).alias("rna"), (S.back_transcribe(S.transcribe(F.col("s"))) == F.col("s")).alias("back"))
 )
 
 FRAMES = """SELECT doc_id, frame, string_agg(aa, '' ORDER BY i) AS all_aa FROM (
@@ -66,14 +64,14 @@ FRAMES = """SELECT doc_id, frame, string_agg(aa, '' ORDER BY i) AS all_aa FROM (
     ) JOIN v_codon ON codon = substr(x, CAST(off + i * 3 + 1 AS INTEGER), 3)) GROUP BY 1, 2"""
 
 query("six_frame_translation", v.sql(f"SELECT d.doc_id, f.frame, coalesce(string_split(g.all_aa, '*')[1], '') AS protein FROM v_dna d CROSS JOIN (SELECT unnest(['+1', '+2', '+3', '-1', '-2', '-3']) AS frame) f LEFT JOIN ({FRAMES}) g ON g.doc_id = d.doc_id AND g.frame = f.frame", v.DNA, v.CODONS))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.six_frames(s)).alias("x")).select("doc_id", "x.frame", "x.protein")
+    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.six_frames(F.col("s"))).alias("x")).select("doc_id", "x.frame", "x.protein")
 )
 
 query("find_motif", v.sql("SELECT doc_id, p - 1 AS pos FROM (SELECT doc_id, s, unnest(range(1, length(s) - 3)) AS p FROM v_dna WHERE length(s) >= 5) WHERE substr(s, CAST(p AS INTEGER), 5) = 'TATAA'", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.find_motif(s, "TATAA")).alias("pos")).select("doc_id", F.col("pos").cast("long"))
+    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.find_motif(F.col("s"), "TATAA")).alias("pos")).select("doc_id", F.col("pos").cast("long"))
 )
 
-query("restriction_digest", None)(lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.digest(s)).alias("x")).select("x.enzyme", "doc_id", "x.pos", "x.cut"))
+query("restriction_digest", None)(lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.digest(F.col("s"))).alias("x")).select("x.enzyme", "doc_id", "x.pos", "x.cut"))
 
 
 @query("virtual_digest", v.sql("""SELECT doc_id, count(*) AS fragments, CAST(max(b - a) AS BIGINT) AS longest, CAST(sum(b - a) AS BIGINT) AS total FROM (
@@ -82,7 +80,7 @@ query("restriction_digest", None)(lambda spark, d: v.dna(spark, d).select("doc_i
         UNION SELECT doc_id, p - 1 + 1 FROM (SELECT doc_id, s, unnest(range(1, length(s) - 4)) AS p FROM v_dna WHERE length(s) >= 6) WHERE substr(s, CAST(p AS INTEGER), 6) IN ('GAATTC', 'GGATCC'))
     ) WHERE b IS NOT NULL GROUP BY doc_id""", v.DNA))
 def virtual_digest(spark, d) -> DataFrame:
-    parts = v.dna(spark, d).select("doc_id", F.explode(S.virtual_digest(s, ["EcoRI", "BamHI"])).alias("f"))
+    parts = v.dna(spark, d).select("doc_id", F.explode(S.virtual_digest(F.col("s"), ["EcoRI", "BamHI"])).alias("f"))
     n = F.length("f").cast("long")
     return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fragments"), F.max(n).alias("longest"), F.sum(n).alias("total"))
 
@@ -92,18 +90,18 @@ def virtual_digest(spark, d) -> DataFrame:
         SELECT doc_id, p % 3 + 1 AS frame, p AS start, substr(s, CAST(p + 1 AS INTEGER), 3) AS codon FROM (SELECT doc_id, s, unnest(range(0, length(s) - 2)) AS p FROM v_dna WHERE length(s) >= 3))
     ) WHERE codon = 'ATG' AND stop IS NOT NULL AND stop + 3 - start >= 100""", v.DNA))
 def find_orfs(spark, d) -> DataFrame:
-    c = v.dna(spark, d).select("doc_id", F.posexplode(S.kmers(s, 3)).alias("p", "codon")).select("doc_id", F.col("p").cast("long").alias("start"), (F.col("p") % 3 + 1).cast("long").alias("frame"), "codon").where(F.col("codon").isin("ATG", "TAA", "TAG", "TGA"))
+    c = v.dna(spark, d).select("doc_id", F.posexplode(S.kmers(F.col("s"), 3)).alias("p", "codon")).select("doc_id", F.col("p").cast("long").alias("start"), (F.col("p") % 3 + 1).cast("long").alias("frame"), "codon").where(F.col("codon").isin("ATG", "TAA", "TAG", "TGA"))
     w = Window.partitionBy("doc_id", "frame").orderBy("start").rowsBetween(0, Window.unboundedFollowing)
     c = c.withColumn("stop", F.min(F.when(F.col("codon") != "ATG", F.col("start"))).over(w))
     return c.where((F.col("codon") == "ATG") & (F.col("stop") + 3 - F.col("start") >= 100)).select("doc_id", "frame", "start", (F.col("stop") + 3).alias("end"), (F.col("stop") - F.col("start")).alias("coding"))
 
 
 query("gc_skew_windows", v.sql(f"SELECT doc_id, p AS pos, round(CASE WHEN g + c = 0 THEN 0 ELSE CAST(g - c AS DOUBLE) / (g + c) END, 6) AS skew FROM (SELECT doc_id, p, length(w) - length(replace(w, 'G', '')) AS g, length(w) - length(replace(w, 'C', '')) AS c FROM (SELECT doc_id, p, substr(s, CAST(p + 1 AS INTEGER), 100) AS w FROM (SELECT doc_id, s, unnest(range(0, length(s) - 99, 10)) AS p FROM v_dna WHERE length(s) >= 100)))", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.gc_skew(s)).alias("x")).select("doc_id", "x.pos", r6("x.skew").alias("skew"))
+    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.gc_skew(F.col("s"))).alias("x")).select("doc_id", "x.pos", r6("x.skew").alias("skew"))
 )
 
 query("bubble_stability", v.sql("SELECT doc_id, count(*) AS windows, round(avg((10 - length(translate(w, 'AT', ''))) / 10.0), 6) AS mean_at, round(max((10 - length(translate(w, 'AT', ''))) / 10.0), 6) AS max_at FROM (SELECT doc_id, substr(s, CAST(p + 1 AS INTEGER), 10) AS w FROM (SELECT doc_id, s, unnest(range(0, length(s) - 9)) AS p FROM v_dna WHERE length(s) >= 10)) GROUP BY doc_id", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.bubble_stability(s)).alias("x")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), r6(F.avg("x.at")).alias("mean_at"), r6(F.max("x.at")).alias("max_at"))
+    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.bubble_stability(F.col("s"))).alias("x")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), r6(F.avg("x.at")).alias("mean_at"), r6(F.max("x.at")).alias("max_at"))
 )
 
 
@@ -112,13 +110,13 @@ def _kmer_sql(k: int) -> str:
 
 
 query("kmer_counts", v.sql(f"SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_kmer_sql(6)}) GROUP BY kmer", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.kmers(s, 6)).alias("kmer")).groupBy("kmer", "doc_id").count().groupBy("kmer").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("docs"))
+    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.kmers(F.col("s"), 6)).alias("kmer")).groupBy("kmer", "doc_id").count().groupBy("kmer").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("docs"))
 )
 
 
 @query("dinucleotide_frequency", v.sql(f"SELECT kmer AS dinucleotide, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS freq FROM ({_kmer_sql(2)}) GROUP BY kmer", v.DNA))
 def dinucleotide_frequency(spark, d) -> DataFrame:
-    n = v.dna(spark, d).select(F.explode(S.kmers(s, 2)).alias("dinucleotide")).groupBy("dinucleotide").agg(F.count(F.lit(1)).alias("n"))
+    n = v.dna(spark, d).select(F.explode(S.kmers(F.col("s"), 2)).alias("dinucleotide")).groupBy("dinucleotide").agg(F.count(F.lit(1)).alias("n"))
     return n.select("dinucleotide", "n", r6(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("freq"))
 
 
@@ -126,7 +124,7 @@ CODON_COUNT = "v_cc AS (SELECT codon, count(*) AS n FROM (SELECT substr(s, CAST(
 
 
 def codon_usage(spark, d) -> DataFrame:
-    return v.dna(spark, d).select(F.explode(S.codons(s)).alias("codon")).groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
+    return v.dna(spark, d).select(F.explode(S.codons(F.col("s"))).alias("codon")).groupBy("codon").agg(F.count(F.lit(1)).alias("n"))
 
 
 query("codon_usage", v.sql("SELECT * FROM v_cc", v.DNA, CODON_COUNT))(codon_usage)
@@ -142,7 +140,7 @@ def codon_adaptation(spark, d) -> DataFrame:
 
 @query("shannon_entropy", v.sql("SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, unnest(string_split(s, '')) AS b FROM v_dna WHERE s <> '') GROUP BY doc_id, b) GROUP BY doc_id", v.DNA))
 def shannon_entropy(spark, d) -> DataFrame:
-    shares = [F.try_divide(S.count_of(s, b).cast("double"), F.length(s)) for b in "ACGT"]
+    shares = [F.try_divide(S.count_of(F.col("s"), b).cast("double"), F.length(F.col("s"))) for b in "ACGT"]
     return v.dna(spark, d).where("s <> ''").select("doc_id", r6(-sum((F.when(p > 0, p * F.log2(p)).otherwise(0.0) for p in shares), F.lit(0.0))).alias("entropy"))
 
 
@@ -152,12 +150,12 @@ def _complexity_sql(text: str, most: int = 8) -> str:
     return f"CASE WHEN {could} = 0 THEN 0 ELSE CAST({seen} AS DOUBLE) / ({could}) END"
 
 
-query("linguistic_complexity", None)(lambda spark, d: v.dna(spark, d).select("doc_id", r6(S.linguistic_complexity(s)).alias("complexity")))
+query("linguistic_complexity", None)(lambda spark, d: v.dna(spark, d).select("doc_id", r6(S.linguistic_complexity(F.col("s"))).alias("complexity")))
 
 
 @query("te_content", v.sql(f"SELECT doc_id, count(*) AS windows, round(avg(CASE WHEN cx < 0.4 - 1e-9 OR gc > 75 OR gc < 25 THEN 1.0 ELSE 0.0 END), 6) AS te FROM (SELECT doc_id, {_complexity_sql('w')} AS cx, (500 - length(translate(w, 'GC', ''))) / 5.0 AS gc FROM (SELECT doc_id, substr(s, CAST(k * 500 + 1 AS INTEGER), 500) AS w FROM (SELECT doc_id, s, unnest(range(0, length(s) // 500)) AS k FROM v_dna))) GROUP BY doc_id", v.DNA))
 def te_content(spark, d) -> DataFrame:
-    w = v.dna(spark, d).select("doc_id", F.explode(S.windows(s, 500, 500)).alias("w"))
+    w = v.dna(spark, d).select("doc_id", F.explode(S.windows(F.col("s"), 500, 500)).alias("w"))
     gc = S.count_of(F.col("w"), "GC") / 5.0
     low = (S.linguistic_complexity(F.col("w")) < 0.4 - 1e-9) | (gc > 75) | (gc < 25)
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), r6(F.avg(low.cast("double"))).alias("te"))
@@ -184,7 +182,7 @@ def assembly_stats(spark, d) -> DataFrame:
 
 @query("cis_motif_counts", v.sql("SELECT 'G-box' AS motif, strand, CAST(sum((length(x) - length(replace(x, 'CACGTG', ''))) // 6) AS BIGINT) AS n FROM (SELECT '+' AS strand, s AS x FROM v_dna UNION ALL SELECT '-', reverse(translate(s, 'ATGC', 'TACG')) FROM v_dna) GROUP BY strand UNION ALL SELECT 'TATA', strand, CAST(sum((length(x) - length(replace(x, 'TATAAAT', ''))) // 7) AS BIGINT) FROM (SELECT '+' AS strand, s AS x FROM v_dna UNION ALL SELECT '-', reverse(translate(s, 'ATGC', 'TACG')) FROM v_dna) GROUP BY strand", v.DNA))
 def cis_motif_counts(spark, d) -> DataFrame:
-    both = v.dna(spark, d).select(F.explode(F.array(F.struct(F.lit("+").alias("strand"), s.alias("x")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(s).alias("x")))).alias("y")).select("y.*")
+    both = v.dna(spark, d).select(F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("s").alias("x")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.col("s")).alias("x")))).alias("y")).select("y.*")
     hits = F.array(F.struct(F.lit("G-box").alias("motif"), F.regexp_count("x", F.lit("CACGTG")).alias("n")), F.struct(F.lit("TATA").alias("motif"), F.regexp_count("x", F.lit("TATAAAT")).alias("n")))
     return both.select("strand", F.explode(hits).alias("h")).groupBy("h.motif", "strand").agg(F.sum("h.n").alias("n"))
 
@@ -200,7 +198,7 @@ ALL20 = n_of("ACDEFGHIKLMNPQRSTVWY")
 query("protein_profile", v.sql(f"""SELECT doc_id, length(s) AS len, round({aa_total(T.MASS)} - (length(s) - 1) * 18.02, 4) AS mw, round({aa_total(T.HYDROPATHY)} / {ALL20}, 6) AS gravy, round({aa_total(T.BOMAN)} / {ALL20}, 6) AS boman,
     round(CAST({n_of('FHWY')} AS DOUBLE) / length(s), 6) AS aromaticity, round(CAST({n_of('AVILMFWP')} AS DOUBLE) / length(s), 6) AS hydrophobic, round(100.0 * ({n_of('A')} + 2.9 * {n_of('V')} + 3.9 * {n_of('IL')}) / length(s), 6) AS aliphatic,
     {n_of('W')} * 5500.0 + {n_of('Y')} * 1490.0 + {n_of('C')} * 125.0 AS extinction FROM v_prot WHERE s <> ''""", v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).where("s <> ''").select("doc_id", F.length("s").cast("long").alias("len"), F.round(P.molecular_weight(s), 4).alias("mw"), r6(P.gravy(s)).alias("gravy"), r6(P.boman(s)).alias("boman"), r6(P.aromaticity(s)).alias("aromaticity"), r6(P.hydrophobic_ratio(s)).alias("hydrophobic"), r6(P.aliphatic_index(s)).alias("aliphatic"), P.extinction_coefficient(s).alias("extinction"))
+    lambda spark, d: v.protein(spark, d).where("s <> ''").select("doc_id", F.length("s").cast("long").alias("len"), F.round(P.molecular_weight(F.col("s")), 4).alias("mw"), r6(P.gravy(F.col("s"))).alias("gravy"), r6(P.boman(F.col("s"))).alias("boman"), r6(P.aromaticity(F.col("s"))).alias("aromaticity"), r6(P.hydrophobic_ratio(F.col("s"))).alias("hydrophobic"), r6(P.aliphatic_index(F.col("s"))).alias("aliphatic"), P.extinction_coefficient(F.col("s")).alias("extinction"))
 )
 
 
@@ -211,35 +209,35 @@ def charge_sql(ph: float) -> str:
 
 
 query("charge_profile", v.sql(" UNION ALL ".join(f"SELECT doc_id, {float(ph)} AS ph, round({charge_sql(float(ph))}, 6) AS charge FROM v_prot" for ph in range(0, 15, 2)), v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(F.array(*(F.struct(F.lit(float(ph)).alias("ph"), r6(P.charge_at(s, float(ph))).alias("charge")) for ph in range(0, 15, 2)))).alias("x")).select("doc_id", "x.ph", "x.charge")
+    lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(F.array(*(F.struct(F.lit(float(ph)).alias("ph"), r6(P.charge_at(F.col("s"), float(ph))).alias("charge")) for ph in range(0, 15, 2)))).alias("x")).select("doc_id", "x.ph", "x.charge")
 )
 
-query("isoelectric_point", None)(lambda spark, d: v.protein(spark, d).select("doc_id", r6(P.isoelectric_point(s)).alias("pi")))
+query("isoelectric_point", None)(lambda spark, d: v.protein(spark, d).select("doc_id", r6(P.isoelectric_point(F.col("s"))).alias("pi")))
 
 query("amino_acid_composition", v.sql("SELECT doc_id, aa, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY doc_id), 6) AS fraction FROM (SELECT doc_id, unnest(string_split(s, '')) AS aa FROM v_prot WHERE s <> '') GROUP BY 1, 2", v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).where("s <> ''").select("doc_id", F.length("s").alias("len"), F.explode(F.array(*(F.struct(F.lit(a).alias("aa"), S.count_of(s, a).alias("n")) for a in T.RESIDUES))).alias("x")).where("x.n > 0").select("doc_id", "x.aa", "x.n", r6(F.col("x.n") / F.col("len")).alias("fraction"))
+    lambda spark, d: v.protein(spark, d).where("s <> ''").select("doc_id", F.length("s").alias("len"), F.explode(F.array(*(F.struct(F.lit(a).alias("aa"), S.count_of(F.col("s"), a).alias("n")) for a in T.RESIDUES))).alias("x")).where("x.n > 0").select("doc_id", "x.aa", "x.n", r6(F.col("x.n") / F.col("len")).alias("fraction"))
 )
 
 query("dipeptide_composition", v.sql("SELECT dipeptide, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, substr(s, CAST(p + 1 AS INTEGER), 2) AS dipeptide FROM (SELECT doc_id, s, unnest(range(0, length(s) - 1)) AS p FROM v_prot WHERE length(s) >= 2)) GROUP BY 1", v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(S.kmers(s, 2)).alias("dipeptide")).groupBy("dipeptide", "doc_id").count().groupBy("dipeptide").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("docs"))
+    lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(S.kmers(F.col("s"), 2)).alias("dipeptide")).groupBy("dipeptide", "doc_id").count().groupBy("dipeptide").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("docs"))
 )
 
 DIWV = "map {" + ", ".join(f"'{k}': {x!r}" for k, x in T.INSTABILITY.items()) + "}"
 
 query("instability_index", v.sql(f"SELECT doc_id, round(10.0 * sum(coalesce(m[substr(s, CAST(p + 1 AS INTEGER), 2)], 1.0)) / max(length(s)), 4) AS instability FROM (SELECT doc_id, s, unnest(range(0, length(s) - 1)) AS p FROM v_prot WHERE length(s) >= 2), (SELECT {DIWV} AS m) GROUP BY doc_id", v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).where("length(s) >= 2").select("doc_id", F.round(P.instability_index(s), 4).alias("instability"))
+    lambda spark, d: v.protein(spark, d).where("length(s) >= 2").select("doc_id", F.round(P.instability_index(F.col("s")), 4).alias("instability"))
 )
 
-query("ctd_descriptors", None)(lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(P.ctd(s)).alias("feature", "value")).select("doc_id", "feature", r6("value").alias("value")))
+query("ctd_descriptors", None)(lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(P.ctd(F.col("s"))).alias("feature", "value")).select("doc_id", "feature", r6("value").alias("value")))
 
-query("autocorrelation", None)(lambda spark, d: v.protein(spark, d).select("doc_id", *(r6(P.autocorrelation(s, T.HYDROPHOBICITY, k, False)).alias(f"moran_{k}") for k in (1, 2, 3)), *(r6(P.autocorrelation(s, T.MASS, k, True)).alias(f"geary_{k}") for k in (1, 2, 3))))
+query("autocorrelation", None)(lambda spark, d: v.protein(spark, d).select("doc_id", *(r6(P.autocorrelation(F.col("s"), T.HYDROPHOBICITY, k, False)).alias(f"moran_{k}") for k in (1, 2, 3)), *(r6(P.autocorrelation(F.col("s"), T.MASS, k, True)).alias(f"geary_{k}") for k in (1, 2, 3))))
 
 INTERFACE = "map {" + ", ".join(f"'{k}': {x!r}" for k, x in T.INTERFACE.items()) + "}"
 
 
 @query("interface_residues", v.sql(f"SELECT doc_id, count(*) AS n, count(*) FILTER (score >= 1.05 - 1e-9) AS likely, round(max(score), 6) AS best FROM (SELECT doc_id, avg(x) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS score FROM (SELECT doc_id, p, coalesce(m[substr(s, CAST(p + 1 AS INTEGER), 1)], 1.0) AS x FROM (SELECT doc_id, s, unnest(range(0, length(s))) AS p FROM v_prot WHERE s <> ''), (SELECT {INTERFACE} AS m))) GROUP BY doc_id", v.PROTEIN))
 def interface_residues(spark, d) -> DataFrame:
-    x = v.protein(spark, d).where("s <> ''").select("doc_id", P.interface_residues(s).alias("x"))
+    x = v.protein(spark, d).where("s <> ''").select("doc_id", P.interface_residues(F.col("s")).alias("x"))
     score = F.transform("x", lambda e: e["score"])
     return x.select("doc_id", F.size("x").cast("long").alias("n"), F.size(F.filter(score, lambda e: e >= 1.05 - 1e-9)).cast("long").alias("likely"), r6(F.array_max(score)).alias("best"))
 
@@ -259,7 +257,7 @@ def _segments_sql(table: str, width: int, least: float, touch: int) -> str:
 
 def _segments(df: DataFrame, values: dict, width: int, least: float, touch: int) -> DataFrame:
     """Runs of windows of a mean of at least `least`: prefix sums give the means, islands the runs."""
-    x = P.residue_values(s, values, 0.0)
+    x = P.residue_values(F.col("s"), values, 0.0)
     long = df.where("s <> ''").select("doc_id", F.posexplode(x).alias("p", "x"))
     w = Window.partitionBy("doc_id").orderBy("p")
     ahead = w.rowsBetween(Window.currentRow, width - 1)
@@ -274,10 +272,10 @@ query("transmembrane_helices", v.sql(_segments_sql(KD, 19, 1.6, 1), v.PROTEIN))(
 RG = ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{n}' END" for n, p in T.RGENE_PATTERNS.items())
 
 query("rgene_evidence", v.sql(f"SELECT doc_id, list_contains(e, 'p_loop') OR list_contains(e, 'rnbs') OR list_contains(e, 'mhd') OR (list_contains(e, 'lrr') AND list_contains(e, 'kinase')) AS likely, list_sort(e) AS evidence FROM (SELECT doc_id, list_filter([{RG}, CASE WHEN len(regexp_extract_all(s, '{T.RGENE_LRR}')) >= 2 THEN 'lrr' END, CASE WHEN regexp_matches(substr(s, 1, 300), '{T.RGENE_TIR}') THEN 'tir' END, CASE WHEN length(s) > 25 AND 25 - length(translate(substr(s, 1, 25), 'AVILMFWP', '')) > 12.5 THEN 'signal' END], lambda x: x IS NOT NULL) AS e FROM v_prot)", v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).select("doc_id", P.rgene_evidence(s).alias("e")).select("doc_id", P.is_rgene(F.col("e")).alias("likely"), F.array_sort("e").alias("evidence"))
+    lambda spark, d: v.protein(spark, d).select("doc_id", P.rgene_evidence(F.col("s")).alias("e")).select("doc_id", P.is_rgene(F.col("e")).alias("likely"), F.array_sort("e").alias("evidence"))
 )
 
-query("metal_binding_residues", v.sql(f"SELECT doc_id, {n_of('HCDEM')} AS n FROM v_prot", v.PROTEIN))(lambda spark, d: v.protein(spark, d).select("doc_id", F.size(P.metal_binding(s)).cast("long").alias("n")))
+query("metal_binding_residues", v.sql(f"SELECT doc_id, {n_of('HCDEM')} AS n FROM v_prot", v.PROTEIN))(lambda spark, d: v.protein(spark, d).select("doc_id", F.size(P.metal_binding(F.col("s"))).cast("long").alias("n")))
 
 # Variants
 
@@ -458,9 +456,9 @@ def dn_ds(spark, d) -> DataFrame:
 
 # DNA and RNA interactions
 
-query("hybridize", None)(lambda spark, d: keys_as_dna(spark, d).select("id", S.hybridize(s, S.reverse_complement(s)).alias("x")).select("id", *(r6(f"x.{c}").alias(c) for c in ("dh", "ds", "dg37", "tm")), "x.mismatches"))
-query("mirna_targets", None)(lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.mirna_sites(F.lit("UGAGGUAGUAGGUUGUAUAGUU"), s)).alias("x")).select("doc_id", "x.*"))
-query("crispr_efficiency", None)(lambda spark, d: keys_as_dna(spark, d).select("id", r6(S.crispr_efficiency(F.concat(s, F.substring(s, 1, 8)), F.concat(s, F.substring(s, 1, 8), F.lit("TGG")))).alias("efficiency")))
+query("hybridize", None)(lambda spark, d: keys_as_dna(spark, d).select("id", S.hybridize(F.col("s"), S.reverse_complement(F.col("s"))).alias("x")).select("id", *(r6(f"x.{c}").alias(c) for c in ("dh", "ds", "dg37", "tm")), "x.mismatches"))
+query("mirna_targets", None)(lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.mirna_sites(F.lit("UGAGGUAGUAGGUUGUAUAGUU"), F.col("s"))).alias("x")).select("doc_id", "x.*"))
+query("crispr_efficiency", None)(lambda spark, d: keys_as_dna(spark, d).select("id", r6(S.crispr_efficiency(F.concat(F.col("s"), F.substring(F.col("s"), 1, 8)), F.concat(F.col("s"), F.substring(F.col("s"), 1, 8), F.lit("TGG")))).alias("efficiency")))
 
 # Fingerprint similarity
 
@@ -516,7 +514,7 @@ def neighbour_joining_tree(spark, d) -> DataFrame:
 def rna_fold(spark, d) -> DataFrame:
     from strandwork.operators.alignment import fold_column
 
-    return keys_as_dna(spark, d).select("id", fold_column(S.transcribe(s)).alias("f")).select("id", "f.*")
+    return keys_as_dna(spark, d).select("id", fold_column(S.transcribe(F.col("s"))).alias("f")).select("id", "f.*")
 
 
 @query("kmer_seed_hits", v.sql("SELECT a.id AS query, b.id AS subject, count(*) AS seeds FROM (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p) WHERE id < 0 OR true) a JOIN (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p)) b USING (kmer) GROUP BY 1, 2", KEYS))
@@ -567,9 +565,9 @@ def _nb_sql(features: list[str], classes: dict) -> tuple[str, list[str]]:
 def promoter_features() -> list[Column]:
     n = F.length("s")
     cpg = F.coalesce(F.try_divide(F.regexp_count("s", F.lit("CG")).cast("double"), n - 1), F.lit(0.0))
-    tata = F.when(s.contains("TATAAA"), 1.0).when(s.contains("TATA"), 0.5).when(s.contains("TAT"), 0.2).otherwise(0.0)
-    box = F.when(s.contains("GGGCGG"), 1.0).when(s.contains("GGCGG"), 0.6).when(s.contains("GCGG"), 0.3).otherwise(0.0)
-    return [S.gc_content(s) / 100.0, cpg, tata, box, F.when(s.contains("CCAAT"), 0.8).otherwise(0.0)]
+    tata = F.when(F.col("s").contains("TATAAA"), 1.0).when(F.col("s").contains("TATA"), 0.5).when(F.col("s").contains("TAT"), 0.2).otherwise(0.0)
+    box = F.when(F.col("s").contains("GGGCGG"), 1.0).when(F.col("s").contains("GGCGG"), 0.6).when(F.col("s").contains("GCGG"), 0.3).otherwise(0.0)
+    return [S.gc_content(F.col("s")) / 100.0, cpg, tata, box, F.when(F.col("s").contains("CCAAT"), 0.8).otherwise(0.0)]
 
 
 def _promoter_sql() -> str:
