@@ -517,7 +517,7 @@ def rna_fold(spark, d) -> DataFrame:
     return keys_as_dna(spark, d).select("id", fold_column(S.transcribe(F.col("s"))).alias("f")).select("id", "f.*")
 
 
-@query("kmer_seed_hits", v.sql("SELECT a.id AS query, b.id AS subject, count(*) AS seeds FROM (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p) WHERE id < 0 OR true) a JOIN (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p)) b USING (kmer) GROUP BY 1, 2", KEYS))
+@query("kmer_seed_hits", v.sql("SELECT a.id AS query, b.id AS subject, count(*) AS seeds FROM (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p)) a JOIN (SELECT DISTINCT id, substr(s, CAST(p + 1 AS INTEGER), 11) AS kmer FROM v_key, range(2) t(p)) b USING (kmer) GROUP BY 1, 2", KEYS))
 def kmer_seed_hits(spark, d) -> DataFrame:
     from strandwork.operators.alignment import seed_hits
 
