@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwork.llm._text import trimmed
+
 BLOBS = "p int, b int, k binary, c binary, n binary"
 REPLIES = "b int, p int, n binary"
 _BLOBS = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("k", pa.binary()), ("c", pa.binary()), ("n", pa.binary())])
@@ -50,15 +52,33 @@ def ranges(k: np.ndarray, parts: int) -> np.ndarray:
     return ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
-def _low(k: np.ndarray) -> bytes:
-    """The low 48 bits of each key."""
-    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+_GAP = np.uint64((1 << 40) - 1)
+
+
+def _within(k: np.ndarray, parts: int) -> np.ndarray:
+    """48 bits of each key's place within its hash range, in key order."""
+    low = np.uint64(0xFFFFFFFF)
+    return ((k >> np.uint64(32)) * np.uint64(parts) & low) << np.uint64(16) | (k & low) >> np.uint64(16)
+
+
+def _gaps(place: np.ndarray) -> bytes:
+    """Ascending places: their number, the gaps in five bytes each, then the gaps that need more."""
+    gap = np.diff(place, prepend=np.uint64(0))
+    short = np.ascontiguousarray(np.minimum(gap, _GAP).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    return len(place).to_bytes(4, "little") + short.tobytes() + gap[gap >= _GAP].astype("<u8").tobytes()
+
+
+def _size(data: bytes) -> int:
+    return int.from_bytes(data[:4], "little")
 
 
-def _key(low: bytes) -> np.ndarray:
-    out = np.zeros((len(low) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _places(data: bytes) -> np.ndarray:
+    n = _size(data)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8, 5 * n, 4).reshape(-1, 5)
+    gap = out.view("<u8").ravel()
+    gap[gap == _GAP] = np.frombuffer(data, "<u8", offset=4 + 5 * n)
+    return np.cumsum(gap, dtype=np.uint64)
 
 
 def _small(n: np.ndarray) -> bytes:
@@ -78,7 +98,8 @@ def blobs(b: int, d: Distinct, parts: int) -> pa.Table:
     p = ranges(d.k, parts)
     cuts = np.flatnonzero(np.diff(p, prepend=-1)) if len(p) else np.empty(0, int)
     ends = np.append(cuts[1:], len(p))
-    rows = [(int(p[s]), b, _low(d.k[s:e]), None if d.c is None else d.c[s:e].astype("<u4").tobytes(), _small(d.count[s:e])) for s, e in zip(cuts, ends)]
+    place = _within(d.k, parts)
+    rows = [(int(p[s]), b, _gaps(place[s:e]), None if d.c is None else d.c[s:e].astype("<u4").tobytes(), _small(d.count[s:e])) for s, e in zip(cuts, ends)]
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _BLOBS)], schema=_BLOBS) if rows else _BLOBS.empty_table()
 
 
@@ -93,10 +114,10 @@ def totals(replies: pa.Table, k: np.ndarray, parts: int) -> np.ndarray:
 
 def _tally(table):
     k, c, n = (table.column(x).to_pylist() for x in ("k", "c", "n"))
-    key = _key(b"".join(k))
+    key = np.concatenate([_places(x) for x in k])
     check = None if c[0] is None else np.frombuffer(b"".join(c), "<u4")
     d = Distinct(key, check)
-    size = [len(x) // 6 for x in k]
+    size = [_size(x) for x in k]
     each = np.bincount(d.of, np.concatenate([_large(x, m) for x, m in zip(n, size)]), len(d.k)).astype(np.int64)[d.of]
     at = np.cumsum([0, *size])
     return pa.Table.from_arrays([table.column("b").combine_chunks().cast(pa.int32()), table.column("p").combine_chunks().cast(pa.int32()), pa.array([_small(each[s:e]) for s, e in zip(at, at[1:])], pa.binary())], schema=_REPLIES)
@@ -104,4 +125,4 @@ def _tally(table):
 
 def tally(sent: DataFrame) -> DataFrame:
     """Replies (b, p, n) to the blobs of all batches."""
-    return sent.groupBy("p").applyInArrow(_tally, REPLIES)
+    return sent.groupBy("p").applyInArrow(trimmed(_tally), REPLIES)

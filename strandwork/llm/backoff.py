@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandwork.llm._packed import BLOBS, Distinct, blobs, dealt, tally, totals
 from strandwork.llm._store import slices
-from strandwork.llm._text import U64, Words, count_words, grams, texts_of
+from strandwork.llm._text import U64, Words, count_words, grams, texts_of, trimmed
 
 BATCH_BYTES = 8 << 20
 RESULTS = ("n_words", "log10_score", "mean_log10")
@@ -98,7 +98,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
 
     replies = None
     for o in range(1, order + 1):
-        sent = table.groupBy("b").applyInArrow(short(o), BLOBS) if o <= 2 else table.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(longer(o), BLOBS)
+        sent = table.groupBy("b").applyInArrow(trimmed(short(o)), BLOBS) if o <= 2 else table.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(trimmed(longer(o)), BLOBS)
         reply = tally(sent).withColumn("kind", F.lit(o))
         replies = reply if replies is None else replies.unionByName(reply)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log10_score"), F.lit(None).cast("double").alias("mean_log10")).schema
@@ -113,5 +113,5 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
         mean = [s / c if c else None for s, c in zip(doc.tolist(), w.counts.tolist())]
         return pa.Table.from_arrays([*(left.column(c) for c in columns), pa.array(w.counts, pa.int64()), pa.array(doc, pa.float64()), pa.array(mean, pa.float64())], names=names)
 
-    return table.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(finish, schema)
+    return table.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(trimmed(finish), schema)
 

@@ -14,7 +14,6 @@ next one; repeated rows are rows like others; extra columns are left behind.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 
 import numpy as np

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandwork.llm._graph import block_tasks, components, forest
 from strandwork.llm._store import cut
-from strandwork.llm._text import U64, Words, grams, mix, texts_of
+from strandwork.llm._text import U64, Words, grams, mix, texts_of, trimmed
 
 N = 5
 THRESHOLD = 0.8
@@ -113,7 +113,7 @@ def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                     vals[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size, pa.int32()), pa.array(vals, pa.binary())], names=_SET_NAMES)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, SETS)
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(trimmed(run), SETS)
 
 
 def _paths(rows: DataFrame, run: int, depth: int, picks: int) -> DataFrame:
@@ -167,7 +167,7 @@ def _compare_sketches(tasks: DataFrame, least: int) -> DataFrame:
         a, b = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return tasks.select("task", "key", "x", "y", "own", "c", "sketch").groupBy("task").applyInArrow(compare, "a long, b long")
+    return tasks.select("task", "key", "x", "y", "own", "c", "sketch").groupBy("task").applyInArrow(trimmed(compare), "a long, b long")
 
 
 def _run(classes: DataFrame, roots: DataFrame | None, run: int, picks: int, small: int, least: int) -> list[DataFrame]:
@@ -234,7 +234,7 @@ def _exact(members: DataFrame, docs: DataFrame, key: str, text: str, n: int, thr
         return pa.Table.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(out[2], pa.int64())], names=["c", "links", "root"])
 
     tasks = block_tasks(members, "root", "c", "size", block, 512).join(rows, "c")
-    return tasks.select("task", "root", "x", "y", "own", "c", "n", "t").groupBy("task").applyInArrow(compare, "c long, links long, root long")
+    return tasks.select("task", "root", "x", "y", "own", "c", "n", "t").groupBy("task").applyInArrow(trimmed(compare), "c long, links long, root long")
 
 
 def _shared(at: np.ndarray, h: np.ndarray, p: np.ndarray, q: np.ndarray, width: int = 4096) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandwork.llm._store import cut
-from strandwork.llm._text import texts_of
+from strandwork.llm._text import texts_of, trimmed
 
 CAPACITY = 1024
 END = 2
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
         if keys:
             yield emit(keys, texts)
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, lots: int = LOTS) -> np.ndarray:

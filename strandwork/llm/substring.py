@@ -20,10 +20,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandwork.llm._packed import BLOBS, Distinct, blobs, dealt, tally, totals
 from strandwork.llm._store import slices
-from strandwork.llm._text import TOP, U64, Words, grams, mix, sliding, texts_of
+from strandwork.llm._text import TOP, U64, Words, grams, mix, sliding, texts_of, trimmed
 
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 5 << 20
 
 
 def anchors(w: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,8 +61,8 @@ def _kept(w: Words, removed: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     mask = np.cumsum(mask[:-1], dtype=np.int8) > 0
     data = w.data.copy()
     data[w.ends] = 0x20
-    sums = np.concatenate([[0], np.cumsum(mask)])
-    out, at = data[mask].tobytes(), sums[w.at]
+    sums = np.cumsum(mask, dtype=np.int32)
+    out, at = data[mask].tobytes(), np.where(w.at > 0, sums[w.at - 1], 0) if len(sums) else w.at
     lost = np.concatenate([[0], np.cumsum(removed)])
     return [out[s : max(s, e - 1)] for s, e in zip(at, at[1:])], lost[w.hi] - lost[w.lo]
 
@@ -98,7 +98,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, anchor
         columns = [left.column(c) for c in kept_columns]
         return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(lost, pa.int64())], names=arrow.names)
 
-    first = tally(dealt_docs.groupBy("b").applyInArrow(seeds, BLOBS))
-    second = tally(dealt_docs.groupBy("b").cogroup(first.groupBy("b")).applyInArrow(extend, BLOBS))
+    first = tally(dealt_docs.groupBy("b").applyInArrow(trimmed(seeds), BLOBS))
+    second = tally(dealt_docs.groupBy("b").cogroup(first.groupBy("b")).applyInArrow(trimmed(extend), BLOBS))
     both = first.withColumn("kind", F.lit(False)).unionByName(second.withColumn("kind", F.lit(True)))
-    return dealt_docs.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(strip, schema)
+    return dealt_docs.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(trimmed(strip), schema)

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandwork.llm._text import U64, mix, span_hashes, texts_words
+from strandwork.llm._store import cut
+from strandwork.llm._text import U64, mix, small_batches, span_hashes, texts_words, trimmed
 
 MOST_ROWS = 8000
 MOST_FEATURES = 4096
@@ -73,33 +74,20 @@ def _latent(model: Model, texts: list[str | None]) -> np.ndarray:
     return np.bincount(d[hit], (1 + np.log(n[hit])) * model.weights[at[hit]], len(texts))
 
 
-def train(doc: np.ndarray, key: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray, most_features: int = MOST_FEATURES, steps: int = 600, penalty: float = 1e-5) -> Model:
-    """A model from (text, feature, count) triples of len(toxic) texts."""
+NOTHING = Model(np.empty(0, U64), np.empty(0), np.empty(0))
+
+
+def train(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray, toxic: np.ndarray, steps: int = 600, penalty: float = 1e-5) -> Model:
+    """A model from (text, place in keys, count) triples of len(toxic) texts."""
     n, pos = len(toxic), int(toxic.sum())
-    if not 0 < pos < n or not len(key):
-        return Model(np.empty(0, U64), np.empty(0), np.empty(0))
-    keys, of = np.unique(key, return_inverse=True)
-    df = np.bincount(of, minlength=len(keys)).astype(float)
-    a = np.bincount(of, toxic[doc].astype(float), len(keys))
-    b = df - a
-    rate = pos / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(a > 0, a * np.log(a / (df * rate)), 0.0) + np.where(b > 0, b * np.log(b / (df * (1 - rate))), 0.0)
-    # Only features that toxic texts have more often speak, and so clearly that chance would make less than one of them.
-    common = df >= LEAST_TEXTS
-    useful = np.flatnonzero(common & (a > df * rate) & (gain >= np.log(max(1, common.sum()))))
-    useful = np.sort(useful[np.argsort(-gain[useful], kind="stable")][:most_features])
-    if not len(useful):
-        return Model(np.empty(0, U64), np.empty(0), np.empty(0))
-    place = np.full(len(keys), -1)
-    place[useful] = np.arange(len(useful))
-    hit = place[of] >= 0
-    r, f, x = doc[hit], place[of[hit]], 1 + np.log(count[hit])
+    if not 0 < pos < n or not len(keys):
+        return NOTHING
+    r, f, x = doc, place, 1 + np.log(count)
     hits = np.bincount(r, x, n)
     grade = np.zeros(n, np.int64)
     sick = toxic.astype(bool)
     grade[sick] = 1 + np.searchsorted(np.quantile(hits[sick], [1 / 3, 2 / 3]), hits[sick], "right")
-    w, t = np.zeros(len(useful)), np.array([2.0, 0.0, 0.0])  # first cut, then the logarithms of the steps between cuts
+    w, t = np.zeros(len(keys)), np.array([2.0, 0.0, 0.0])  # first cut, then the logarithms of the steps between cuts
     m, v, p = np.zeros(len(w) + 3), np.zeros(len(w) + 3), np.concatenate([w, t])
     for i in range(1, steps + 1):
         w, t = p[:-3], p[-3:]
@@ -118,29 +106,59 @@ def train(doc: np.ndarray, key: np.ndarray, count: np.ndarray, words: np.ndarray
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.05 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     w, t = p[:-3], p[-3:]
-    return Model(keys[useful], w, t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))]))
+    return Model(keys, w, t[0] + np.concatenate([[0.0], np.cumsum(np.exp(t[1:]))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, seed: int = 5) -> Model:
-    """A model from the first most_rows labelled documents by seeded hash of the id."""
+def _useful(texts: DataFrame, n: int, pos: int, most_features: int) -> np.ndarray:
+    """Hashes of the features that toxic texts have more often, so clearly that chance would make less than one of them."""
+
+    def run(batches):
+        for batch in small_batches(batches, 1):
+            d, k, _, _ = features(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.array(batch.column(0))[d], pa.int32())], names=["k", "y"])
+
+    each = texts.select("y", "t").mapInArrow(trimmed(run), "k long, y int").groupBy("k").agg(F.count(F.lit(1)).alias("df"), F.sum("y").alias("a")).where(F.col("df") >= LEAST_TEXTS)
+    each = cut(each, "features")
+    common = each.count()
+    rate, b = pos / n, F.col("df") - F.col("a")
+    part = lambda c, share: F.when(c > 0, c * F.log(c / (F.col("df") * share))).otherwise(0.0)
+    gain = part(F.col("a"), rate) + part(b, 1 - rate)
+    found = each.where(F.col("a") > F.col("df") * rate).withColumn("gain", gain).where(F.col("gain") >= float(np.log(max(1, common))))
+    rows = found.orderBy(F.col("gain").desc(), "k").limit(most_features).select("k").collect()
+    return np.sort(np.array([r["k"] for r in rows], np.int64).view(U64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES, seed: int = 5) -> Model:
+    """A model from the first most_rows labelled documents by seeded hash of the id.
+
+    Features are counted and chosen on the executors; the driver gets the chosen ones and where the sample has them.
+    """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("long").alias("id"), (F.col(label) > 0).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(most_rows)
     rows = docs.select(F.col(key).cast("long").alias("id2"), F.col(text).cast("string").alias("t")).join(F.broadcast(some), F.col("id2") == F.col("id"))
+    sample = cut(rows.select("y", "t").limit(most_rows), "labelled")  # fewer rows than most_rows, unless ids repeat
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).first()
+    n, pos = total["n"], total["y"] or 0
+    if not 0 < pos < n:
+        return NOTHING
+    keys = _useful(sample, n, pos, most_features)
+    if not len(keys):
+        return NOTHING
 
     def run(batches):
-        for batch in batches:
-            d, k, n, words = features(batch.column(0).to_pylist())
-            cut = np.searchsorted(d, np.arange(len(words) + 1))
-            pair = [(k[a:b].astype("<u8").tobytes(), n[a:b].astype("<u4").tobytes()) for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.int64()), pa.array([x for x, _ in pair], pa.binary()), pa.array([x for _, x in pair], pa.binary())], names=["y", "words", "k", "n"])
+        for batch in small_batches(batches, 1):
+            d, k, c, words = features(batch.column(1).to_pylist())
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            hit = keys[at] == k
+            d, at, c = d[hit], at[hit], c[hit]
+            ends = np.searchsorted(d, np.arange(len(words) + 1))
+            pairs = [(at[s:e].astype("<i4").tobytes(), c[s:e].astype("<u4").tobytes()) for s, e in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())], names=["y", "at", "c"])
 
-    # At most most_rows rows, unless ids repeat: those of one id beyond the bound do not count.
-    got = rows.select("t", "y").mapInArrow(run, "y int, words long, k binary, n binary").limit(most_rows).collect()
-    if not got:
-        return train(*[np.empty(0)] * 5)
-    key_ = [np.frombuffer(g["k"], "<u8") for g in got]
-    doc = np.repeat(np.arange(len(got)), [len(k) for k in key_])
-    return train(doc, np.concatenate(key_), np.concatenate([np.frombuffer(g["n"], "<u4") for g in got]), np.array([g["words"] for g in got]), np.array([g["y"] for g in got]))
+    got = sample.mapInArrow(run, "y int, at binary, c binary").collect()
+    at = [np.frombuffer(g["at"], "<i4") for g in got]
+    doc = np.repeat(np.arange(len(got)), [len(x) for x in at])
+    return train(keys, doc, np.concatenate(at), np.concatenate([np.frombuffer(g["c"], "<u4") for g in got]), np.array([g["y"] for g in got]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -152,10 +170,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, kept.index(text)):
             n = batch.num_rows
             above = m.grades(_latent(m, batch.column(kept.index(text)).to_pylist())) if len(m.cuts) else np.zeros((n, GRADES - 1))
             each = np.concatenate([np.ones((n, 1)), above], 1) - np.concatenate([above, np.zeros((n, 1))], 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(each.argmax(1), pa.int32()), pa.array(above.sum(1), pa.float64()), pa.array(above[:, 0] >= 0.5, pa.bool_())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
