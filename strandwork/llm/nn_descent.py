@@ -6,9 +6,9 @@ that stand in its list or hold it in theirs, and those of them that are nearer t
 entries enter. Rounds stop when few entries change. Recall is audited against brute force on a bounded sample of
 vectors; while it is below the target, further trees and rounds follow. Edges at the threshold are kept.
 
-A list of K entries that are all links is saturated: it may hide more. All links of a vector lie in its component of
-kept edges, so the lists of such components are enlarged to the whole component, in blocks of pairs, which counts
-every link among them exactly.
+A list of K entries that are all links is saturated: it may hide more, also links to another component. Vectors with
+saturated lists are therefore compared with all vectors of their label, in blocks of pairs, before components are
+made. Links are then counted over all pairs of each component, which is exact.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors with a null label link
 with nothing (n_links 0, component_id their own id, kept); vectors of different lengths never link; equal vectors
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm._graph import block_tasks, components
+from strandwork.llm._graph import block_tasks, components, forest
 from strandwork.llm._store import cut
 
 K = 12
@@ -150,8 +150,42 @@ def _local_join(lists: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return rows.select("task", "a", "m", "low", "vec").groupBy("task").applyInArrow(meet, EDGES)
 
 
+def _saturated(lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(c) of the vectors whose lists are full of links."""
+    return lists.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("c")).count().where(F.col("count") >= k).select("c")
+
+
+def _all_links(asked: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b) spanning edges of all links of the asked vectors, each compared with every vector of its label, in blocks."""
+    keys = ["label", "dim"]
+    per = classes.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).join(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked")), keys)
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    per = per.select(*keys, blocks("asked").alias("nx"), blocks("members").alias("ny"))
+    own = lambda n: F.pmod(F.xxhash64("c", F.lit(11)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = asked.join(per, keys).select(*keys, "c", "vec", "nx", "ny", F.lit(True).alias("ask"), own("nx").alias("x"), every("ny").alias("y"))
+    rows = rows.unionByName(classes.join(per, keys).select(*keys, "c", "vec", "nx", "ny", F.lit(False).alias("ask"), every("nx").alias("x"), own("ny").alias("y")))
+    task = F.when((F.col("nx") == 1) & (F.col("ny") == 1), F.pmod(F.xxhash64(*keys), F.lit(64))).otherwise(F.xxhash64(*keys, "x", "y"))
+
+    def compare(table):
+        g = table.to_pandas()
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for _, one in g.groupby([*keys, "x", "y"], sort=False):
+            ask, c = one["ask"].to_numpy(bool), one["c"].to_numpy(np.int64)
+            v = _matrix(pa.array(one["vec"], pa.binary()))
+            p, q = np.flatnonzero(ask), np.flatnonzero(~ask)
+            i, j = np.nonzero((v[p] @ v[q].T >= threshold) & (c[p][:, None] != c[q][None, :]))
+            if len(i):
+                node, root = forest(c[p][i], c[q][j])
+                out_a.append(node[node != root])
+                out_b.append(root[node != root])
+        return pa.Table.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+    return rows.select(task.alias("task"), *keys, "x", "y", "ask", "c", "vec").groupBy("task").applyInArrow(compare, "a long, b long")
+
+
 def _audit(lists: DataFrame, classes: DataFrame, k: int, threshold: float, sample: int) -> float:
-    """Share of a sample's links (its k nearest at most) that the lists hold, against brute force over all vectors."""
+    """Share of a sample's links that the lists of one of their ends hold or, being saturated, leave to the search of all vectors; against brute force."""
     asked = classes.orderBy(F.xxhash64(F.lit(23), "c"), "c").limit(sample)
     rows = [(r["c"], r["label"], r["dim"], r["vec"]) for r in asked.collect()]  # at most `sample` vectors
     if not rows:
@@ -176,8 +210,14 @@ def _audit(lists: DataFrame, classes: DataFrame, k: int, threshold: float, sampl
             t = _edges(parts)
             yield from t.to_batches() or [pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.columns], names=t.column_names)]
 
-    truth = _best(classes.mapInArrow(find, EDGES), k)
-    got = truth.join(lists.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit")).first()
+    truth = classes.mapInArrow(find, EDGES)
+    held = lists.where(F.col("sim") >= threshold)
+    held = held.select("a", "b").unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("hit", F.lit(1))
+    full = _saturated(lists, threshold, k)
+    found = truth.join(held, ["a", "b"], "left")
+    for end in ("a", "b"):
+        found = found.join(full.select(F.col("c").alias(end), F.lit(1).alias(f"full_{end}")), end, "left")
+    got = found.agg(F.count(F.lit(1)).alias("n"), F.count(F.coalesce("hit", "full_a", "full_b")).alias("hit")).first()
     return got["hit"] / got["n"] if got["n"] else 1.0
 
 
@@ -231,8 +271,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """Per vector: vec_id, n_links, component_id and kept."""
     classes = cut(_classes(vectors, key, vector, label), "classes")
     lists, _ = neighbour_lists(classes, threshold, k, **search)
-    kept = lists.where(F.col("sim") >= threshold)
-    roots = cut(components(kept.select("a", "b")), "roots")
+    kept = lists.where(F.col("sim") >= threshold).select("a", "b")
+    full = classes.join(_saturated(lists, threshold, k), "c", "left_semi")
+    roots = cut(components(kept.unionByName(_all_links(full, classes, threshold, block))), "roots")
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = roots.join(sizes, "root").join(classes, roots["node"] == classes["c"])
     links = _count_links(members, threshold, block).join(roots.select(F.col("node").alias("c"), "root"), "c")
