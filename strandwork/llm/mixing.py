@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
-Each source's words lie on a line, its documents in seeded order, cut into equal blocks. A source's quota of blocks
-is the number of quotients target / (2k + 1), k = 0, 1, ..., that reach half a block: the Sainte-Laguë apportionment
-of all blocks granted, without ranking them one by one. The quota is apportioned to the source's shards of blocks by
-highest quotients, and each shard takes all its blocks equally often, the rest in seeded order. What a document
-gives is a difference of prefix sums at its two ends, so nothing is grouped by document.
+Each source's words lie on a line, its documents in seeded order, cut into equal blocks. A source's quota of words
+is the number of quotients target / (2k + 1), k = 0, 1, ..., that reach half a word: the Sainte-Laguë apportionment
+of all words granted, without ranking them one by one. The whole blocks of the quota are apportioned to the source's
+shards of blocks by highest quotients, and each shard takes all its blocks equally often, the rest in seeded order.
+Words short of the quota then (less than a block, or what a partial last block lacks) come from the source's blocks in
+seeded order, as far as none is taken more than `most` times, so a source meets its quota to the word however large a
+block is. What a document gives is a difference of prefix sums at its two ends, so nothing is grouped by document.
 
 Lines are laid by source and hash shard, so a source with a third of all rows is spread over `shards` groups; the
 blocks number at most `blocks` plus one per source whatever the corpus's size.
@@ -63,12 +65,13 @@ def mix(rows: DataFrame, source: str = "source", size: str = "size", key: str =
     offsets = groups.withColumn("__offset", F.coalesce(F.sum("__sum").over(line), F.lit(0))).drop("__sum")
     sources = targets(groups.groupBy("__source").agg(F.sum("__sum").alias("source_size")), "__source", "source_size", most)
 
-    # Blocks of equal size over all sources; quotients of at least half a block are granted.
+    # Blocks of equal size over all sources; quotas are in words, and their whole blocks are dealt first.
     b = F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(Window.partitionBy()) / blocks)).cast("long")
     sources = sources.withColumn("__b", b).withColumn("__m", F.ceil(F.col("source_size") / F.col("__b")).cast("long"))
-    sources = sources.withColumn("__q", F.least(F.floor(F.col("target") / F.col("__b") + 0.5), F.col("__m") * most).cast("long"))
+    sources = sources.withColumn("__quota", F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * most).cast("long"))
+    sources = sources.withColumn("__q", F.floor(F.col("__quota") / F.col("__b")).cast("long"))
 
-    # The quota of a source over its shards (block number modulo shards), by highest quotients.
+    # The blocks of a source over its shards (block number modulo shards), by highest quotients.
     m = F.greatest(F.floor((F.col("__m") - F.col("__s") + shards - 1) / shards), F.lit(0)).cast("long")
     parts = sources.where("__m > 0").withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("__ms", m).where("__ms > 0")
     sure = F.greatest(F.floor(F.col("__q") * F.col("__ms") / F.col("__m")) - 2, F.lit(0)).cast("long")
@@ -78,7 +81,7 @@ def mix(rows: DataFrame, source: str = "source", size: str = "size", key: str =
     seats = seats.where(F.col("__k") < F.col("__ms") * most)
     by_quotient = Window.partitionBy("__source").orderBy((F.col("__ms") / (2 * F.col("__k") + 1)).desc(), "__s")
     won = seats.withColumn("__won", (F.row_number().over(by_quotient) <= F.col("__left")).cast("long"))
-    quotas = won.groupBy("__source", "__s").agg(F.first("__base").alias("__base"), F.sum("__won").alias("__more"), F.first("__ms").alias("__ms"), F.first("__m").alias("__m"), F.first("__b").alias("__b"), F.first("source_size").alias("__size"))
+    quotas = won.groupBy("__source", "__s").agg(F.first("__base").alias("__base"), F.sum("__won").alias("__more"), F.first("__ms").alias("__ms"), F.first("__m").alias("__m"), F.first("__b").alias("__b"), F.first("source_size").alias("__size"), F.first("__quota").alias("__quota"))
     quotas = quotas.withColumn("__q", F.col("__base") + F.col("__more"))
 
     # Every block of a shard equally often, the rest in seeded order; then prefix sums of the words taken.
@@ -86,9 +89,17 @@ def mix(rows: DataFrame, source: str = "source", size: str = "size", key: str =
     seeded = Window.partitionBy("__source", "__s").orderBy(F.xxhash64(F.lit(seed), F.col("__source"), F.col("__block")), "__block")
     times = F.floor(F.col("__q") / F.col("__ms")) + (F.row_number().over(seeded) <= F.col("__q") % F.col("__ms")).cast("long")
     each = each.withColumn("__times", times.cast("long"))
-    words = F.least(F.col("__b"), F.col("__size") - F.col("__block") * F.col("__b")) * F.col("__times")
+    each = each.withColumn("__len", F.least(F.col("__b"), F.col("__size") - F.col("__block") * F.col("__b")))
+
+    # Words short of the quota: from blocks in seeded order, the last of them only up to a cut.
+    short = F.col("__quota") - F.sum(F.col("__len") * F.col("__times")).over(Window.partitionBy("__source"))
+    each = each.withColumn("__short", short).withColumn("__room", F.col("__len") * (most - F.col("__times")))
+    earlier = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed), F.col("__source"), F.col("__block")), "__block").rowsBetween(Window.unboundedPreceding, -1)
+    more = F.greatest(F.lit(0), F.least(F.col("__room"), F.col("__short") - F.coalesce(F.sum("__room").over(earlier), F.lit(0))))
+    each = each.withColumn("__more", more).withColumn("__times", F.col("__times") + F.floor(F.col("__more") / F.col("__len"))).withColumn("__cut", F.col("__more") % F.col("__len"))
+    words = F.col("__len") * F.col("__times") + F.col("__cut")
     upto = Window.partitionBy("__source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.select("__source", "__block", "__times", F.coalesce(F.sum(words).over(upto), F.lit(0)).alias("__before"))
+    each = each.select("__source", "__block", "__times", "__cut", F.coalesce(F.sum(words).over(upto), F.lit(0)).alias("__before"))
 
     # A row's place on its source's line, and the words taken up to its two ends.
     place = Window.partitionBy(source, "__shard").orderBy("__h", key, "__n").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,9 +109,9 @@ def mix(rows: DataFrame, source: str = "source", size: str = "size", key: str =
     start = F.col("__at") + F.col("__offset")
     out = left_rows.withColumn("__start", start).withColumn("__stop", start + F.greatest(F.col("__n") - 1, F.lit(0)))
     for side in ("__start", "__stop"):
-        spots = each.select(F.col("__source").alias("__s1"), F.col("__block").alias("__b1"), F.col("__times").alias(f"{side}_t"), F.col("__before").alias(f"{side}_w"))
+        spots = each.select(F.col("__source").alias("__s1"), F.col("__block").alias("__b1"), F.col("__times").alias(f"{side}_t"), F.col("__cut").alias(f"{side}_c"), F.col("__before").alias(f"{side}_w"))
         out = out.join(spots, F.col(source).eqNullSafe(F.col("__s1")) & (F.floor(F.col(side) / F.col("__b")) == F.col("__b1")), "left").drop("__s1", "__b1")
-    upto_start = F.col("__start_w") + F.col("__start") % F.col("__b") * F.col("__start_t")
-    upto_stop = F.col("__stop_w") + (F.col("__stop") % F.col("__b") + 1) * F.col("__stop_t")
+    upto_start = F.col("__start_w") + F.col("__start") % F.col("__b") * F.col("__start_t") + F.least(F.col("__start") % F.col("__b"), F.col("__start_c"))
+    upto_stop = F.col("__stop_w") + (F.col("__stop") % F.col("__b") + 1) * F.col("__stop_t") + F.least(F.col("__stop") % F.col("__b") + 1, F.col("__stop_c"))
     taken = F.when(F.col("__n") > 0, upto_stop - upto_start).otherwise(F.lit(0)).cast("long")
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
