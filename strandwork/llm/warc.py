@@ -4,7 +4,8 @@ Writing: each page is an HTTP response in chunked transfer framing. Of equal pay
 one with the smallest page_id is a response, the others are revisit records without a body that name it. A record
 block longer than `segment` bytes is split into a first record and continuation records with
 WARC-Segment-Origin-ID, WARC-Segment-Number and, on the last, WARC-Segment-Total-Length. Spark's text sink writes
-the files, record by record, so archives land wherever Spark can write, and lost tasks are written again.
+the files, record by record, so archives land wherever Spark can write, and lost tasks are written again. Every row has
+a number of its own in its record id, fixed in a cut before ids are used, so rows of one page_id stay apart.
 
 Reading: files are parsed by Content-Length. A record without segments is decoded where it is read; segments are
 grouped by origin identifier, ordered by number, checked for gaps and against the total length, then joined; the HTTP
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwork.llm._store import cut, shared_path
+from strandwork.llm._store import cut, drop_cut, shared_path
 
 SEGMENT = 1 << 18
 CHUNK = 1 << 14
@@ -79,14 +80,18 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " and c != "\x7f" else "%%%02X" % ord(c) for c in url)
 
 
-def page_records(page_id: int | None, url: str | None, html: bytes, digest: str, refers_to: int | None, revisit: bool, segment: int, chunk: int) -> Iterator[bytes]:
-    name = lambda x: f"<urn:page:{'' if x is None else x}>"
-    common = [("WARC-Record-ID", name(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
+def _name(page_id: int | None, row: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:row:{row}>"
+
+
+def page_records(page_id: int | None, row: int, url: str | None, html: bytes, digest: str, refers_to: tuple[int, int] | None, segment: int, chunk: int) -> Iterator[bytes]:
+    """The records of a row; a revisit's refers_to is the page_id and row of the response that it repeats."""
+    common = [("WARC-Record-ID", _name(page_id, row)), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     kind = ("Content-Type", "application/http; msgtype=response")
-    if revisit:
+    if refers_to is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        yield record([("WARC-Type", "revisit"), *common, profile, ("WARC-Refers-To", name(refers_to)), ("X-Payload-Bytes", str(len(html))), kind], http + CRLF)
+        yield record([("WARC-Type", "revisit"), *common, profile, ("WARC-Refers-To", _name(*refers_to)), ("X-Payload-Bytes", str(len(html))), kind], http + CRLF)
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(html, chunk)
     if len(block) <= segment:
@@ -96,29 +101,29 @@ def page_records(page_id: int | None, url: str | None, html: bytes, digest: str,
     yield record([("WARC-Type", "response"), *common, ("WARC-Segment-Number", "1"), kind], parts[0])
     for i, part in enumerate(parts[1:], 2):
         last = i == len(parts)
-        own = ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}:segment:{i}>")
-        yield record([("WARC-Type", "continuation"), own, *common[1:3], ("WARC-Segment-Origin-ID", name(page_id)), ("WARC-Segment-Number", str(i)), ("WARC-Segment-Total-Length", str(len(block)) if last else None)], part)
+        own = ("WARC-Record-ID", f"{_name(page_id, row)[:-1]}:segment:{i}>")
+        yield record([("WARC-Type", "continuation"), own, *common[1:3], ("WARC-Segment-Origin-ID", _name(page_id, row)), ("WARC-Segment-Number", str(i)), ("WARC-Segment-Total-Length", str(len(block)) if last else None)], part)
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", segment: int = SEGMENT, chunk: int = CHUNK, least: int = LEAST) -> None:
     """Writes the pages' WARC files under path, gzipped."""
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    digest = F.sha2(F.col("html").cast("binary"), 256)
-    known = rows.select("page_id", digest.alias("digest"), F.octet_length("html").alias("n"))
+    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("n", F.octet_length("html"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     # Only pages that repeat an earlier one are looked up; counts and smallest ids are made before the shuffle.
-    first = known.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    first = cut(first.withColumnRenamed("digest", "again"), "repeated")
+    smallest = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row")))
+    first = rows.where(F.col("n") >= least).groupBy("digest").agg(smallest.alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = cut(first.select(F.col("digest").alias("again"), F.col("first.page_id").alias("first"), F.col("first.row").alias("first_row")), "repeated")
     small = first.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    kept = rows.withColumn("digest", digest).withColumn("n", F.octet_length("html"))
-    kept = kept.join(F.broadcast(first) if small else first, (F.col("digest") == F.col("again")) & (F.col("n") >= least), "left")
+    kept = rows.join(F.broadcast(first) if small else first, (F.col("digest") == F.col("again")) & (F.col("n") >= least), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    kept = kept.select("page_id", "url", "html", "digest", "first", revisit.alias("revisit"))
+    kept = kept.select("page_id", "row", "url", "html", "digest", "first", "first_row", revisit.alias("revisit"))
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for pid, u, body, d, f, again in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                for r in page_records(pid, u, body.encode(), d, f, again, segment, chunk):
+            for pid, row, u, body, d, f, f_row, again in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                for r in page_records(pid, row, u, body.encode(), d, (f, f_row) if again else None, segment, chunk):
                     held.append(r)
                     size += len(r)
                     if size >= ROW_BYTES:  # a row of the sink holds several records, so files stay within FILE_ROWS of them
@@ -129,6 +134,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     lines = kept.mapInArrow(run, "r binary").select(F.col("r").cast("string").alias("value"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    drop_cut(rows)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -230,6 +236,6 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     path = shared_path(spark, "warc")
     write_archives(pages, path, key, url, html, segment, chunk, least)
     read = read_archives(spark, path)
-    number = lambda c: F.regexp_extract(F.col(c), r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(F.col(c), r"^<urn:page:(-?\d+):row:\d+>$", 1).try_cast("long")
     return read.select(number("id").alias("page_id"), "url", "kind", "payload", "digest", "payload_bytes", number("refers_to").alias("refers_to"))
 
