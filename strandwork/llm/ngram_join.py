@@ -41,7 +41,6 @@ SET_BLOCK = 256
 DEPTH = 8
 STEP_BYTES = 2 << 20
 MOST_BROADCAST = 200_000
-NULL_ID = 1 << 62
 _MUL = np.random.default_rng(3).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -267,9 +266,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """Per document: doc_id, class_id (the smallest id among the documents that links connect) and n_links (documents linked directly)."""
     sets = cut(_sets(docs, key, text, n), "sets")
     classes = sets.where("size > 0").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("sketch").alias("sketch"))
-    spare = F.lit(NULL_ID) + F.pmod(F.xxhash64("k1", "k2", "size"), F.lit(NULL_ID))
-    classes = cut(classes.select("k1", "k2", "size", "n", F.coalesce("id", spare).alias("c"), "sketch"), "classes")
-    joined = classes.where(F.col("c") < NULL_ID)
+    # A class without an id has a null c: it joins nothing below, and every 64-bit id is a valid c.
+    classes = cut(classes.select("k1", "k2", "size", "n", F.col("id").alias("c"), "sketch"), "classes")
+    joined = classes.where(F.col("c").isNotNull())
     runs = max(1, math.ceil(math.log(1 - recall) / math.log((1 - threshold) ** picks)))
     roots = edges = None
     for run in range(runs):
@@ -285,5 +284,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     each = classes.select("k1", "k2", "size", "n", "c").join(links, "c", "left").join(linked, "c", "left")
     each = each.select("k1", "k2", "size", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "c").alias("class"))
     out = sets.drop("sketch").join(each, ["k1", "k2", "size"], "left")
-    name = F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("class") < NULL_ID, F.col("class"))
-    return out.select("doc_id", name.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
