@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from strandwork.llm._store import cut, drop_cut, shared_path
 
-SEGMENT = 1 << 18
-CHUNK = 1 << 14
+SEGMENT = 1 << 13
+CHUNK = 1 << 12
 LEAST = 100
 ROW_BYTES = 1 << 20
 FILE_ROWS = 24
