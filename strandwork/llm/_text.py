@@ -15,6 +15,7 @@ U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 _MULT = 0x9E3779B97F4A7C15 | 1
 _CHUNK = 1 << 20
+LONG = 64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _TAB = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -79,22 +80,26 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def span_hashes(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the ordered spans raw[start:end], by prefix sums."""
-    n, out, i = len(starts), np.empty(len(starts), U64), 0
+    """A 64-bit hash of each of the ordered spans raw[start:end]: by prefix sums, or xxhash from LONG bytes on.
+
+    A polynomial modulo 2**64 gives equal hashes to certain long words of two letters (Thue-Morse words of 2**10
+    letters and more), so only short spans are hashed by it.
+    """
+    n, out = len(starts), np.empty(len(starts), U64)
+    long = np.flatnonzero(ends - starts >= LONG)
+    out[long] = [xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    short = np.flatnonzero(ends - starts < LONG)
+    starts, ends, i, n = starts[short], ends[short], 0, len(short)
     up, down = _powers(_CHUNK + 1)
     with np.errstate(over="ignore"):
         while i < n:
             s = int(starts[i])
             j = int(np.searchsorted(ends, s + _CHUNK, "right"))
-            if j <= i:  # a span longer than a chunk
-                out[i] = xxhash.xxh64_intdigest(raw[s : int(ends[i])])
-                i += 1
-                continue
             e = int(ends[j - 1])
             sums = np.zeros(e - s + 1, U64)
             np.cumsum(_TAB[data[s:e]] * up[: e - s], out=sums[1:])
             a, b = starts[i:j] - s, ends[i:j] - s
-            out[i:j] = mix((sums[b] - sums[a]) * down[a])
+            out[short[i:j]] = mix((sums[b] - sums[a]) * down[a])
             i = j
     return out
 

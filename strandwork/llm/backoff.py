@@ -9,8 +9,10 @@ and N their words, a word after its (at most order - 1) predecessors in the docu
 c(context) at the longest context with c(context word) > 0, times alpha for each word of context given up; without
 context c(word) / N, or alpha / (N + 1) if no other document has the word.
 
-Defined cases: null or empty text has no words, log10_score 0 and mean_log10 null; copies count as other documents;
-extra columns pass through, and a column named like a result is replaced by it.
+With its own counts a document would know each of its n-grams and never back off. Copies count as other documents.
+
+Defined cases: null or empty text has no words, log10_score 0 and mean_log10 null; extra columns pass through, and a
+column named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandwork.llm._packed import BLOBS, Distinct, blobs, dealt, tally, totals
+from strandwork.llm._packed import BATCH, BLOBS, Distinct, blobs, dealt, lanes, tally, totals
 from strandwork.llm._store import slices
 from strandwork.llm._text import U64, Words, count_words, grams, texts_of, trimmed
 
@@ -78,9 +80,10 @@ def _scores(w: Words, counts: list[np.ndarray], words: int, alpha: float) -> np.
 
 def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.4, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """docs with n_words, log10_score (the sum over the words) and mean_log10."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in (*RESULTS, "b") and c != text])
-    n = slices(docs, text, batch_bytes)
-    table, columns = dealt(docs, text, n), docs.columns
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS and c != text])
+    batches = slices(docs, text, batch_bytes)
+    n = lanes(batches)
+    table, columns = dealt(docs, text, batches), docs.columns
 
     def short(order):
         def send(key, batch):
@@ -98,8 +101,8 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
 
     replies = None
     for o in range(1, order + 1):
-        sent = table.groupBy("b").applyInArrow(trimmed(short(o)), BLOBS) if o <= 2 else table.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(trimmed(longer(o)), BLOBS)
-        reply = tally(sent).withColumn("kind", F.lit(o))
+        sent = table.groupBy(BATCH).applyInArrow(trimmed(short(o)), BLOBS) if o <= 2 else table.groupBy(BATCH).cogroup(replies.groupBy("b")).applyInArrow(trimmed(longer(o)), BLOBS)
+        reply = tally(sent, batches).withColumn("kind", F.lit(o))
         replies = reply if replies is None else replies.unionByName(reply)
     schema = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log10_score"), F.lit(None).cast("double").alias("mean_log10")).schema
     names = to_arrow_schema(schema).names
@@ -113,5 +116,5 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
         mean = [s / c if c else None for s, c in zip(doc.tolist(), w.counts.tolist())]
         return pa.Table.from_arrays([*(left.column(c) for c in columns), pa.array(w.counts, pa.int64()), pa.array(doc, pa.float64()), pa.array(mean, pa.float64())], names=names)
 
-    return table.groupBy("b").cogroup(replies.groupBy("b")).applyInArrow(trimmed(finish), schema)
+    return table.groupBy(BATCH).cogroup(replies.groupBy("b")).applyInArrow(trimmed(finish), schema)
 

@@ -2,8 +2,11 @@
 
 Seeds are winnowed anchors: of the hashes of `anchor` consecutive words, the smallest in every run of
 `length - anchor + 1`, so each window of `length` words holds one, picked from the window alone. Anchors are
-joined over all documents; an anchor that occurs again is extended both ways to each window that it stands for, and
-these are joined by an 80-bit hash of their whole word sequence. Windows that overlap make up the maximal repeats.
+joined over all documents. An anchor that occurs again is extended both ways: to every window around it whose winnowed
+anchor it is, from anchor at the window's end to anchor at its start. Not each pair of occurrences is extended, as
+a passage with n copies has n * n of them: the extended windows of all occurrences meet by a hash of their whole word
+sequence (80 bits besides the hash range), so the hottest passage costs one key per batch. Windows that repeat and
+follow each other join to maximal repeats; their first and last word are the spans returned.
 
 Defined cases: null or empty text and texts under `length` words lose nothing; a repeat within one document counts;
 repeated rows lose each window that they share; extra columns pass through, and a column named like a result is
@@ -18,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandwork.llm._packed import BLOBS, Distinct, blobs, dealt, tally, totals
+from strandwork.llm._packed import BATCH, BLOBS, Distinct, blobs, dealt, lanes, tally, totals
 from strandwork.llm._store import slices
 from strandwork.llm._text import TOP, U64, Words, grams, mix, sliding, texts_of, trimmed
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 5 << 20
+SPANS = "array<struct<start: bigint, end: bigint>>"
+RESULTS = ("kept_text", "n_words", "n_removed", "repeats")
 
 
 def anchors(w: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,6 +51,21 @@ def _windows(w: Words, length: int, starts: np.ndarray, own: np.ndarray, seeds:
     return starts, Distinct(mix(k, 3), c)
 
 
+def _spans(w: Words, starts: np.ndarray, length: int) -> list[list[dict]]:
+    """Each document's maximal repeats, [start, end) in words: runs of repeated windows that start at consecutive words."""
+    out: list[list[dict]] = [[] for _ in w.lo]
+    if not len(starts):
+        return out
+    doc = np.searchsorted(w.hi, starts, "right")
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(starts)) - 1
+    for d, s, e in zip(doc[first].tolist(), starts[first].tolist(), (starts[last] + length).tolist()):
+        out[d].append({"start": s - int(w.lo[d]), "end": e - int(w.lo[d])})
+    return out
+
+
 def _covered(w: Words, starts: np.ndarray, length: int) -> np.ndarray:
     edge = np.zeros(len(w.hash) + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -68,12 +88,16 @@ def _kept(w: Words, removed: np.ndarray) -> tuple[list[bytes], np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, anchor: int = 11, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """docs with kept_text, n_words and n_removed, less every word in a window of `length` words that starts anywhere else too."""
+    """docs with kept_text, n_words, n_removed and repeats: every word in a window of `length` words that starts anywhere else too goes.
+
+    repeats: the maximal repeats of the document as spans [start, end) of words.
+    """
     if not 0 < anchor <= length:
         raise ValueError("an anchor is a part of a window")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("kept_text", "n_words", "n_removed", "b") and c != text])
-    n = slices(docs, text, batch_bytes)
-    dealt_docs = dealt(docs, text, n)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS and c != text])
+    batches = slices(docs, text, batch_bytes)
+    n = lanes(batches)
+    dealt_docs = dealt(docs, text, batches)
 
     def seeds(key, batch):
         w = Words(texts_of(batch.column(text)))
@@ -85,7 +109,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, anchor
         d = Distinct(h)
         return blobs(key[0].as_py(), _windows(w, length, starts, own, d, totals(right, d.k, n) > 1)[1], n)
 
-    schema = docs.select("*", F.lit("").alias("kept_text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
+    schema = docs.select("*", F.lit("").alias("kept_text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast(SPANS).alias("repeats")).schema
     arrow, kept_columns = to_arrow_schema(schema), docs.columns
 
     def strip(key, left, right):
@@ -96,9 +120,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, anchor
         again = totals(right.filter(pa.array(kind)), windows.k, n)[windows.of] > 1
         kept, lost = _kept(w, _covered(w, starts[again], length))
         columns = [left.column(c) for c in kept_columns]
-        return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(lost, pa.int64())], names=arrow.names)
+        spans = pa.array(_spans(w, starts[again], length), arrow.field("repeats").type)
+        return pa.Table.from_arrays([*columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(lost, pa.int64()), spans], names=arrow.names)
 
-    first = tally(dealt_docs.groupBy("b").applyInArrow(trimmed(seeds), BLOBS))
-    second = tally(dealt_docs.groupBy("b").cogroup(first.groupBy("b")).applyInArrow(trimmed(extend), BLOBS))
+    first = tally(dealt_docs.groupBy(BATCH).applyInArrow(trimmed(seeds), BLOBS), batches)
+    second = tally(dealt_docs.groupBy(BATCH).cogroup(first.groupBy("b")).applyInArrow(trimmed(extend), BLOBS), batches)
     both = first.withColumn("kind", F.lit(False)).unionByName(second.withColumn("kind", F.lit(True)))
-    return dealt_docs.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(trimmed(strip), schema)
+    return dealt_docs.groupBy(BATCH).cogroup(both.groupBy("b")).applyInArrow(trimmed(strip), schema)
