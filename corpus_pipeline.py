@@ -6,7 +6,7 @@ Rows with a null id or text pass every filter that does not concern them; an emp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.llm import mixing, ngram_join, pack, substring, toxicity
@@ -15,17 +15,21 @@ from strandwork.llm._store import cut
 ORACLE_SQL = None
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labels of these documents, does not find toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(~F.col("toxic")).select(docs.columns)
+    return toxicity.score(docs, model).where(~F.col("toxic")).select(*columns(docs))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one with the smallest id; of repeated rows one."""
-    kept = ngram_join.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+    """Of each group of documents that links connect, the one with the smallest id (null last) and then text; of repeated rows one."""
+    kept = ngram_join.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    rows = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string"))).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__text"]).select(*columns(docs))
 
 
 def remove_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def remove_shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     cleaned = cleaned.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(docs.columns)
+    return cleaned.select(*columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")))
     whole = F.floor("__times")
     part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "__text"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.col("__times") - whole
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), (whole + part.cast("int")).cast("int")))).select(docs.columns)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), (whole + part.cast("int")).cast("int")))).select(*columns(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._store import cut, drop_cut
+from strandwork.llm._store import cut, drop_cut, join_hot
 
 ROUNDS = 60
 
@@ -43,41 +43,45 @@ def _local(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b: long): root is the component's smallest node.
 
-    Alternates large-star and small-star rounds. Minima are aggregated before the shuffle and joined back, so the
-    hub of a large component is no group of its own; edges inside one task shrink to a forest first.
+    Alternates large-star and small-star rounds. Minima are aggregated before the shuffle and joined back, those of hubs by
+    broadcast, so the hub of a large component is no group of its own; edges inside one task shrink to a forest first.
     """
     table = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local, "a long, b long"), "edges")
-    seen = None
+    seen, total = None, table.count()
     for _ in range(ROUNDS):
         both = table.unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both.where("b > a"), low, ["a"], "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         smaller = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        least = smaller.groupBy("a").agg(F.min("b").alias("m"))
-        joined = smaller.join(least, "a")
+        least = smaller.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_hot(smaller, least, ["a"], "n", 2 * total)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = cut(small, "edges")
-        state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        total, *state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_cut(table)
         table = new
-        if state == seen:
+        if [total, *state] == seen:
             break
-        seen = state
+        seen = [total, *state]
     else:
         raise RuntimeError("components did not settle")
     return table.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(table.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def block_tasks(rows: DataFrame, group: str, item: str, size: str, block: int, bins: int) -> DataFrame:
+def block_tasks(rows: DataFrame, group: str, item: str, blocks: Column, bins: int) -> DataFrame:
     """rows with the tasks that compare all pairs of a group: columns task, x, y and own.
 
-    A group of at most `block` rows is one task; small groups share tasks by hash. A larger group is cut into blocks
-    by hash, and each pair of blocks x <= y is a task, so a row travels once per block of its group; own is the
-    row's block.
+    A group of one block is one task; small groups share `bins` tasks by hash. A group of several blocks (`blocks`, equal
+    for all its rows) is cut by hash, and each pair of blocks x <= y is a task, so a row travels once per block of its
+    group; own is the row's block.
     """
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64(F.col(item), F.lit(3)), n).cast("int")
-    many = rows.withColumn("__n", n).withColumn("own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    own = F.pmod(F.xxhash64(F.col(item), F.lit(3)), F.col("__n")).cast("int")
+    many = rows.withColumn("__n", blocks.cast("int")).withColumn("own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     many = many.withColumn("x", F.least("own", "__other")).withColumn("y", F.greatest("own", "__other"))
     task = F.when(F.col("__n") == 1, F.pmod(F.xxhash64(F.col(group), F.lit(5)), F.lit(bins))).otherwise(F.xxhash64(F.col(group), F.col("x"), F.col("y")))
     return many.withColumn("task", task).drop("__n", "__other")
+
+
+def bins(rows: int, each: int, least: int = 32) -> int:
+    """How many shared tasks of about `each` rows."""
+    return max(least, -(-rows // each))

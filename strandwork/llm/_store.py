@@ -14,9 +14,11 @@ _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests on one machine."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="strandwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -57,6 +59,18 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def cuts() -> int:
+    """A mark for drop_since()."""
+    return len(_LEFT)
+
+
+def drop_since(mark: int, *keep: DataFrame) -> None:
+    """Deletes the tables cut since the mark, but for those to keep; only when no later plan reads them."""
+    kept = {getattr(df, "_strandwork_path", None) for df in keep}
+    for _, path in [x for x in _LEFT[mark:] if x[1] not in kept]:
+        release(path)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of cut(); only for tables that no later plan reads."""
     if path := getattr(df, "_strandwork_path", None):
@@ -67,3 +81,20 @@ def slices(df: DataFrame, text: str, each: int, least: int = 8) -> int:
     """How many groups of about `each` bytes of text the table makes."""
     total = df.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
     return max(least, -(-int(total) // each))
+
+
+HOT = 4096
+
+
+def join_hot(rows: DataFrame, one: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) to `one`, which has one row per key and in n how many of the `total` rows have it.
+
+    Keys of more than HOT rows and of more than a thousandth of all, a thousand at most, are broadcast, so the rows of
+    a hot key stay spread; the others meet by shuffle.
+    """
+    if total <= HOT:
+        return rows.join(one, on, how)
+    limit = max(HOT, total // 1000)
+    hot = F.broadcast(one.where(F.col(n) > limit))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(one.where(F.col(n) <= limit), on, how)
+    return rows.join(hot, on).unionByName(rest)

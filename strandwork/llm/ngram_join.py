@@ -7,14 +7,18 @@ is larger than `small` is split again on coordinates picked for its path, and so
 brute force, in blocks of pairs; so is a bucket that its parent hardly split, as its sets are alike. Pairs whose
 sketches agree often enough become edges. A pair at the threshold t is missed by a run of c coordinates with
 probability (1 - t)^c at most, so runs repeat until that product meets the target recall; later runs look only at
-buckets that hold more than one component of the edges so far.
+buckets that hold more than one component of the edges so far. Recall is also measured: a sample of sets is compared
+with all sketches, and runs go on while more pairs that agree like the threshold lie in different components than the
+target allows, until every coordinate has been used.
 
 An exact check follows: in every component all pairs of sets are compared exactly, in blocks. Nothing is capped: a
-group of any size is cut into more tasks, and only sums and spanning edges leave a task.
+group of any size is cut into more tasks, and only sums and spanning edges leave a task. Classes are numbered by
+themselves and hot classes or buckets are joined by broadcast, so neither repeated ids nor copies meet in one task.
 
 Defined cases: null and empty texts have no set and link with nothing, their class is their own id; texts of fewer
-than n words have one n-gram, all their words; repeated rows are copies and link with each other; rows with a null id
-link with equal sets only and have a null class; extra columns are left behind.
+than n words have one n-gram, all their words; repeated rows are copies and link with each other; rows that share an
+id but not a text are rows like others; rows with a null id link like others, a class without any id is null; extra
+columns are left behind.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._graph import block_tasks, components, forest
-from strandwork.llm._store import cut
+from strandwork.llm._graph import bins, block_tasks, components, forest
+from strandwork.llm._store import cut, cuts, drop_since, join_hot
 from strandwork.llm._text import U64, Words, grams, mix, texts_of, trimmed
 
 N = 5
@@ -38,6 +42,9 @@ PICKS = 4
 SMALL = 4096
 SKETCH_BLOCK = 1024
 SET_BLOCK = 256
+GRAM_BLOCK = 1 << 20
+AUDIT = 256
+AUDITED = 0.999
 DEPTH = 8
 STEP_BYTES = 2 << 20
 MOST_BROADCAST = 200_000
@@ -76,28 +83,35 @@ def mix_fast(key: np.ndarray, j: int) -> np.ndarray:
     return ((h ^ (h >> U64(29))) * _MUL[(j + 1) % SKETCH] >> U64(32)).astype(np.uint32)
 
 
-SETS = "doc_id long, k1 long, k2 long, size int, sketch binary"
+SETS = "doc_id long, text_key long, k1 long, k2 long, size int, sketch binary"
 _SET_NAMES = [x.split()[0] for x in SETS.split(", ")]
 
 
 def _steps(batches, step: int = STEP_BYTES):
-    """(ids, texts) lists of about step bytes from batches of (id, text)."""
-    ids, texts, size = [], [], 0
+    """(ids, text keys, texts) lists of about step bytes from batches of (id, text key, text)."""
+    ids, keys, texts, size = [], [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+        for i, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
             ids.append(i)
+            keys.append(k)
             texts.append(t)
             size += len(t or b"")
             if size >= step:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+                yield ids, keys, texts
+                ids, keys, texts, size = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, keys, texts
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text key and text of every row."""
+    t = F.col(text).cast("string")
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("text_key"), t.alias("t"))
 
 
 def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     def run(batches):
-        for ids, texts in _steps(batches):
+        for ids, keys, texts in _steps(batches):
             at, h = shingles(texts, n)
             size = np.diff(at)
             full = size > 0
@@ -110,9 +124,17 @@ def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                 s = sketch(np.append(starts, len(h)), h)
                 for i, row in zip(np.flatnonzero(full), s):
                     vals[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size, pa.int32()), pa.array(vals, pa.binary())], names=_SET_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size, pa.int32()), pa.array(vals, pa.binary())], names=_SET_NAMES)
+
+    return _rows(docs, key, text).mapInArrow(trimmed(run), SETS)
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(trimmed(run), SETS)
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """Classes of equal sets: c (a number of their own), their first row (by id, then text; nulls last) and n (rows)."""
+    found = sets.where("size > 0").groupBy("k1", "k2", "size")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("row_id"), "text_key")).alias("first")
+    found = found.agg(first, F.count(F.lit(1)).alias("n"), F.min("sketch").alias("sketch"))
+    return cut(found.select(F.monotonically_increasing_id().alias("c"), "k1", "k2", "size", "first", "n", "sketch"), "classes")
 
 
 def _paths(rows: DataFrame, run: int, depth: int, picks: int) -> DataFrame:
@@ -184,26 +206,57 @@ def _run(classes: DataFrame, roots: DataFrame | None, run: int, picks: int, smal
         else:
             sizes = sizes.withColumn("above", F.lit(None).cast("long"))
         sizes = cut(sizes.select("key", "size", "above"), "buckets")
+        total = sizes.agg(F.sum("size")).first()[0] or 0
         # A bucket that kept half of a parent holds sets that are alike: splitting goes no further.
         done = (F.col("size") <= small) | (F.col("size") * 2 > F.col("above")) if depth else F.col("size") <= small
         done = done if depth < DEPTH else F.lit(True)
-        members = cut(keys.select("key", "c").join(sizes.where(done).select("key", "size"), "key"), "members")
-        tasks = block_tasks(members, "key", "c", "size", SKETCH_BLOCK, 256).join(classes.select("c", "sketch"), "c")
+        members = cut(join_hot(keys.select("key", "c"), sizes.where(done).select("key", "size"), ["key"], "size", total), "members")
+        blocks = F.ceil(F.col("size") / F.lit(SKETCH_BLOCK))
+        tasks = block_tasks(members, "key", "c", blocks, bins(members.count(), 4096)).join(classes.select("c", "sketch"), "c")
         out.append(_compare_sketches(tasks, least))
         large = sizes.where(~done) if depth < DEPTH else None
         if large is None or large.isEmpty():
             return out
         parents = large.select(F.col("key").alias("parent"), F.col("size").alias("above"))
-        level = keys.select("key", "c").join(large.select("key"), "key").join(classes.select("c", "sketch"), "c").select(F.col("key").alias("path"), "c", "sketch")
+        level = join_hot(keys.select("key", "c"), large.select("key", "size"), ["key"], "size", total).join(classes.select("c", "sketch"), "c").select(F.col("key").alias("path"), "c", "sketch")
         level, depth = cut(level, "level"), depth + 1
 
 
+def _audit(classes: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
+    """Measured recall: of the pairs of a sample with all sketches that agree like the threshold, the share in one component."""
+    rows = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "sketch")
+    asked = rows.orderBy(F.xxhash64(F.lit(31), "c"), "c").limit(sample).collect()  # at most `sample` sketches
+    if not asked:
+        return 1.0
+    each = np.frombuffer(b"".join(bytes(r["sketch"]) for r in asked), "<u4").reshape(-1, SKETCH)
+    ids, root = np.array([r["c"] for r in asked]), np.array([r["root"] for r in asked])
+    least = math.ceil(SKETCH * threshold)
+
+    def count(batches):
+        n = hit = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                s = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").reshape(-1, SKETCH)
+                same = np.zeros((len(each), len(s)), np.uint8)
+                for j in range(SKETCH):
+                    same += each[:, j][:, None] == s[:, j][None, :]
+                pair = (same >= least) & (ids[:, None] != np.array(part.column(0))[None, :])
+                n += int(pair.sum())
+                hit += int((pair & (root[:, None] == np.array(part.column(1))[None, :])).sum())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "hit": pa.array([hit], pa.int64())})
+
+    got = rows.mapInArrow(count, "n long, hit long").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).first()
+    return got["hit"] / got["n"] if got["n"] else 1.0
+
+
 def _exact(members: DataFrame, docs: DataFrame, key: str, text: str, n: int, threshold: float, block: int) -> DataFrame:
     """(c, links, root): rows linked in other classes and a spanning edge, from all pairs of each component's sets."""
-    wanted = members.select("c").distinct()
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = docs.select(F.col(key).cast("long").alias("c"), F.col(text).cast("string").alias("t")).join(F.broadcast(wanted) if few else wanted, "c", "left_semi")
-    rows = rows.groupBy("c").agg(F.min("t").alias("t"))  # an id's rows have one text, unless ids repeat
+    wanted = members.select("c", "row_id", "text_key")
+    total = wanted.count()
+    rows = _rows(docs, key, text).withColumn("row_id", F.coalesce("id", F.lit(0)))
+    rows = rows.join(F.broadcast(wanted) if total <= MOST_BROADCAST else wanted, ["row_id", "text_key"])
+    rows = rows.groupBy("c").agg(F.min("t").alias("t"))  # rows that repeat have one text
 
     def compare(table):
         g = table.to_pandas()
@@ -232,7 +285,9 @@ def _exact(members: DataFrame, docs: DataFrame, key: str, text: str, n: int, thr
         c, k = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out[:2])
         return pa.Table.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int64()), pa.array(out[2], pa.int64())], names=["c", "links", "root"])
 
-    tasks = block_tasks(members, "root", "c", "size", block, 512).join(rows, "c")
+    # Blocks of at most `block` sets, and of about GRAM_BLOCK n-grams.
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("grams") / F.lit(GRAM_BLOCK)))
+    tasks = block_tasks(members, "root", "c", blocks, bins(total, 512)).join(rows, "c")
     return tasks.select("task", "root", "x", "y", "own", "c", "n", "t").groupBy("task").applyInArrow(trimmed(compare), "c long, links long, root long")
 
 
@@ -263,25 +318,37 @@ def _shared(at: np.ndarray, h: np.ndarray, p: np.ndarray, q: np.ndarray, width:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, picks: int = PICKS, small: int = SMALL, block: int = SET_BLOCK) -> DataFrame:
-    """Per document: doc_id, class_id (the smallest id among the documents that links connect) and n_links (documents linked directly)."""
+    """Per document: doc_id, class_id (the smallest id among the documents that links connect), n_links (documents linked directly).
+
+    text_key (xxhash64 of the text) and kept tell the rows that stand for their class: one id and text, or its repeated rows.
+    """
     sets = cut(_sets(docs, key, text, n), "sets")
-    classes = sets.where("size > 0").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("sketch").alias("sketch"))
-    # A class without an id has a null c: it joins nothing below, and every 64-bit id is a valid c.
-    classes = cut(classes.select("k1", "k2", "size", "n", F.col("id").alias("c"), "sketch"), "classes")
-    joined = classes.where(F.col("c").isNotNull())
+    classes = _classes(sets)
     runs = max(1, math.ceil(math.log(1 - recall) / math.log((1 - threshold) ** picks)))
     roots = edges = None
-    for run in range(runs):
-        for found in _run(joined, roots, run, picks, small, _agreeing(threshold)):
+    for run in range(max(runs, SKETCH // picks)):
+        mark = cuts()
+        for found in _run(classes, roots, run, picks, small, _agreeing(threshold)):
             edges = found if edges is None else edges.unionByName(found)
         roots = cut(components(edges), "roots")
+        drop_since(mark, roots)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = cut(roots.withColumnRenamed("node", "c").join(sizes, "root").join(joined.select("c", "n"), "c"), "members")
-    exact = cut(_exact(members, docs, key, text, n, threshold, block), "exact")
+        if run + 1 >= runs and _audit(classes, roots, threshold, AUDIT) >= AUDITED:
+            break
+    sizes = roots.join(classes.select(F.col("c").alias("node"), "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("grams"))
+    named = classes.select("c", "n", "first.row_id", "first.text_key")
+    members = join_hot(roots.withColumnRenamed("node", "c"), sizes, ["root"], "members", roots.count()).join(named, "c")
+    mark = cuts()
+    exact = cut(_exact(cut(members, "members"), docs, key, text, n, threshold, block), "exact")
     links = exact.groupBy("c").agg(F.sum("links").alias("links"))
     linked = components(exact.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "c").withColumnRenamed("root", "class")
-    each = classes.select("k1", "k2", "size", "n", "c").join(links, "c", "left").join(linked, "c", "left")
-    each = each.select("k1", "k2", "size", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "c").alias("class"))
-    out = sets.drop("sketch").join(each, ["k1", "k2", "size"], "left")
-    return out.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    each = classes.select("k1", "k2", "size", "n", "c", "first").join(links, "c", "left").join(linked, "c", "left").withColumn("class", F.coalesce("class", "c"))
+    firsts = each.groupBy("class").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("classes"))
+    each = join_hot(each.drop("first"), firsts, ["class"], "classes", classes.count())
+    each = cut(each.select("k1", "k2", "size", "n", "head", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    drop_since(mark, each)
+    rows = sets.drop("sketch")
+    out = join_hot(rows, each, ["k1", "k2", "size"], "n", rows.count(), "left")
+    alone, class_id = F.col("size") == 0, F.when(~F.col("head.no_id"), F.col("head.row_id"))
+    kept = alone | (F.col("doc_id").eqNullSafe(class_id) & (F.col("text_key") == F.col("head.text_key")))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(class_id).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", kept.alias("kept"))

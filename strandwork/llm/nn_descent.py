@@ -3,36 +3,45 @@
 Equal vectors of a label form one class first. Every class starts with the neighbours it meets in the leaves of
 seeded random-hyperplane trees; rounds of NN-descent then refine the neighbour lists: each vector joins the vectors
 that stand in its list or hold it in theirs, and those of them that are nearer to each other than their lists' last
-entries enter. Rounds stop when few entries change. Recall is audited against brute force on a bounded sample of
-vectors; while it is below the target, further trees and rounds follow. Edges at the threshold are kept.
+entries enter. Rounds stop when few entries change. Recall is audited against brute force on a sample of vectors that
+grows until it holds LINKS true links; while recall is below the target, further trees and rounds follow, and if it
+stays there, all vectors are compared with all of their label in blocks. Edges at the threshold are kept.
 
-A list of K entries that are all links is saturated: it may hide more, also links to another component. Vectors with
-saturated lists are therefore compared with all vectors of their label, in blocks of pairs, before components are
-made. Links are then counted over all pairs of each component, which is exact.
+A list of K entries that are all links is saturated: it may hide more, also links to another component. Saturated lists
+are therefore enlarged to all of a vector's links: it is compared with all vectors of its label, in blocks of pairs,
+before components are made. Links are then counted over all pairs of each component, which is exact.
+
+Classes are numbered by themselves and named by label and two hashes of the vector; the rows of a hot class find it by
+broadcast. Groups of tasks grow in number with the data.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors with a null label link
 with nothing (n_links 0, component_id their own id, kept); vectors of different lengths never link; equal vectors
-link with each other; a null vec_id is left out of components; extra columns are left behind.
+link with each other; rows that share a vec_id but not a vector are rows like others; rows with a null vec_id link and
+count like others, but name no component; extra columns are left behind.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.llm._graph import block_tasks, components, forest
-from strandwork.llm._store import cut
+from strandwork.llm._graph import bins, block_tasks, components, forest
+from strandwork.llm._store import cut, cuts, drop_cut, drop_since, join_hot
 
 K = 12
 TREES = 4
 LEAF = 96
 ROUNDS = 8
 CHANGED = 0.002
+ATTEMPTS = 4
 AUDIT = 256
+MOST_AUDIT = 4096
+LINKS = 64
 RECALL = 0.95
 BLOCK = 1024
+EACH = 8192
 
 
 def _matrix(column) -> np.ndarray:
@@ -41,20 +50,31 @@ def _matrix(column) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def _doubles(vector: str) -> Column:
+    return F.transform(F.col(vector), lambda x: x.cast("double"))
+
+
+def _names(label: str, vector: Column) -> list[Column]:
+    """What names a class: its label and two hashes of its vector."""
+    return [F.col(label).cast("string").alias("label"), F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(41), vector).alias("h2")]
+
+
 def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Per class of equal vectors of a label: c (its smallest id), label, dim, n (rows), vec (float64 bytes)."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    """Per class of equal vectors of a label: c (a number of its own), id (its smallest), label, h1, h2, dim, n (rows), vec (float64 bytes)."""
+    v = _doubles(vector)
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     fine = F.col(label).isNotNull() & F.col(vector).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.where(F.col(key).isNotNull()).where(F.coalesce(fine, F.lit(False))).where((norm > 0) & (norm < F.lit(float("inf"))))
-    grouped = rows.groupBy(F.col(label).cast("string").alias("label"), v.alias("v")).agg(F.min(F.col(key).cast("long")).alias("c"), F.count(F.lit(1)).alias("n"))
+    rows = vectors.where(F.coalesce(fine, F.lit(False))).where((norm > 0) & (norm < F.lit(float("inf"))))
+    rows = rows.select(F.col(key).cast("long").alias("id"), *_names(label, v), v.alias("v"))
+    grouped = rows.groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).select("label", "id", "n", "v", "h1", "h2")
 
     def pack(batches):
         for batch in batches:
-            vec = [np.array(x, "<f8").tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([len(x) // 8 for x in vec], pa.int32()), pa.array(vec, pa.binary())], names=["label", "c", "n", "dim", "vec"])
+            vec = [np.array(x, "<f8").tobytes() for x in batch.column(3).to_pylist()]
+            columns = [batch.column(i) for i in (0, 1, 2, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 8 for x in vec], pa.int32()), pa.array(vec, pa.binary())], names=["label", "id", "n", "h1", "h2", "dim", "vec"])
 
-    return grouped.mapInArrow(pack, "label string, c long, n long, dim int, vec binary")
+    return cut(grouped.mapInArrow(pack, "label string, id long, n long, h1 long, h2 long, dim int, vec binary").withColumn("c", F.monotonically_increasing_id()), "classes")
 
 
 def _top(c: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +94,7 @@ def _edges(parts: list) -> pa.Table:
     return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "sim"])
 
 
-def _trees(classes: DataFrame, first: int, trees: int, k: int, leaf: int) -> DataFrame:
+def _trees(classes: DataFrame, total: int, first: int, trees: int, k: int, leaf: int) -> DataFrame:
     """Neighbours in the leaves of random-hyperplane trees; leaves that stay large are dealt to chunks by hash."""
 
     def code(batches):
@@ -100,7 +120,7 @@ def _trees(classes: DataFrame, first: int, trees: int, k: int, leaf: int) -> Dat
     keys = ["label", "dim", "t", "code"]
     sizes = coded.groupBy(*keys).count()
     chunk = F.pmod(F.xxhash64("c", "t"), F.ceil(F.col("count") / (2 * leaf)).cast("int"))
-    dealt = coded.join(sizes, keys).withColumn("chunk", chunk).withColumn("task", F.pmod(F.xxhash64(*keys, "chunk"), F.lit(64)))
+    dealt = coded.join(sizes, keys).withColumn("chunk", chunk).withColumn("task", F.pmod(F.xxhash64(*keys, "chunk"), F.lit(bins(total * trees, EACH))))
 
     def meet(table):
         g = table.to_pandas()
@@ -119,14 +139,14 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("r") <= k).drop("r")
 
 
-def _local_join(lists: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _local_join(lists: DataFrame, classes: DataFrame, total: int, k: int) -> DataFrame:
     """Pairs of vectors in a common neighbourhood that are nearer than the last entry of one of their lists."""
     last = lists.groupBy("a").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("have")).select(F.col("a").alias("m"), F.when(F.col("have") >= k, F.col("low")).otherwise(F.lit(-2.0)).alias("low"))
     rank = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
     back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
     near = lists.select("a", F.col("b").alias("m")).unionByName(back.select("a", F.col("b").alias("m"))).unionByName(lists.select("a", F.col("a").alias("m"))).distinct()
     vectors = classes.select(F.col("c").alias("m"), "vec").join(last, "m", "left").withColumn("low", F.coalesce("low", F.lit(-2.0)))
-    rows = near.join(vectors, "m").withColumn("task", F.pmod(F.xxhash64("a"), F.lit(64)))
+    rows = near.join(vectors, "m").withColumn("task", F.pmod(F.xxhash64("a"), F.lit(bins(total * (2 * k + 1), 4 * EACH))))
 
     def meet(table):
         a = np.array(table.column("a"))
@@ -155,7 +175,7 @@ def _saturated(lists: DataFrame, threshold: float, k: int) -> DataFrame:
     return lists.where(F.col("sim") >= threshold).groupBy(F.col("a").alias("c")).count().where(F.col("count") >= k).select("c")
 
 
-def _all_links(asked: DataFrame, classes: DataFrame, threshold: float, block: int) -> DataFrame:
+def _all_links(asked: DataFrame, classes: DataFrame, total: int, threshold: float, block: int) -> DataFrame:
     """(a, b) spanning edges of all links of the asked vectors, each compared with every vector of its label, in blocks."""
     keys = ["label", "dim"]
     per = classes.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).join(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("asked")), keys)
@@ -165,7 +185,7 @@ def _all_links(asked: DataFrame, classes: DataFrame, threshold: float, block: in
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = asked.join(per, keys).select(*keys, "c", "vec", "nx", "ny", F.lit(True).alias("ask"), own("nx").alias("x"), every("ny").alias("y"))
     rows = rows.unionByName(classes.join(per, keys).select(*keys, "c", "vec", "nx", "ny", F.lit(False).alias("ask"), every("nx").alias("x"), own("ny").alias("y")))
-    task = F.when((F.col("nx") == 1) & (F.col("ny") == 1), F.pmod(F.xxhash64(*keys), F.lit(64))).otherwise(F.xxhash64(*keys, "x", "y"))
+    task = F.when((F.col("nx") == 1) & (F.col("ny") == 1), F.pmod(F.xxhash64(*keys), F.lit(bins(total, EACH)))).otherwise(F.xxhash64(*keys, "x", "y"))
 
     def compare(table):
         g = table.to_pandas()
@@ -184,12 +204,16 @@ def _all_links(asked: DataFrame, classes: DataFrame, threshold: float, block: in
     return rows.select(task.alias("task"), *keys, "x", "y", "ask", "c", "vec").groupBy("task").applyInArrow(compare, "a long, b long")
 
 
-def _audit(lists: DataFrame, classes: DataFrame, k: int, threshold: float, sample: int) -> float:
-    """Share of a sample's links that the lists of one of their ends hold or, being saturated, leave to the search of all vectors; against brute force."""
-    asked = classes.orderBy(F.xxhash64(F.lit(23), "c"), "c").limit(sample)
+def _audit(lists: DataFrame, classes: DataFrame, k: int, threshold: float, sample: int) -> tuple[int, int]:
+    """Links of a sample, by brute force, and how many of them the lists of one of their ends hold or, being saturated, leave to the search of all vectors.
+
+    The sample is of vectors whose lists are not saturated: the others are compared with all vectors anyhow.
+    """
+    full = _saturated(lists, threshold, k)
+    asked = classes.join(full, "c", "left_anti").orderBy(F.xxhash64(F.lit(23), "c"), "c").limit(sample)
     rows = [(r["c"], r["label"], r["dim"], r["vec"]) for r in asked.collect()]  # at most `sample` vectors
     if not rows:
-        return 1.0
+        return 0, 0
     shared = classes.sparkSession.sparkContext.broadcast(rows)
 
     def find(batches):
@@ -213,29 +237,39 @@ def _audit(lists: DataFrame, classes: DataFrame, k: int, threshold: float, sampl
     truth = classes.mapInArrow(find, EDGES)
     held = lists.where(F.col("sim") >= threshold)
     held = held.select("a", "b").unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("hit", F.lit(1))
-    full = _saturated(lists, threshold, k)
-    found = truth.join(held, ["a", "b"], "left")
-    for end in ("a", "b"):
-        found = found.join(full.select(F.col("c").alias(end), F.lit(1).alias(f"full_{end}")), end, "left")
-    got = found.agg(F.count(F.lit(1)).alias("n"), F.count(F.coalesce("hit", "full_a", "full_b")).alias("hit")).first()
-    return got["hit"] / got["n"] if got["n"] else 1.0
+    found = truth.join(held, ["a", "b"], "left").join(full.select(F.col("c").alias("b"), F.lit(1).alias("full")), "b", "left")
+    got = found.agg(F.count(F.lit(1)).alias("n"), F.count(F.coalesce("hit", "full")).alias("hit")).first()
+    return got["n"], got["hit"]
+
+
+def _recall(lists: DataFrame, classes: DataFrame, total: int, k: int, threshold: float, sample: int) -> float:
+    """Audited recall, of a sample that is enlarged until it tests LINKS links, holds MOST_AUDIT vectors or all."""
+    while True:
+        n, hit = _audit(lists, classes, k, threshold, sample)
+        if n >= LINKS or sample >= min(total, MOST_AUDIT):
+            return hit / n if n else 1.0
+        sample *= 4
 
 
 def neighbour_lists(classes: DataFrame, threshold: float, k: int = K, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, changed: float = CHANGED, audit: int = AUDIT, recall: float = RECALL) -> tuple[DataFrame, float]:
     """(a, b, sim) lists of at most k neighbours, and their audited recall of links."""
-    lists, first, reached = None, 0, 0.0
-    for _ in range(4):
-        grown = _trees(classes, first, trees, k, leaf)
+    lists, first, reached, total = None, 0, 0.0, classes.count()
+    for _ in range(ATTEMPTS):
+        grown, old = _trees(classes, total, first, trees, k, leaf), lists
         lists = cut(_best(grown if lists is None else grown.unionByName(lists), k), "lists")
+        if old is not None:
+            drop_cut(old)
         first += trees
         for _ in range(rounds):
-            new = cut(_best(_local_join(lists, classes, k).unionByName(lists), k), "lists")
-            entries = new.count()
-            moved = new.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
+            new = cut(_best(_local_join(lists, classes, total, k).unionByName(lists), k), "lists")
+            # Saturated lists are searched whole later, so their entries need not settle.
+            open_ = new.join(_saturated(new, threshold, k).withColumnRenamed("c", "a"), "a", "left_anti")
+            got = open_.join(lists.select("a", "b", F.lit(1).alias("held")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("held")).first()
+            drop_cut(lists)
             lists = new
-            if moved <= changed * entries:
+            if got["n"] - got["held"] <= changed * got["n"]:
                 break
-        reached = _audit(lists, classes, k, threshold, audit)
+        reached = _recall(lists, classes, total, k, threshold, audit)
         if reached >= recall:
             break
     return lists, reached
@@ -263,26 +297,29 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
         c, n = np.concatenate(out_c), np.concatenate(out_n)
         return pa.Table.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["c", "links"])
 
-    tasks = block_tasks(members, "root", "c", "size", block, 64)
+    tasks = block_tasks(members, "root", "c", F.ceil(F.col("size") / F.lit(block)), bins(members.count(), EACH))
     return tasks.select("task", "root", "x", "y", "own", "dim", "c", "n", "vec").groupBy("task").applyInArrow(compare, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, k: int = K, block: int = BLOCK, **search) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, k: int = K, block: int = BLOCK, recall: float = RECALL, **search) -> DataFrame:
     """Per vector: vec_id, n_links, component_id and kept."""
-    classes = cut(_classes(vectors, key, vector, label), "classes")
-    lists, _ = neighbour_lists(classes, threshold, k, **search)
-    kept = lists.where(F.col("sim") >= threshold).select("a", "b")
-    full = classes.join(_saturated(lists, threshold, k), "c", "left_semi")
-    roots = cut(components(kept.unionByName(_all_links(full, classes, threshold, block))), "roots")
+    classes = _classes(vectors, key, vector, label)
+    total = classes.count()
+    lists, reached = neighbour_lists(classes, threshold, k, recall=recall, **search)
+    linked = lists.where(F.col("sim") >= threshold).select("a", "b")
+    asked = classes.join(_saturated(lists, threshold, k), "c", "left_semi") if reached >= recall else classes
+    mark = cuts()
+    roots = cut(components(linked.unionByName(_all_links(asked, classes, total, threshold, block))), "roots")
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = roots.join(sizes, "root").join(classes, roots["node"] == classes["c"])
+    members = join_hot(roots, sizes, ["root"], "size", roots.count()).join(classes, F.col("node") == F.col("c"))
+    members = cut(members.select("root", "size", "c", "n", "dim", "vec"), "members")
     links = _count_links(members, threshold, block).join(roots.select(F.col("node").alias("c"), "root"), "c")
-    each = classes.join(links, "c", "left").select("c", F.col("n").alias("copies"), "label", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "c").alias("root"))
+    each = classes.drop("vec", "dim").join(links, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = each.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("classes"))
+    each = join_hot(each, named, ["root"], "classes", total)
+    each = cut(each.select("label", "h1", "h2", "n", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    drop_since(mark, each)
     # Rows find their class by label and vector, as classes were made.
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("__label"), v.alias("__v"))
-    first = rows.where(F.col("vec_id").isNotNull() & F.col("__label").isNotNull() & F.col("__v").isNotNull())
-    by_class = first.groupBy("__label", "__v").agg(F.min("vec_id").alias("c"))
-    found = by_class.join(each.select("c", "copies", "links", "root"), "c")
-    out = rows.join(found, ["__label", "__v"], "left")
-    return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), *_names(label, _doubles(vector)))
+    out = join_hot(rows, each, ["label", "h1", "h2"], "n", rows.count(), "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
