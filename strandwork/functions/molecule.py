@@ -13,7 +13,7 @@ VALENCES = {"H": (1,), "C": (4,), "N": (3, 5), "O": (2,), "F": (1,), "P": (3, 5)
 NUMBERS = {"H": 1, "B": 5, "C": 6, "N": 7, "O": 8, "F": 9, "Si": 14, "P": 15, "S": 16, "Cl": 17, "Fe": 26, "Zn": 30, "Se": 34, "Br": 35, "I": 53}
 # Partition-coefficient contributions of atom kinds.
 LOGP = {"C_ar": 0.1441, "C_sp3": 0.1234, "C_sp2": 0.0, "N_ar": -0.7736, "N_am": -1.0190, "N_sp3": -0.9275, "O_ar": -0.2405, "O_sp3": -0.2677, "O_co2": -0.0200, "F": 0.4202, "Cl": 0.7338, "Br": 0.8456, "I": 0.8857, "S": 0.6895, "P": 0.8612, "H": 0.1234}
-METALS = frozenset(("Fe", "Zn", "Cu", "Mg", "Ca", "Na", "K", "Mn", "Co", "Ni"))
+METALS = frozenset(("Fe", "Zn", "Cu", "Mg", "Ca", "Mn", "Co", "Ni", "Mo", "Se"))
 ORDERS = {"-": 1.0, "=": 2.0, "#": 3.0, ":": 1.5, "/": 1.0, "\\": 1.0}
 
 
@@ -168,7 +168,7 @@ def _tpsa(m: Molecule) -> float:
     return total
 
 
-DESCRIPTORS = "formula string, weight double, logp double, hbd int, hba int, tpsa double, rotatable int, rings int, aromatic_rings int, heavy int, atoms int, bonds int, fsp3 double, refractivity double, stereocenters int"
+DESCRIPTORS = "formula string, weight double, logp double, hbd int, hba int, tpsa double, rotatable int, rings int, aromatic_rings int, heavy int, atoms int, bonds int, fsp3 double, refractivity double, stereocenters int, nitrogens int, amines int, oxygens int, sulfurs int, halogens int, charge int, charged int, positive int, michael boolean, electrophiles int, metals int, coordination double"
 
 
 def describe(smiles: str) -> tuple:
@@ -182,7 +182,17 @@ def describe(smiles: str) -> tuple:
     donors = sum(s in "NO" and h > 0 for s, h in zip(m.symbol, m.hydrogens))
     aromatic_rings = sum(all(m.aromatic[i] for i in r) for r in m.rings)
     heavy = sum(s != "H" for s in m.symbol)
-    return (formula(m), weight, _logp(m), donors, n("N") + n("O"), _tpsa(m), rotatable, len(m.rings), aromatic_rings, heavy, heavy + sum(m.hydrogens), len(m.bonds), sp3 / len(carbons) if carbons else 0.0, 0.029 * weight + 1.512 * (n("C") + n("N")) + 0.686 * (n("O") + n("S")), stereo)
+    doubles = [(a, b) for a, b, o in m.bonds if o == 2.0]
+    is_c = lambda a: m.symbol[a] == "C"
+    carbonyl = any({m.symbol[a], m.symbol[b]} == {"C", "O"} for a, b in doubles)
+    michael = carbonyl and any(is_c(a) and is_c(b) for a, b in doubles)
+    doubled = {x for pair in doubles for x in pair}
+    electrophiles = sum(is_c(i) and any(m.symbol[j] in ("O", "N", "S") and j in doubled for j in m.near[i]) for i in range(len(m.symbol)))
+    metals = [i for i, s in enumerate(m.symbol) if s in METALS]
+    coordination = 1.5 * sum(m.symbol[j] in ("N", "O", "S") for i in metals for j in m.near[i])
+    amines = sum(s == "N" and not a for s, a in zip(m.symbol, m.aromatic))
+    more = (n("N"), amines, n("O"), n("S"), sum(n(x) for x in ("F", "Cl", "Br", "I")), sum(m.charge), sum(c != 0 for c in m.charge), sum(c > 0 for c in m.charge), michael, electrophiles, len(metals), coordination)
+    return (*(formula(m), weight, _logp(m), donors, n("N") + n("O"), _tpsa(m), rotatable, len(m.rings), aromatic_rings, heavy, heavy + sum(m.hydrogens), len(m.bonds), sp3 / len(carbons) if carbons else 0.0, 0.029 * weight + 1.512 * (n("C") + n("N")) + 0.686 * (n("O") + n("S")), stereo), *more)
 
 
 def descriptors(smiles: Column) -> Column:
@@ -284,31 +294,123 @@ def muegge(d: Column) -> Column:
 
 
 def admet(d: Column) -> Column:
-    """Estimates of uptake, distribution, metabolism and toxicity as a struct."""
-    cut = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    """Estimates of uptake, distribution, metabolism and toxicity as a struct of 18 rules."""
+    w, p, t, ar = d["weight"], d["logp"], d["tpsa"], d["aromatic_rings"]
     return F.struct(
-        F.when((d["tpsa"] <= 60) & (d["weight"] <= 400), "High").when(d["tpsa"] <= 140, "Moderate").otherwise("Low").alias("oral"),
-        F.when(d["tpsa"] < 60, "High").when(d["tpsa"] < 100, "Low").otherwise("Very low").alias("caco2"),
-        cut((d["tpsa"] < 90) & (d["weight"] < 450) & d["logp"].between(1, 3), "Yes", "No").alias("bbb"),
-        cut((d["weight"] > 400) & (d["hba"] > 8), "Yes", "No").alias("pgp"),
-        F.when(d["logp"] > 3, "High >90%").when(d["logp"] > 1, "Moderate 50-90%").otherwise("Low <50%").alias("binding"),
-        cut((d["logp"] > 3.7) & (d["weight"] > 250), "high", "low").alias("herg"),
-    )
+        F.when((t < 60) & p.between(0.0, 3.0), "High").when((t > 140) | (p > 5.0) | (p < -2.0), "Low").otherwise("Moderate").alias("oral"),
+        F.when((t < 60) & (w < 500) & (p > 0), "High").otherwise("Low").alias("caco2"),
+        ((p > 3.0) & (w > 400) & (d["rings"] >= 2)).alias("pgp"),
+        F.when((t < 75) & p.between(-1.0, 4.0), "High (>80%)").when(t > 120, "Low (<20%)").otherwise("Moderate (20-80%)").alias("hia"),
+        (p.between(1.0, 3.5) & (w < 450) & (t < 90) & (d["hbd"] <= 3) & (d["hba"] <= 7)).alias("bbb"),
+        F.when(p > 3.0, 2.5 + (p - 3.0) * 0.5).when(p < 0.0, F.lit(0.2)).otherwise(0.7 + p * 0.6).alias("vdss"),
+        F.when(p > 3.0, "High >90%").when(p > 1.0, "Moderate 50-90%").otherwise("Low <50%").alias("binding"),
+        ((w > 400) & (ar >= 1)).alias("cyp3a4"), ((d["amines"] > 0) & (w < 500)).alias("cyp2d6"), ((d["oxygens"] > 0) & p.between(1.0, 5.0)).alias("cyp2c9"),
+        ((ar >= 2) & (w > 350)).alias("cyp3a4_inhibitor"), ((d["nitrogens"] > 0) & (ar >= 1)).alias("cyp2d6_inhibitor"),
+        F.when(w < 200, "Short <2h").when(w > 500, "Long >8h").otherwise("Moderate 2-8h").alias("half_life"), F.when((p < 1.0) & (w < 300), "High").otherwise("Low/Moderate").alias("renal"),
+        ((p > 2.0) & (d["amines"] > 0)).alias("herg"), F.when((d["nitrogens"] > d["amines"]) & (ar >= 2), "Potentially mutagenic").otherwise("Non-mutagenic").alias("ames"),
+        F.when((w < 200) & (p < 1.0), "Class I (Low risk)").when(ar >= 3, "Class III (High risk)").otherwise("Class II (Moderate risk)").alias("oral_toxicity"), ((d["sulfurs"] > 0) & (p > 2.0)).alias("skin"),
+    )
+
+
+# Structural alerts and their severity.
+ALERTS = {"Michael Acceptor": "High", "Polyhalogenated": "Moderate", "High Complexity": "Low", "Potential Nitro Group": "High"}
 
 
 def alerts(d: Column) -> Column:
-    """Structural alerts that the descriptors show."""
-    return F.filter(F.array(F.when(d["heavy"] > 50, "complexity"), F.when((d["hba"] >= 3) & (d["aromatic_rings"] > 0) & (d["tpsa"] > 100), "polar aromatic")), lambda x: x.isNotNull())
+    """Names of the structural alerts that hold."""
+    tests = (d["michael"], d["halogens"] >= 4, d["heavy"] > 50, (d["nitrogens"] >= 1) & (d["oxygens"] >= 2) & (d["aromatic_rings"] >= 1))
+    return F.filter(F.array(*(F.when(test, name) for name, test in zip(ALERTS, tests))), lambda x: x.isNotNull())
+
+
+def high_alerts(d: Column) -> Column:
+    return F.size(F.filter(alerts(d), lambda x: x.isin([k for k, v in ALERTS.items() if v == "High"])))
+
+
+def filters_passed(d: Column) -> Column:
+    """How many of five drug-likeness filters hold; the last is at least seven of the nine ranges."""
+    return sum((c.cast("int") for c in (lipinski(d), veber(d), ghose(d), egan(d), muegge(d) >= 7)), F.lit(0))
+
+
+def verdict(d: Column) -> Column:
+    passed, n = filters_passed(d), F.size(alerts(d))
+    return F.when((passed >= 4) & (n == 0), "Excellent").when((passed >= 3) & (n <= 1), "Acceptable").otherwise("Concerns")
+
+
+def protein_binding(d: Column, s: Column) -> Column:
+    """Struct of the terms, free energy, dissociation constant (micromolar), confidence and verdict of a molecule with a protein."""
+    from strandwork.functions import protein as P
+    from strandwork.functions.sequence import let
+
+    def of(z: Column) -> Column:
+        m, n = z["d"], z["n"]
+        count = lambda letters: P.count_in(n, letters)
+        bonds = -(F.least(m["hbd"], count("DESTYNQH")) + F.least(m["hba"], count("STYKRHNQW"))) * 0.9
+        water = F.when(m["logp"] > 0, -m["logp"] * F.coalesce(F.try_divide(count("AVILMFWPY").cast("double"), n["len"]), F.lit(0.0)) * 0.8).otherwise(0.0)
+        ionic = F.when(m["charge"] * z["c"] < 0, m["charged"] * -0.5).otherwise(m["charged"] * 0.2)
+        stacking = -F.least(m["aromatic_rings"] * count("FYWH") * 0.3, F.lit(3.0))
+        desolvation, turns = m["tpsa"] * 0.02, m["rotatable"] * 0.3
+        dg = bonds + water + ionic + stacking + desolvation + turns
+        sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (-dg - 2.0) / 8.0))
+        return F.struct(bonds.alias("hydrogen_bonds"), water.alias("hydrophobic"), ionic.alias("electrostatic"), stacking.alias("aromatic"), desolvation.alias("desolvation"), turns.alias("rotation"), dg.alias("dg"), (F.exp(dg / (0.001987 * 310.15)) * 1e6).alias("kd"), sure.alias("confidence"), ((dg < -5.0) & (sure > 0.4)).alias("binder"))
+
+    return let(F.struct(d.alias("d"), P.residue_counts(s).alias("n"), P.charge_at(s, 7.0).alias("c")), of)
+
+
+def binding_site(s: Column, most: int = 10) -> Column:
+    """0-based places of the first hydrophobic residues."""
+    indexed = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    return F.slice(F.transform(F.filter(indexed, lambda e: e["c"].isin(*"AVILMFWP")), lambda e: e["i"]), 1, most)
+
+
+def dna_binding(d: Column, gc: Column) -> Column:
+    """Struct of intercalation, minor groove, covalent risk, mode and free energy of a molecule with DNA of that GC content in percent."""
+    from strandwork.functions.sequence import let
+
+    def of(z: Column) -> Column:
+        m = z["d"]
+        planar = F.when(m["aromatic_rings"] >= 3, 1.0).when(m["aromatic_rings"] == 2, 0.7).when(m["aromatic_rings"] == 1, 0.3).otherwise(0.0)
+        inter = planar * 3.0 + F.when(m["charge"] > 0, m["charge"] * 0.5).otherwise(0.0) - F.when(m["weight"] > 600, (m["weight"] - 600) * 0.01).otherwise(0.0) + z["gc"] / 100.0 * 0.5
+        groove = F.greatest(F.lit(0.0), 1.0 - m["rotatable"] * 0.1) * 2.0 + (100.0 - z["gc"]) / 100.0 * 1.5 + m["hbd"] * 0.5 + F.when(m["weight"].between(300.0, 600.0), 1.0).otherwise(0.0)
+        high = high_alerts(m)
+        risk = F.when(high >= 2, "High").when((high > 0) | (m["electrophiles"] >= 2), "Moderate").otherwise("Low")
+        mode = F.when(inter > 4.0, "Intercalation").when(groove > 3.0, "Minor groove binding").when(risk == "High", "Covalent alkylation").otherwise("Electrostatic / non-specific")
+        return F.struct(inter.alias("intercalation"), groove.alias("groove"), risk.alias("risk"), mode.alias("mode"), (-F.greatest(inter, groove) * 0.8).alias("dg"))
+
+    return let(F.struct(d.alias("d"), gc.alias("gc")), of)
+
+
+def rna_binding(d: Column, pairs: Column, length: Column) -> Column:
+    """Score of a molecule with an RNA of that many base pairs and bases."""
+    return F.coalesce(F.try_divide(pairs.cast("double"), length), F.lit(0.0)) * 2.0 + d["positive"] * 0.5 + d["aromatic_rings"] * 0.4 + d["amines"] * 0.3 - d["logp"] * 0.2
+
+
+def pharmacophore_match(query: Column, candidate: Column) -> Column:
+    """Share of the query's feature kinds, as maps of kind to atoms, that the candidate has; kinds without atoms count as absent."""
+    kinds = lambda m: F.map_keys(F.map_filter(m, lambda _, x: F.size(x) > 0))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(kinds(query), kinds(candidate))).cast("double"), F.size(kinds(query))), F.lit(0.0))
+
+
+QSAR = {"mw": "weight", "logP": "logp", "hbd": "hbd", "hba": "hba", "tpsa": "tpsa", "rotB": "rotatable", "rings": "rings", "mr": "refractivity", "fsp3": "fsp3"}
+
+
+def train_qsar(df, d: str = "d", activity: str = "activity"):
+    """One row: intercept (mean activity), a coefficient per descriptor (its correlation with the activity, 0 without variance) and the descriptors' means and deviations."""
+    y = F.col(activity).cast("double")
+    x = {k: F.col(f"{d}.{f}").cast("double") for k, f in QSAR.items()}
+    r = lambda c: F.when((F.stddev_pop(c) > 0) & (F.stddev_pop(y) > 0), F.corr(c, y)).otherwise(0.0)
+    return df.agg(F.avg(y).alias("intercept"), *(r(c).alias(k) for k, c in x.items()), *(F.avg(c).alias(f"{k}_mean") for k, c in x.items()), *(F.stddev_pop(c).alias(f"{k}_sd") for k, c in x.items()))
 
 
-def binding_score(d: Column, charge: Column, hydrophobic: Column) -> Column:
-    """Free energy and dissociation constant (micromolar) of a molecule with a protein of that charge and hydrophobic share."""
-    dg = -(0.5 * d["hbd"] + 0.3 * d["hba"]) - 0.6 * d["logp"] * hydrophobic - 0.4 * d["aromatic_rings"] - 0.05 * F.abs(charge) + 0.1 * d["rotatable"]
-    return F.struct(dg.alias("dg"), (F.exp(dg / (0.001987 * 298.15)) * 1e6).alias("kd"))
+def predict_qsar(df, model, d: str = "d"):
+    """df with prediction: intercept plus coefficients times raw descriptors. model: the row of train_qsar."""
+    total = sum((F.col(f"__m.{k}") * F.col(f"{d}.{f}") for k, f in QSAR.items()), F.col("__m.intercept"))
+    return df.join(F.broadcast(model.select(F.struct("*").alias("__m")))).withColumn("prediction", total).drop("__m")
 
 
-def numbers_array(x: list[int], size: int) -> np.ndarray:
-    """Set bits as a dense 0/1 vector."""
-    out = np.zeros(size, np.uint8)
-    out[x] = 1
-    return out
+def qsar_r2(df, model, d: str = "d", activity: str = "activity"):
+    """One row: share of the activity's variance that standardised descriptors times their coefficients explain."""
+    part = lambda k, f: F.when(F.col(f"__m.{k}_sd") > 0, F.col(f"__m.{k}") * (F.col(f"{d}.{f}") - F.col(f"__m.{k}_mean")) / F.col(f"__m.{k}_sd")).otherwise(0.0)
+    fit = sum((part(k, f) for k, f in QSAR.items()), F.col("__m.intercept"))
+    y, mean = F.col(activity).cast("double"), F.col("__m.intercept")
+    rows = df.join(F.broadcast(model.select(F.struct("*").alias("__m"))))
+    return rows.agg(F.coalesce(1 - F.try_divide(F.sum((y - fit) * (y - fit)), F.sum((y - mean) * (y - mean))), F.lit(0.0)).alias("r2"))

@@ -19,6 +19,34 @@ def mean(s: Column, values: dict[str, float]) -> Column:
     return F.try_divide(total(s, values), count_of(s, "".join(sorted(values))))
 
 
+def residue_counts(s: Column) -> Column:
+    """Struct of the counts of the 20 residues and len: each figure below needs no further pass over the text."""
+    return F.struct(*(count_of(s, aa).alias(aa) for aa in T.RESIDUES), F.length(s).cast("long").alias("len"))
+
+
+def count_in(n: Column, letters: str) -> Column:
+    return sum((n[aa] for aa in letters if aa in T.RESIDUES), F.lit(0).cast("long"))
+
+
+def total_in(n: Column, values: dict[str, float]) -> Column:
+    return sum((n[aa] * v for aa, v in sorted(values.items()) if v), F.lit(0.0))
+
+
+def figures(s: Column) -> Column:
+    """Struct of the figures that residue counts give: len, weight, gravy, boman, aromaticity, hydrophobic, aliphatic, extinction, charge7."""
+
+    def of(n: Column) -> Column:
+        share = lambda letters: F.try_divide(count_in(n, letters).cast("double"), n["len"])
+        mean_in = lambda values: F.try_divide(total_in(n, values), count_in(n, "".join(sorted(values))))
+        aliphatic = F.coalesce(F.try_divide(100.0 * (n["A"] + 2.9 * n["V"] + 3.9 * (n["I"] + n["L"])), n["len"]), F.lit(0.0))
+        return F.struct(
+            n["len"].alias("len"), (total_in(n, T.MASS) - (n["len"] - 1) * T.WATER).alias("weight"), mean_in(T.HYDROPATHY).alias("gravy"), mean_in(T.BOMAN).alias("boman"), share(T.AROMATIC).alias("aromaticity"),
+            share(T.HYDROPHOBIC).alias("hydrophobic"), aliphatic.alias("aliphatic"), (n["W"] * 5500.0 + n["Y"] * 1490.0 + n["C"] * 125.0).alias("extinction"), _charge(lambda aa: n[aa], F.lit(7.0)).alias("charge7"),
+        )
+
+    return let(residue_counts(s), of)
+
+
 def molecular_weight(s: Column) -> Column:
     return total(s, T.MASS) - (F.length(s) - 1) * T.WATER
 

@@ -39,6 +39,17 @@ def gc_content(s: Column) -> Column:
     return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(count_of(s, "GC") * 100.0 / F.length(s))
 
 
+def entropy(s: Column, letters: str = "ACGT") -> Column:
+    """Shannon entropy, in bits, of the letters' shares among themselves; null without any."""
+    counts = F.array(*(count_of(s, b).cast("double") for b in letters))
+
+    def of(n: Column) -> Column:
+        total = F.aggregate(n, F.lit(0.0), lambda a, x: a + x)
+        return F.when(total > 0, -F.aggregate(F.filter(n, lambda x: x > 0), F.lit(0.0), lambda a, x: a + x / total * F.log2(x / total)))
+
+    return let(counts, of)
+
+
 def melting_temperature(s: Column) -> Column:
     short = 2.0 * count_of(s, "AT") + 4.0 * count_of(s, "GC")
     return F.when(F.length(s) < 14, short).otherwise(64.9 + 41.0 * (count_of(s, "GC") - 16.4) / F.length(s))
@@ -83,6 +94,45 @@ def find_motif(s: Column, motif: str) -> Column:
     return F.aggregate(F.split(s, f"(?={m})"), none, add, lambda acc: acc["hits"])
 
 
+def orfs(s: Column, least: int = 100) -> Column:
+    """Structs of frame (1 to 3), start, end (after the stop) and protein: every ATG up to the first stop in its frame, nested ones too."""
+
+    def in_frame(f: int) -> Column:
+        def of(c: Column) -> Column:
+            places = F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0)))
+            stops = F.filter(places, lambda i: F.coalesce(F.get(c, i).isin("TAA", "TAG", "TGA"), F.lit(False)))
+
+            def found(ends: Column) -> Column:
+                first = lambda i: F.get(F.filter(ends, lambda e: e > i), F.lit(0))
+                begins = F.filter(places, lambda i: F.coalesce(F.get(c, i) == "ATG", F.lit(False)))
+                spans = F.filter(F.transform(begins, lambda i: F.struct(i.alias("i"), first(i).alias("e"))), lambda x: x["e"].isNotNull() & ((x["e"] + 1 - x["i"]) * 3 >= least))
+                return F.transform(spans, lambda x: F.struct(F.lit(f + 1).alias("frame"), (x["i"] * 3 + f).cast("long").alias("start"), (x["e"] * 3 + 3 + f).cast("long").alias("end"), translate(F.array_join(F.slice(c, x["i"] + 1, x["e"] - x["i"]), "")).alias("protein")))
+
+            return let(stops, found)
+
+        return let(codons(s, f), of)
+
+    return F.concat(*(in_frame(f) for f in range(3)))
+
+
+def is_start(codon: Column) -> Column:
+    return codon == "ATG"
+
+
+def is_stop(codon: Column, code: int = 1) -> Column:
+    return codon.isin([k for k, x in T.codon_table(code).items() if x == "*"])
+
+
+def translate_rna(s: Column, code: int = 1) -> Column:
+    return translate(back_transcribe(s), code)
+
+
+def checked_translation(s: Column, code: int = 1) -> Column:
+    """translate(), but an error for a codon that the code does not have."""
+    known = F.forall(codons(s), lambda c: c.isin(list(T.codon_table(code))))
+    return F.when(known, translate(s, code)).otherwise(F.raise_error(F.concat(F.lit("unknown codon in "), F.substring(s, 1, 60))))
+
+
 def codons(s: Column, frame: int = 0) -> Column:
     return F.regexp_extract_all(F.substring(s, frame + 1, 1 << 30) if frame else s, F.lit("(.{3})"), F.lit(1))
 
@@ -100,10 +150,36 @@ def translate_from_start(s: Column, code: int = 1) -> Column:
     return F.when(i > 0, translate(F.substring(s, F.greatest(i, F.lit(1)), F.lit(1 << 30)), code))
 
 
+FRAMES = ("+1", "+2", "+3", "-1", "-2", "-3")
+
+
+def _six(seqs: pd.Series, acids: np.ndarray, pairs: bytes) -> pd.Series:
+    """Per sequence the proteins of FRAMES, by looking codons up as numbers; a codon with another letter is X."""
+    digit = np.full(256, 1 << 12, np.int64)
+    digit[[ord(x) for x in T.BASES]] = np.arange(4)
+    table = np.concatenate([acids, np.full(1, ord("X"), np.uint8)])
+    out = []
+    for x in seqs:
+        if x is None:
+            out.append(None)
+            continue
+        plus = (x.encode() if x.isascii() else "".join(c if c.isascii() else "?" for c in x).encode())
+        each = []
+        for strand in (plus, plus.translate(pairs)[::-1]):
+            d = digit[np.frombuffer(strand, np.uint8)]
+            for f in range(3):
+                n = max(0, (len(d) - f) // 3)
+                codon = d[f : f + 3 * n].reshape(-1, 3) @ np.array([16, 4, 1])
+                each.append(table[np.minimum(codon, 64)].tobytes().partition(b"*")[0].decode())
+        out.append([{"frame": f, "protein": p} for f, p in zip(FRAMES, each)])
+    return pd.Series(out)
+
+
 def six_frames(s: Column, code: int = 1) -> Column:
-    """Structs of frame (+1 to -3) and protein."""
-    rc = reverse_complement(s)
-    return F.array(*(F.struct(F.lit(f"{sign}{f + 1}").alias("frame"), translate(x, code, f).alias("protein")) for sign, x in (("+", s), ("-", rc)) for f in range(3)))
+    """Structs of frame (+1 to -3) and protein, in batches of arrays: six passes of expressions over each text cost ten times as much."""
+    acids = np.frombuffer(T.CODES[code].encode(), np.uint8)
+    pairs = bytes.maketrans(*(x.encode() for x in T.DNA_COMPLEMENT))
+    return F.pandas_udf(lambda x: _six(x, acids, pairs), "array<struct<frame:string,protein:string>>", F.PandasUDFType.SCALAR)(s)
 
 
 def kmers(s: Column, k: int) -> Column:
@@ -196,6 +272,15 @@ def hybridize(a: Column, b: Column, salt: float = 0.05, strand: float = 250e-9)
     return F.struct(dh.alias("dh"), ds.alias("ds"), (dh - 310.15 * ds / 1000).alias("dg37"), (dh * 1000 / (ds + 1.987 * F.log(ct)) - 273.15).alias("tm"), wrong.cast("long").alias("mismatches"))
 
 
+def binding_affinity(a: Column, b: Column, circular: bool = False) -> Column:
+    """Free energy of two strands; a circular topology is worth -3.5 kcal/mol."""
+    return hybridize(a, b)["dg37"] + (-3.5 if circular else 0.0)
+
+
+def fret_efficiency(distance: Column, radius: Column) -> Column:
+    return 1.0 / (1.0 + F.pow(distance / radius, F.lit(6.0)))
+
+
 def mirna_sites(mirna: Column, mrna: Column, least: int = 6) -> Column:
     """Structs of pos, matches and site where the complement of the seed (bases 2 to 8) matches at least `least` bases."""
     seed = F.translate(F.translate(F.substring(mirna, 2, 7), "T", "U"), *T.RNA_COMPLEMENT)
@@ -227,6 +312,37 @@ def normalise_chromosome(raw: Column) -> Column:
     return F.when(digits == "", raw).otherwise(F.concat(F.lit("chr"), F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)))
 
 
+def base_report(s: Column) -> Column:
+    """Structs of base, count, percent and the percent that the GC content alone would give."""
+    gc = gc_content(s)
+    share = lambda b: F.coalesce(F.try_divide(count_of(s, b) * 100.0, F.length(s)), F.lit(0.0))
+    return F.array(*(F.struct(F.lit(b).alias("base"), count_of(s, b).alias("n"), share(b).alias("percent"), (gc / 2 if b in "GC" else (100 - gc) / 2).alias("expected")) for b in "ATGC"))
+
+
+def traffic_lights(s: Column) -> Column:
+    """Struct of bands: GC content from 40 to 60 percent and a melting temperature from 50 to 75 degrees are fine."""
+    gc, tm = gc_content(s), melting_temperature(s)
+    return F.struct(F.when(gc < 40, "low").when(gc > 60, "high").otherwise("fine").alias("gc"), F.when(tm < 50, "low").when(tm > 75, "high").otherwise("fine").alias("tm"))
+
+
+def mean_skew(s: Column) -> Column:
+    """Mean GC skew over windows of min(50, n / 4 + 1) bases at steps of min(10, n / 10 + 1); 0 for short sequences."""
+
+    def of(z: Column) -> Column:
+        text, n = z["s"], z["n"]
+        w, step = F.least(F.lit(50), F.floor(n / 4).cast("int") + 1), F.least(F.lit(10), F.floor(n / 10).cast("int") + 1)
+        places = F.when(n >= w, F.sequence(F.lit(0), F.greatest(n - w, F.lit(0)), step)).otherwise(F.array().cast("array<int>"))
+
+        def one(i: Column) -> Column:
+            part = F.substring(text, i + 1, w)
+            g, c = count_of(part, "G"), count_of(part, "C")
+            return F.when(g + c == 0, F.lit(0.0)).otherwise((g - c) / F.greatest(g + c, F.lit(1)))
+
+        return let(F.transform(places, one), lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x)).otherwise(F.lit(0.0)))
+
+    return let(F.struct(s.alias("s"), F.length(s).alias("n")), of)
+
+
 def gene_ids(text: Column) -> Column:
     """Struct of the two kinds of rice gene ids found in a text."""
     return F.struct(F.regexp_extract(text, r"(?i)(Os\d{2}g\d{7})", 1).alias("rap"), F.regexp_extract(text, r"(?i)(LOC_Os\d{2}g\d{5})", 1).alias("msu"))

@@ -44,6 +44,16 @@ COILED_COIL = {"A": 1.44, "E": 1.44, "I": 1.40, "L": 1.40, "M": 1.36, "Q": 1.33,
 HYDROPHOBIC = "AVILMFWP"
 AROMATIC = "FHWY"
 HYDROPHOBICITY = {"A": 0.62, "C": 0.29, "D": -0.90, "E": -0.74, "F": 1.19, "G": 0.48, "H": -0.40, "I": 1.38, "K": -1.50, "L": 1.06, "M": 0.64, "N": -0.78, "P": 0.12, "Q": -0.85, "R": -2.53, "S": -0.18, "T": -0.05, "V": 1.08, "W": 0.81, "Y": 0.26}
+# Hydrophilicity, side-chain mass, residue mass and acid constant of the residues.
+HYDROPHILICITY = {"A": -0.5, "C": -1.0, "D": 3.0, "E": 3.0, "F": -2.5, "G": 0.0, "H": -0.5, "I": -1.8, "K": 3.0, "L": -1.8, "M": -1.3, "N": 0.2, "P": 0.0, "Q": 0.2, "R": 3.0, "S": 0.3, "T": -0.4, "V": -1.5, "W": -3.4, "Y": -2.3}
+SIDE_MASS = {"A": 15.0, "C": 47.0, "D": 59.0, "E": 73.0, "F": 91.0, "G": 1.0, "H": 82.0, "I": 57.0, "K": 73.0, "L": 57.0, "M": 75.0, "N": 58.0, "P": 42.0, "Q": 72.0, "R": 100.0, "S": 31.0, "T": 45.0, "V": 43.0, "W": 130.0, "Y": 107.0}
+RESIDUE_MASS = {"A": 71.03, "C": 103.01, "D": 115.03, "E": 129.04, "F": 147.07, "G": 57.02, "H": 137.06, "I": 113.08, "K": 128.09, "L": 113.08, "M": 131.04, "N": 114.04, "P": 97.05, "Q": 128.06, "R": 156.10, "S": 87.03, "T": 101.05, "V": 99.07, "W": 186.08, "Y": 163.06}
+PK1 = {"A": 2.34, "C": 1.96, "D": 1.88, "E": 2.19, "F": 1.83, "G": 2.34, "H": 1.82, "I": 2.36, "K": 2.18, "L": 2.36, "M": 2.28, "N": 2.02, "P": 1.99, "Q": 2.17, "R": 2.17, "S": 2.21, "T": 2.09, "V": 2.32, "W": 2.83, "Y": 2.20}
+# Places of the residues on the scale of sequence order; the distance of two residues is that of their places.
+ORDER_PLACE = {"A": 0.11, "C": 0.0, "D": 0.94, "E": 0.90, "F": 0.0, "G": 0.67, "H": 0.90, "I": 0.69, "K": 0.94, "L": 0.0, "M": 0.0, "N": 0.94, "P": 0.60, "Q": 0.90, "R": 0.90, "S": 0.29, "T": 0.22, "V": 0.0, "W": 0.90, "Y": 0.22}
+# Helix propensity (0.9 for others) and the residues that count towards sheets.
+HELIX = {"A": 1.44, "E": 1.44, "L": 1.40, "M": 1.36, "Q": 1.33, "K": 1.23, "R": 1.37, "H": 1.05, "V": 1.31, "I": 1.40, "F": 1.19, "W": 1.08, "C": 1.04, "T": 0.87, "Y": 0.87, "S": 0.99}
+SHEET_RESIDUES = "AVILMFWP"
 # Property classes 1, 2, 3 of the composition, transition and distribution descriptors.
 CTD = {
     "hydrophobicity": ("ACFILMVW", "DEGKNPQRST", "HY"),

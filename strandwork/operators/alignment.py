@@ -121,13 +121,13 @@ def seed_hits(queries: DataFrame, subjects: DataFrame, k: int) -> DataFrame:
     return q.join(t, "kmer").groupBy("query", "subject").agg(F.count(F.lit(1)).alias("seeds"))
 
 
-def search(queries: DataFrame, subjects: DataFrame, k: int = 11, most: int = 50, evalue: float = 0.001, match: float = 2.0, mismatch: float = -3.0, gap: float = -5.0) -> DataFrame:
+def search(queries: DataFrame, subjects: DataFrame, k: int = 11, most: int = 50, evalue: float = 0.001, match: float = 2.0, mismatch: float = -3.0, gap: float = -5.0, matrix: dict | None = None) -> DataFrame:
     """Seed, extend by local alignment, score: hits of each query by E-value, at most `most` (a top-k report)."""
     n = subjects.count()
     w = Window.partitionBy("query").orderBy(F.col("seeds").desc(), "subject")
     top = seed_hits(queries, subjects, k).withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * most).drop("r")
     pairs = top.join(queries.select(F.col("id").alias("query"), F.col("s").alias("qs")), "query").join(subjects.select(F.col("id").alias("subject"), F.col("s").alias("ss")), "subject")
-    hits = pairs.withColumn("al", align_column(F.col("qs"), F.col("ss"), mode="local", match=match, mismatch=mismatch, gap=gap))
+    hits = pairs.withColumn("al", align_column(F.col("qs"), F.col("ss"), mode="local", match=match, mismatch=mismatch, gap=gap, matrix=matrix))
     e = KAPPA * F.length("qs") * F.length("ss") * n * F.exp(-LAMBDA * F.col("al.score"))
     hits = hits.select("query", "subject", "seeds", F.col("al.score").alias("score"), ((LAMBDA * F.col("al.score") - math.log(KAPPA)) / math.log(2)).alias("bits"), e.alias("evalue"), F.col("al.identity").alias("identity")).where(F.col("evalue") <= evalue)
     best = Window.partitionBy("query").orderBy("evalue", "subject")
@@ -169,3 +169,99 @@ def fold_column(s: Column) -> Column:
         return pd.DataFrame([fold(t or "") for t in x], columns=["structure", "pairs", "energy"])
 
     return F.pandas_udf(run, "structure string, pairs int, energy double", F.PandasUDFType.SCALAR)(s)
+
+
+def dna_matrix(match: float = 2.0, mismatch: float = -1.0) -> dict[tuple[str, str], float]:
+    """Scores of all pairs of A, T, G, C and N."""
+    return {(a, b): match if a == b else mismatch for a in "ATGCN" for b in "ATGCN"}
+
+
+def stems(structure: Column) -> Column:
+    """Structs of start and end (0-based, half open) of the runs of opening brackets."""
+    parts = F.filter(F.split(structure, r"(?<=\()(?=[^(])|(?<=[^(])(?=\()"), lambda p: p != "")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.startswith("("), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end")))).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+
+def loops(rna: str, structure: str, least: int = 3) -> list[str]:
+    """Unpaired stretches of at least `least` bases."""
+    import re
+
+    return [rna[m.start() : m.end()] for m in re.finditer(rf"\.{{{least},}}", structure)]
+
+
+_PAIRS = str.maketrans("AUGC", "UACG")
+
+
+def _score(a: str, b: str, match: float, mismatch: float, gap: float) -> float:
+    """Best local score with a linear gap, by rows: the gap within a row is a running maximum."""
+    if not a or not b:
+        return 0.0
+    y = np.frombuffer(b.encode(), np.uint8)
+    step = np.arange(len(b) + 1) * gap
+    row, best = np.zeros(len(b) + 1), 0.0
+    for x in a.encode():
+        new = np.zeros(len(b) + 1)
+        new[1:] = np.maximum(np.maximum(row[:-1] + np.where(y == x, match, mismatch), row[1:] + gap), 0.0)
+        row = np.maximum.accumulate(new - step) + step
+        best = max(best, float(row.max()))
+    return best
+
+
+def _pair_udf(one, a: Column, b: Column) -> Column:
+    return F.pandas_udf(lambda x, y: pd.Series([one(p or "", q or "") for p, q in zip(x, y)], dtype=float), "double", F.PandasUDFType.SCALAR)(a, b)
+
+
+def rna_hybridize(a: Column, b: Column) -> Column:
+    """Energy of two RNAs: -0.7 times the local score (3, -2, -5) of the first with the second's complement."""
+    return _pair_udf(lambda p, q: -0.7 * _score(p, q.translate(_PAIRS), 3.0, -2.0, -5.0), a, b)
+
+
+def kissing_loops(a: Column, b: Column) -> Column:
+    """The best local score of a loop of one folded RNA with the complement of a loop of the other; 0 without loops."""
+
+    def one(p: str, q: str) -> float:
+        left, right = ({x for x in loops(s, fold(s)[0])} for s in (p.replace("T", "U"), q.replace("T", "U")))
+        return max((_score(x, y.translate(_PAIRS), 2.0, -1.0, -2.0) for x in left for y in right), default=0.0)
+
+    return _pair_udf(one, a, b)
+
+
+def r_loop(dna: Column, rna: Column) -> Column:
+    """Propensity of an R-loop: identity times GC share times local score over the longer length."""
+
+    def one(p: str, q: str) -> float:
+        _, _, score, identity, _ = align(p, q.replace("U", "T"), "local")
+        return identity * (sum(c in "GC" for c in p) / len(p)) * score / max(len(p), len(q)) if p and q else 0.0
+
+    return _pair_udf(one, dna, rna)
+
+
+def blastn(queries: DataFrame, subjects: DataFrame, most: int = 50, evalue: float = 0.001) -> DataFrame:
+    """search() of nucleotides: words of 11, match 2, mismatch -3, gap -5."""
+    return search(queries, subjects, 11, most, evalue)
+
+
+def blastp(queries: DataFrame, subjects: DataFrame, matrix: dict | None = None, most: int = 50, evalue: float = 0.001) -> DataFrame:
+    """search() of proteins: words of 3, gap -11, with a substitution matrix as (residue, residue) -> score."""
+    return search(queries, subjects, 3, most, evalue, gap=-11.0, matrix=matrix)
+
+
+def best_hits(hits: DataFrame, most: int = 10) -> DataFrame:
+    """Of each query the hits of the smallest E-values."""
+    w = Window.partitionBy("query").orderBy("evalue", "subject")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def pretty(al: Column, width: int = 60) -> Column:
+    """An alignment struct as text: blocks of both rows with a line of bars and dots between them."""
+
+    def run(x: pd.DataFrame) -> pd.Series:
+        out = []
+        for a, b in zip(x["a_aligned"], x["b_aligned"]):
+            marks = "".join("|" if p == q else " " if "-" in (p, q) else "." for p, q in zip(a, b))
+            out.append("\n\n".join("\n".join(r[i : i + width] for r in (a, marks, b)) for i in range(0, len(a), width)))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(al)

@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.operators.relational import interval_join, nearest_join
+from strandwork.operators.relational import interval_join
 
 
 def annotate(variants: DataFrame, genes: DataFrame, width: int = 4096, most: int = 2000) -> DataFrame:
     """(variant id, chrom, pos) by the genes that hold it, or else by the nearest gene within `most` bases.
 
-    genes: gene, chrom, st, en, strand. Result: place (genic, upstream or downstream) and distance.
+    genes: gene, chrom, st, en, strand. Result: place (genic, upstream or downstream) and distance. One join with genes
+    widened by `most` finds both; a window per variant keeps the genes that hold it or, without any, the nearest one.
     """
-    inside = interval_join(variants, genes, "pos", "st", "en", ["chrom"], width).withColumn("place", F.lit("genic")).withColumn("distance", F.lit(0).cast("long"))
-    rest = variants.join(inside.select("id").distinct(), "id", "left_anti")
-    near = nearest_join(rest, genes, "pos", "st", "en", ["chrom"], most, ["id"], "gene")
+    wide = genes.withColumn("__from", F.col("st") - most).withColumn("__to", F.col("en") + most)
+    near = interval_join(variants, wide, "pos", "__from", "__to", ["chrom"], width)
+    inside = F.col("pos").between(F.col("st"), F.col("en"))
+    edge = F.least(F.abs(F.col("st") - F.col("pos")), F.abs(F.col("en") - F.col("pos")))
+    near = near.withColumn("__in", inside).withColumn("distance", F.when(inside, F.lit(0)).otherwise(edge).cast("long"))
+    each = Window.partitionBy("id")
+    near = near.withColumn("__any", F.max("__in").over(each)).withColumn("__r", F.row_number().over(each.orderBy("__in", "distance", "gene")))
     up = ((F.col("strand") == "+") & (F.col("pos") < F.col("st"))) | ((F.col("strand") == "-") & (F.col("pos") > F.col("en")))
-    near = near.withColumn("place", F.when(up, "upstream").otherwise("downstream"))
-    columns = ["id", "chrom", "pos", "gene", "place", "distance"]
-    return inside.select(columns).unionByName(near.select(columns))
+    place = F.when(F.col("__in"), "genic").when(up, "upstream").otherwise("downstream")
+    return near.where(F.col("__in") | (~F.col("__any") & (F.col("__r") == 1))).select("id", "chrom", "pos", "gene", place.alias("place"), "distance")
 
 
 def consequence(snp: Column, feature: Column) -> Column:
@@ -40,11 +44,23 @@ def feature_at(points: DataFrame, parts: DataFrame, width: int = 4096) -> DataFr
 
 
 def gene_models(genes: DataFrame, transcripts: DataFrame, parts: DataFrame) -> DataFrame:
-    """Genes with their transcripts, each with its parts in order of transcription; genes without any are kept."""
-    t = transcripts.join(parts.groupBy("tx").agg(F.sort_array(F.collect_list(F.struct("st", "en", "type"))).alias("parts")), "tx", "left")
+    """Genes with their transcripts, each with its parts in order of transcription; genes without any are kept.
+
+    With a strand in genes, the parts of a transcript on the minus strand stand in descending order.
+    """
+    listed = parts.groupBy("tx").agg(F.sort_array(F.collect_list(F.struct("st", "en", "type"))).alias("parts"))
+    t = transcripts.join(listed, "tx", "left")
+    if "strand" in genes.columns:
+        t = t.join(genes.select("gene", "strand"), "gene", "left").withColumn("parts", F.when(F.col("strand") == "-", F.reverse("parts")).otherwise(F.col("parts"))).drop("strand")
     return genes.join(t.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("tx", "parts"))).alias("transcripts")), "gene", "left")
 
 
+def flat_gene_models(parts: DataFrame) -> DataFrame:
+    """Genes of a file without gene rows: one per transcript of (tx, chrom, type, st, en, strand), over the span of its parts."""
+    g = parts.groupBy("tx").agg(F.first("chrom").alias("chrom"), F.min("st").alias("st"), F.max("en").alias("en"), F.first("strand").alias("strand"))
+    return g.select(F.concat(F.lit("gene_"), F.col("tx").cast("string")).alias("gene"), "tx", "chrom", "st", "en", "strand")
+
+
 def primary_transcripts(transcripts: DataFrame, parts: DataFrame) -> DataFrame:
     """Of each gene the transcript with the longest coding parts, the first on ties."""
     size = transcripts.join(parts, "tx").groupBy("gene", "tx").agg(F.sum(F.col("en") - F.col("st") + 1).alias("cds_length"))

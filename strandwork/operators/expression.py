@@ -21,25 +21,62 @@ def tpm(counts: DataFrame) -> DataFrame:
     return with_rpk.join(total, "sample").select("gene", "sample", F.coalesce(F.try_divide(F.col("rpk") * 1e6, F.col("total")), F.lit(0.0)).alias("tpm"))
 
 
-def fpkm(counts: DataFrame) -> DataFrame:
-    total = counts.groupBy("sample").agg(F.sum("value").alias("total"))
+def fpkm(counts: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Per kilobase and million reads of the sample: `totals` (sample, total), or else the sample's sum; 0 without length or reads."""
+    total = counts.groupBy("sample").agg(F.sum("value").alias("total")) if totals is None else totals
     return counts.join(total, "sample").select("gene", "sample", F.coalesce(F.try_divide(F.col("value") * 1e9, F.col("length") * F.col("total")), F.lit(0.0)).alias("fpkm"))
 
 
+def submatrix(values: DataFrame, genes: list, samples: list) -> DataFrame:
+    """The rows of the named genes and samples with their places in the lists (row, column); unknown names are left out."""
+    spark = values.sparkSession
+    rows = spark.createDataFrame([(g, i) for i, g in enumerate(genes)], f"gene {dict(values.dtypes)['gene']}, row int")
+    columns = spark.createDataFrame([(x, i) for i, x in enumerate(samples)], f"sample {dict(values.dtypes)['sample']}, column int")
+    return values.join(F.broadcast(rows), "gene").join(F.broadcast(columns), "sample")  # as many rows as the lists have names
+
+
+BUCKETS = 64
+MOST_GROUPS = 10_000
+
+
+def _ranked(values: DataFrame, group: str, value: str, ties: list[str], descending: bool) -> DataFrame:
+    """values with place (1-based row number in the group), rank (that of the first equal value) and size of the group.
+
+    A group's values are dealt to buckets between its quantiles and counted per bucket, so its ranks come from many
+    tasks. The quantiles are collected and become fixed numbers of the plan, as approximate ones may differ when they are
+    computed again: BUCKETS - 1 for each of at most MOST_GROUPS groups; with more groups one is a small part of all rows
+    and is ranked whole.
+    """
+    spark, kind = values.sparkSession, dict(values.dtypes)[group]
+    groups = values.groupBy(group).agg(F.percentile_approx(F.col(value).cast("double"), [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("__cuts"), F.count(F.lit(1)).alias("size"))
+    found = groups.limit(MOST_GROUPS + 1).collect()
+    if len(found) <= MOST_GROUPS:
+        cuts = spark.createDataFrame([tuple(r) for r in found], f"{group} {kind}, __cuts array<double>, size long")
+        dealt = values.join(F.broadcast(cuts), group).withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col(value))))
+    else:
+        dealt = values.join(groups.withColumn("__cuts", F.lit(None).cast("array<double>")), group).withColumn("__b", F.lit(0))
+    order = F.col("__b").desc() if descending else F.col("__b")
+    per = dealt.groupBy(group, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    per = per.withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    own = F.col(value).desc() if descending else F.col(value)
+    w = Window.partitionBy(group, "__b")
+    dealt = dealt.withColumn("__own", F.row_number().over(w.orderBy(own, *ties))).withColumn("__rank", F.rank().over(w.orderBy(own)))
+    out = dealt.join(per, [group, "__b"])
+    return out.withColumn("place", F.col("__own") + F.col("__before")).withColumn("rank", F.col("__rank") + F.col("__before")).drop("__cuts", "__b", "__own", "__rank", "__before")
+
+
 def size_factors(counts: DataFrame) -> DataFrame:
     """Per sample the upper median of the ratios to the genes' geometric means over their nonzero samples."""
     some = counts.where(F.col("value") > 0)
     mean = some.groupBy("gene").agg(F.exp(F.avg(F.log("value"))).alias("g"))
-    ratios = some.join(mean, "gene").select("sample", (F.col("value") / F.col("g")).alias("ratio"))
-    n = ratios.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ratios.withColumn("r", F.row_number().over(Window.partitionBy("sample").orderBy("ratio")))
-    return ranked.join(n, "sample").where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("sample", F.col("ratio").alias("factor"))
+    ratios = some.join(mean, "gene").select("sample", "gene", (F.col("value") / F.col("g")).alias("ratio"))
+    ranked = _ranked(ratios, "sample", "ratio", ["gene"], False)
+    return ranked.where(F.col("place") == F.floor(F.col("size") / 2) + 1).select("sample", F.col("ratio").alias("factor"))
 
 
 def quantile_normalise(values: DataFrame) -> DataFrame:
     """Each value becomes the mean over samples of the values at its rank; ties take the highest rank's mean."""
-    down = Window.partitionBy("sample").orderBy(F.col("value").desc())
-    ranked = values.withColumn("place", F.row_number().over(Window.partitionBy("sample").orderBy(F.col("value").desc(), "gene"))).withColumn("rank", F.rank().over(down))
+    ranked = _ranked(values, "sample", "value", ["gene"], True)
     means = ranked.groupBy(F.col("place").alias("rank")).agg(F.avg("value").alias("mean"))
     return ranked.join(means, "rank").select("gene", "sample", F.col("mean").alias("value"))
 
@@ -96,20 +133,76 @@ def _fraction(a: float, b: float, x: float) -> float:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", key: str = "gene") -> DataFrame:
-    """p * n / rank, at most 1, not made monotone. Ranks are summed over range buckets, so no task sorts all tests."""
-    n = tests.count()
-    ranged = tests.repartitionByRange(F.col(p), F.col(key)).withColumn("__part", F.spark_partition_id())
-    edges = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
-    before = edges.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(p, key)) + F.col("__before")
-    return ranged.join(F.broadcast(before), "__part").withColumn("padj", F.least(F.col(p) * n / rank, F.lit(1.0))).drop("__part", "__before", "__c")
-
-
-def correlations(values: DataFrame, least: int = 3) -> DataFrame:
-    """(a, b, n, r) over all pairs of genes that share samples."""
-    a, b = values.select(F.col("gene").alias("a"), "sample", F.col("value").alias("x")), values.select(F.col("gene").alias("b"), "sample", F.col("value").alias("y"))
-    pairs = a.join(b, "sample").where("a < b").groupBy("a", "b")
-    return pairs.agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).where(F.col("n") >= least).withColumn("r", F.when(F.isnan("r") | F.col("r").isNull(), 0.0).otherwise(F.col("r")))
+    """p * n / rank, at most 1, not made monotone. Ranks come from counts per bucket of p, so no task sorts all tests; null p stays null."""
+    ranked = _ranked(tests.where(F.col(p).isNotNull()).withColumn("__all", F.lit(0)), "__all", p, [key], False)
+    fine = ranked.withColumn("padj", F.least(F.col(p) * F.col("size") / F.col("place"), F.lit(1.0))).drop("__all", "size", "place", "rank")
+    return fine.unionByName(tests.where(F.col(p).isNull()).withColumn("padj", F.lit(None).cast("double")))
+
+
+def flags(tests: DataFrame, min_mean: float = 1.0, fold: float = 1.0, level: float = 0.05) -> DataFrame:
+    """Tests (m1, m2, lfc, padj) of genes with a mean of min_mean in a group: significant, up and down."""
+    some = tests.where(F.greatest(F.coalesce("m1", F.lit(0.0)), F.coalesce("m2", F.lit(0.0))) >= min_mean)
+    hit = F.coalesce((F.col("padj") <= level) & (F.abs("lfc") >= fold), F.lit(False))
+    return some.withColumn("significant", hit).withColumn("up", hit & (F.col("lfc") > 0)).withColumn("down", hit & (F.col("lfc") < 0))
+
+
+def z_score(lfc: Column, p: Column) -> Column:
+    """Signed logarithm of a p-value, at most 300."""
+    return -F.signum(lfc) * F.greatest(F.log10(p), F.lit(-300.0))
+
+
+BLOCK = 256
+
+
+def _correlation(least: int):
+    """Arrow function: of one task (x, y) the correlations of all pairs of genes of two blocks, over the samples both have."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(table):
+        own, x, y = (np.array(table.column(c)) for c in ("own", "x", "y"))
+        samples, col = np.unique(np.array(table.column("sample")), return_inverse=True)
+        genes, row = np.unique(np.array(table.column("gene")), return_inverse=True)
+        v, has = np.zeros((len(genes), len(samples))), np.zeros((len(genes), len(samples)))
+        v[row, col], has[row, col] = np.array(table.column("value"), dtype=float), 1.0
+        block = np.zeros(len(genes), np.int64)
+        block[row] = own
+        v -= (v.sum(1) / np.maximum(has.sum(1), 1))[:, None] * has  # centred: the sums below lose no digits
+        p, q = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
+        a, b, ma, mb = v[p], v[q], has[p], has[q]
+        n, sa, sb, ab = ma @ mb.T, a @ mb.T, ma @ b.T, a @ b.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            va, vb = (a * a) @ mb.T - sa * sa / n, ma @ (b * b).T - sb * sb / n
+            r = (ab - sa * sb / n) / np.sqrt(va * vb)
+        r[~np.isfinite(r) | (va <= 1e-9) | (vb <= 1e-9)] = 0.0
+        i, j = np.nonzero((n >= max(least, 1)) & (genes[p][:, None] < genes[q][None, :]) if x[0] == y[0] else n >= max(least, 1))
+        g, h = genes[p][i], genes[q][j]
+        names = [pa.array(np.minimum(g, h)), pa.array(np.maximum(g, h)), pa.array(n[i, j].astype(np.int64)), pa.array(np.clip(r[i, j], -1.0, 1.0))]
+        return pa.Table.from_arrays(names, names=["a", "b", "n", "r"])
+
+    return run
+
+
+def correlations(values: DataFrame, least: int = 3, block: int = BLOCK) -> DataFrame:
+    """(a, b, n, r) over all pairs of genes that share at least `least` samples; r is 0 without variance.
+
+    Genes (whole numbers) are dealt to blocks, and each pair of blocks is a task of matrix products, so a value travels
+    once per block and no pair is shuffled.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.lit(values.select("gene").distinct().count()) / block)).cast("int")
+    rows = values.select(F.col("gene").cast("long"), "sample", F.col("value").cast("double")).withColumn("own", F.pmod(F.xxhash64("gene"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+    return rows.groupBy("x", "y").applyInArrow(_correlation(least), "a long, b long, n long, r double")
+
+
+def top_edges(values: DataFrame, threshold: float = 0.8, most: int = 100, least: int = 3) -> DataFrame:
+    """The `most` strongest pairs of genes with |r| from the threshold on."""
+    return correlations(values, least).where(F.abs("r") >= threshold).orderBy(F.round(F.abs("r"), 9).desc(), "a", "b").limit(most)
+
+
+def coexpressed(values: DataFrame, gene, threshold: float = 0.7, most: int = 20, least: int = 3) -> DataFrame:
+    """The `most` genes whose values go with one gene's, |r| from the threshold on."""
+    return correlated_with(values, gene, least).where(F.abs("r") >= threshold).orderBy(F.round(F.abs("r"), 9).desc(), "gene").limit(most)
 
 
 def correlated_with(values: DataFrame, gene, least: int = 3) -> DataFrame:

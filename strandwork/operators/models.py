@@ -23,6 +23,27 @@ BUILT_IN = {
         "acceptor": (0.12, [0.71, 0.38, 0.84, 0.29, 0.71], [0.04, 0.03, 0.03, 0.04, 0.03]),
         "non-splice": (0.76, [0.49, 0.44, 0.45, 0.42, 0.38], [0.06, 0.05, 0.06, 0.06, 0.05]),
     }),
+    "enzyme": (["gravy", "hydrophobic_ratio", "aliphatic_index", "pi", "aromatic_fraction", "charge_ph7", "molecular_weight", "instability_idx_norm"], {
+        "enzyme": (0.42, [-0.12, 0.38, 94.2, 5.8, 0.44, 7.12, 1480.0, 0.22], [0.18, 0.06, 82.0, 0.9, 0.05, 1.2, 280000.0, 0.04]),
+        "non-enzyme": (0.58, [0.08, 0.29, 78.1, 6.4, 0.51, 6.82, 1820.0, 0.31], [0.22, 0.07, 91.0, 1.1, 0.06, 1.4, 310000.0, 0.05]),
+    }),
+    "membrane": (["gravy", "hydrophobic_ratio", "charged_fraction", "aliphatic_index", "aromatic_fraction", "pi"], {
+        "membrane": (0.27, [1.12, 0.62, 0.14, 102.1, 0.08, 3.9], [0.22, 0.05, 0.03, 68.0, 0.02, 1.8]),
+        "soluble": (0.73, [-0.32, 0.38, 0.38, 79.4, 0.31, 7.1], [0.28, 0.06, 0.05, 72.0, 0.04, 2.1]),
+    }),
+    "activity": (["molecular_weight", "logP", "hbd", "hba", "tpsa", "rot_bonds", "rings", "fsp3"], {
+        "active": (0.35, [320.0, 2.8, 2.0, 5.5, 62.0, 4.0, 1.8, 0.52], [8100.0, 1.8, 1.2, 4.1, 680.0, 2.4, 0.9, 0.04]),
+        "inactive": (0.65, [420.0, 3.9, 3.1, 7.2, 88.0, 5.8, 2.9, 0.38], [9200.0, 2.1, 1.4, 5.2, 820.0, 3.1, 1.2, 0.05]),
+    }),
+    "toxicity": (["molecular_weight", "logP", "hbd", "hba", "tpsa", "rot_bonds", "aromatic_rings"], {
+        "class_I_low": (0.48, [180.0, 0.8, 1.1, 3.2, 42.0, 2.1, 0.8], [3200.0, 0.6, 0.8, 2.1, 320.0, 1.4, 0.4]),
+        "class_II_moderate": (0.32, [310.0, 2.4, 2.3, 5.1, 72.0, 4.2, 1.6], [6800.0, 1.2, 1.1, 3.4, 580.0, 2.2, 0.8]),
+        "class_III_high": (0.20, [450.0, 4.1, 3.8, 7.8, 98.0, 6.1, 2.4], [9400.0, 2.2, 1.8, 4.8, 920.0, 3.6, 1.4]),
+    }),
+    "herg": (["logP", "molecular_weight", "hbd", "hba", "aromatic_rings", "tpsa"], {
+        "inhibitor": (0.23, [3.8, 350.0, 1.2, 3.8, 2.1, 42.0], [1.4, 7200.0, 0.9, 2.8, 1.6, 420.0]),
+        "non-inhibitor": (0.77, [1.4, 280.0, 1.9, 5.8, 0.8, 78.0], [1.8, 6100.0, 1.2, 3.4, 0.8, 580.0]),
+    }),
 }
 
 
@@ -90,6 +111,21 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int = 5) -> DataFrame:
     return votes.where("r = 1").select("id", "label", "confidence")
 
 
+def nearest(features: list[Column], points: list[tuple[list[float], str]], k: int = 5) -> Column:
+    """Struct of label and confidence from the k nearest of a model's points, weighted by 1 / (distance + 1e-6)."""
+    v = F.array(*(x.cast("double") for x in features))
+    model = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), F.array(*map(F.lit, p)).alias("v")) for i, (p, label) in enumerate(points)))
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    near = F.slice(F.array_sort(F.transform(model, lambda p: F.struct(far(v, p["v"]).alias("d"), p["i"].alias("i"), p["label"].alias("label")))), 1, k)
+    labels = sorted({label for _, label in points})
+    weight = {x: F.aggregate(F.filter(near, lambda p: p["label"] == x), F.lit(0.0), lambda s, p: s + 1.0 / (p["d"] + 1e-6)) for x in labels}  # noqa: B023
+    total, top = sum(weight.values(), F.lit(0.0)), F.greatest(*weight.values()) if len(labels) > 1 else weight[labels[0]]
+    best = F.lit(labels[-1])
+    for x in reversed(labels[:-1]):
+        best = F.when(weight[x] == top, x).otherwise(best)
+    return F.struct(best.alias("label"), (top / total).alias("confidence"))
+
+
 def vote(predictions: DataFrame, key: str = "id") -> DataFrame:
     """Majority label of (id, label, confidence) rows and its mean confidence; the first label on ties."""
     n = predictions.groupBy(key, "label").agg(F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("confidence"))
@@ -97,6 +133,22 @@ def vote(predictions: DataFrame, key: str = "id") -> DataFrame:
     return n.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def weighted_vote(predictions: DataFrame, key: str = "id") -> DataFrame:
+    """The label of the largest weighted mean probability of (id, probabilities, weight) rows; the first label on ties."""
+    total = predictions.groupBy(key).agg(F.sum("weight").alias("total"))
+    each = predictions.select(key, "weight", F.explode("probabilities").alias("label", "p")).groupBy(key, "label").agg(F.sum(F.col("p") * F.col("weight")).alias("score"))
+    w = Window.partitionBy(key).orderBy(F.col("confidence").desc(), "label")
+    each = each.join(total, key).withColumn("confidence", F.col("score") / F.col("total"))
+    return each.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "label", "confidence")
+
+
+def save(algorithm: str, features: list[str], **parameters) -> str:
+    """A model's JSON, as load() reads it; naive Bayes classes may be given as label -> (prior, means, variances)."""
+    if algorithm in ("naive_bayes", "nb"):
+        parameters["classes"] = {k: dict(zip(("prior", "means", "variances"), c)) if isinstance(c, tuple) else c for k, c in parameters["classes"].items()}
+    return json.dumps({"algorithm": algorithm, "features": features, **parameters})
+
+
 def load(text: str):
     """A scoring function of a feature-name -> Column mapping, from a model's JSON."""
     m = json.loads(text)
@@ -109,4 +161,7 @@ def load(text: str):
         return lambda f: decision_tree(f, m["tree"])
     if kind in ("random_forest", "rf"):
         return lambda f: random_forest(f, m["trees"], m["labels"])
+    if kind == "knn":
+        points = [([float(x) for x in p["v"]], p["label"]) for p in m["points"]]
+        return lambda f: nearest([f[n] for n in names], points, m.get("k", 5))
     raise ValueError(f"unknown algorithm {kind}")

@@ -39,8 +39,3 @@ def islands(rows: DataFrame, group: list[str], start: str, end: str) -> DataFram
     marked = rows.withColumn("__new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
     marked = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*group, "__island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("members")).drop("__island")
-
-
-def first_of(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.operators.relational import windows_of
@@ -21,6 +21,15 @@ def is_indel(ref: Column, alts: Column) -> Column:
     return ~is_snp(ref, alts) & F.exists(alts, lambda a: a != ".")
 
 
+def is_multiallelic(alts: Column) -> Column:
+    return F.size(alts) > 1
+
+
+def is_transversion(ref: Column, alts: Column) -> Column:
+    """A single-base change to the first alternative that is no transition."""
+    return is_snp(ref, alts) & ~is_transition(ref, F.get(alts, F.lit(0)))
+
+
 def is_transition(ref: Column, alt: Column) -> Column:
     return F.concat(ref, alt).isin("AG", "GA", "CT", "TC")
 
@@ -38,6 +47,90 @@ def dosage(gt: Column) -> Column:
     return F.when(~is_missing(gt), F.size(F.filter(alleles(gt), lambda a: ~a.isin("0", "."))).cast("int"))
 
 
+def is_phased(gt: Column) -> Column:
+    return gt.contains("|")
+
+
+def _kinds(gt: Column) -> Column:
+    return F.array_distinct(alleles(gt))
+
+
+def is_hom(gt: Column) -> Column:
+    return ~is_missing(gt) & (F.size(_kinds(gt)) == 1)
+
+
+def is_het(gt: Column) -> Column:
+    return ~is_missing(gt) & (F.size(_kinds(gt)) > 1)
+
+
+def is_hom_ref(gt: Column) -> Column:
+    return is_hom(gt) & (F.get(alleles(gt), F.lit(0)) == "0")
+
+
+def is_hom_alt(gt: Column) -> Column:
+    return is_hom(gt) & ~F.get(alleles(gt), F.lit(0)).isin("0", ".")
+
+
+def depth(fields: Column) -> Column:
+    return F.try_element_at(fields, F.lit("DP")).try_cast("int")
+
+
+def quality(fields: Column) -> Column:
+    return F.try_element_at(fields, F.lit("GQ")).try_cast("int")
+
+
+def allele_depths(fields: Column) -> Column:
+    return F.transform(F.split(F.try_element_at(fields, F.lit("AD")), ","), lambda x: x.try_cast("int"))
+
+
+def chromosome_index(chrom: Column) -> Column:
+    """Sort key of a chromosome: its digits, or a number beyond them by hash."""
+    digits = F.regexp_replace(chrom, "[^0-9]", "").try_cast("long")
+    return F.coalesce(digits, F.lit(1 << 40) + F.pmod(F.xxhash64(chrom), F.lit(1 << 20)))
+
+
+def allele_frequencies(calls: DataFrame) -> DataFrame:
+    """(chrom, pos, allele, count, frequency) of the called alleles of (chrom, pos, ref, alt array, gt): bases, reference included.
+
+    An allele that no call has counts 0; sites without calls have frequency 0.
+    """
+    names = F.concat(F.array("ref"), F.col("alt"))
+    one = calls.where(~is_missing(F.col("gt"))).select(*SITE, F.explode(F.filter(alleles(F.col("gt")), lambda a: ~a.isin(".", "*"))).alias("code")).groupBy(*SITE, F.col("code").try_cast("int").alias("code")).count()
+    listed = calls.select(*SITE, names.alias("names")).distinct().select(*SITE, F.posexplode("names").alias("code", "allele"))
+    n = listed.join(one, [*SITE, "code"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    total = F.sum("count").over(Window.partitionBy(*SITE))
+    return n.select(*SITE, "allele", "count", F.coalesce(F.try_divide(F.col("count").cast("double"), total), F.lit(0.0)).alias("frequency"))
+
+
+def minor_frequency(frequencies: DataFrame) -> DataFrame:
+    """maf of each site: the share of its second commonest allele, 0 with one allele."""
+    w = Window.partitionBy(*SITE).orderBy(F.col("count").desc(), "allele")
+    second = F.max(F.when(F.col("r") == 2, F.col("frequency")))
+    return frequencies.withColumn("r", F.row_number().over(w)).groupBy(*SITE).agg(F.coalesce(second, F.lit(0.0)).alias("maf"))
+
+
+def summarise_records(records: DataFrame, maf: DataFrame) -> DataFrame:
+    """One row: counts of records by class, transitions to transversions, mean maf and missing rate, singletons.
+
+    records: chrom, pos, ref, alt array, n (samples) and missing (rate) per site; maf: chrom, pos, maf.
+    """
+    snp, ts = is_snp(F.col("ref"), F.col("alt")), is_transition(F.col("ref"), F.get("alt", F.lit(0)))
+    joined = records.join(maf, SITE)
+    rows = joined.agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(snp).alias("snps"), F.count_if(is_indel(F.col("ref"), F.col("alt"))).alias("indels"), F.count_if(is_multiallelic(F.col("alt"))).alias("multiallelic"), F.count_if(snp & ts).alias("transitions"),
+        F.count_if(is_transversion(F.col("ref"), F.col("alt"))).alias("transversions"), F.avg("maf").alias("mean_maf"), F.avg("missing").alias("mean_missing"),
+        F.count_if((F.col("maf") > 0) & (F.col("maf") <= 1 / F.greatest(2 * F.col("n"), F.lit(1)))).alias("singletons"),
+    )
+    return rows.withColumn("ts_tv", F.coalesce(F.try_divide(F.col("transitions").cast("double"), F.col("transversions")), F.lit(0.0)))
+
+
+def subset(calls: DataFrame, samples: list) -> DataFrame:
+    """The calls of the named samples; sites that none of them has are kept as rows without a sample."""
+    kept = calls.where(F.col("sample").isin(samples))
+    gone = calls.select(*SITE).distinct().join(kept.select(*SITE).distinct(), SITE, "left_anti")
+    return kept.unionByName(gone, allowMissingColumns=True)
+
+
 def sites(geno: DataFrame) -> DataFrame:
     """Per site: n, called, p (alternative frequency), maf, het and missing rates."""
     g = geno.groupBy(*SITE).agg(F.count(F.lit(1)).alias("n"), F.count("dos").alias("called"), F.sum("dos").cast("long").alias("alt"), F.count_if(F.col("dos") == 1).alias("hets"))
@@ -54,10 +147,18 @@ def summarise(site: DataFrame) -> DataFrame:
     return site.agg(F.count(F.lit(1)).alias("n_sites"), F.countDistinct("chrom").alias("n_chroms"), F.avg("maf").alias("avg_maf"), F.avg("missing").alias("avg_missing"), F.count_if((F.col("maf") > 0) & (F.col("maf") <= 1 / F.greatest(2 * F.col("n"), F.lit(1)))).alias("singletons"))
 
 
+UNITS = 10**12
+
+
+def _pairwise() -> Column:
+    """2pq in whole units of 1e-12: their sums do not depend on the order."""
+    return F.round(2 * F.col("p") * (1 - F.col("p")) * UNITS).cast("long")
+
+
 def tumbling(site: DataFrame, size: int) -> DataFrame:
     """Per chromosome all windows from 1 to the last site: n_snps and pi (sum of 2pq per base), empty windows too."""
     grid = site.groupBy("chrom").agg(F.max("pos").alias("last")).select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / size).cast("long"))).alias("k"))
-    each = site.groupBy("chrom", F.floor((F.col("pos") - 1) / size).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("c"), F.sum(2 * F.col("p") * (1 - F.col("p"))).alias("s"))
+    each = site.groupBy("chrom", F.floor((F.col("pos") - 1) / size).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("c"), (F.sum(_pairwise()) / F.lit(float(UNITS))).alias("s"))
     return grid.join(each, ["chrom", "k"], "left").select("chrom", (F.col("k") * size + 1).alias("start"), F.coalesce("c", F.lit(0)).alias("n_snps"), (F.coalesce("s", F.lit(0.0)) / size).alias("pi"))
 
 
@@ -74,7 +175,7 @@ def diversity(site: DataFrame, samples: int, size: int, step: int) -> DataFrame:
     e1, e2 = c1 / a1, c2 / (a1 * a1 + a2)
     seg = site.where((F.col("p") > 0) & (F.col("p") < 1))
     w = seg.withColumn("k", F.explode(windows_of(F.col("pos"), size, step))).groupBy("chrom", "k")
-    w = w.agg(F.count(F.lit(1)).alias("n_snps"), F.sum(2 * F.col("p") * (1 - F.col("p"))).alias("h"))
+    w = w.agg(F.count(F.lit(1)).alias("n_snps"), (F.sum(_pairwise()) / F.lit(float(UNITS))).alias("h"))
     s = F.col("n_snps").cast("double")
     d = (F.col("h") * n / (n - 1) - s / a1) / F.sqrt(e1 * s + e2 * s * (s - 1))
     return w.select("chrom", (F.col("k") * step + 1).alias("start"), "n_snps", (F.col("h") / size).alias("pi"), (s / (a1 * size)).alias("theta_w"), F.when(F.col("n_snps") < 2, F.lit(0.0)).otherwise(d).alias("tajima_d"))
@@ -87,9 +188,13 @@ def outlier_windows(windows: DataFrame, value: str = "pi", least: int = 5, z: fl
     return some.join(F.broadcast(stats)).withColumn("z", (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s").where(F.abs("z") >= z)
 
 
-def sweeps(one: DataFrame, two: DataFrame, size: int, step: int, least: int) -> DataFrame:
-    """Hopping windows over the sites of both populations: mean Fst, mean frequency difference and score."""
-    both = one.select(*SITE, F.col("p").alias("p1")).join(two.select(*SITE, F.col("p").alias("p2")), SITE)
+def sweeps(one: DataFrame, two: DataFrame, size: int, step: int, least: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Hopping windows over the sites of both populations: mean Fst, mean frequency difference and score.
+
+    Sites are the same where chrom, pos and the columns of `also` are, such as the reference and alternative alleles.
+    """
+    key = [*SITE, *also]
+    both = one.select(*key, F.col("p").alias("p1")).join(two.select(*key, F.col("p").alias("p2")), key)
     mid = (F.col("p1") + F.col("p2")) / 2
     ht, hs = 2 * mid * (1 - mid), F.col("p1") * (1 - F.col("p1")) + F.col("p2") * (1 - F.col("p2"))
     both = both.withColumn("fst", F.coalesce(F.try_divide(ht - hs, ht), F.lit(0.0))).withColumn("dp", F.abs(F.col("p1") - F.col("p2")))
@@ -116,11 +221,21 @@ def ld_pairs(geno: DataFrame, span: int, least: int = 4) -> DataFrame:
     return s.select("chrom", "pos", "pos2", "n", r2.alias("r2"), dprime.alias("dprime"))
 
 
-def haplotype_blocks(pairs: DataFrame, site: DataFrame, strong: float = 0.98, recomb: float = 0.70, share: float = 0.95) -> DataFrame:
-    """Greedy blocks per chromosome: a block grows while enough of its pairs are strong and few show recombination."""
+def haplotype_blocks(pairs: DataFrame, site: DataFrame, strong: float = 0.98, recomb: float = 0.70, share: float = 0.95, span: int = 200_000) -> DataFrame:
+    """Greedy blocks: a block grows while enough of its pairs are strong, few show recombination and it stays within `span`.
+
+    A chromosome is cut wherever no pair reaches over a gap between neighbouring sites, as no block can, so a task
+    scans one connected part, not a chromosome.
+    """
+    near = pairs.where(F.col("pos2") - F.col("pos") <= span)
+    reach = site.select("chrom", "pos").join(near.groupBy("chrom", "pos").agg(F.max("pos2").alias("far")), SITE, "left")
+    order = Window.partitionBy("chrom").orderBy("pos")
+    before = F.max(F.greatest(F.coalesce("far", F.col("pos")), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(before.isNull() | (before < F.col("pos")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    parts = reach.withColumn("before", before).withColumn("part", part).select("chrom", "pos", "part")
 
     def grow(g: pd.DataFrame) -> pd.DataFrame:
-        pos = sorted(set(g["pos"]) | set(g["pos2"].dropna().astype("int64")))
+        pos = sorted(set(g["pos"]))
         known = {(int(a), int(b)): d for a, b, d in g[["pos", "pos2", "dprime"]].dropna().itertuples(index=False)}
         out, i = [], 0
         while i < len(pos):
@@ -130,7 +245,7 @@ def haplotype_blocks(pairs: DataFrame, site: DataFrame, strong: float = 0.98, re
                 found = [known.get((pos[a], pos[j])) for a in range(i, j)]
                 if None in found:
                     break
-                n, hard, soft = n + len(found), hard + sum(x >= strong for x in found), soft + sum(x < recomb for x in found)
+                n, hard, soft = n + len(found), hard + sum(x >= strong for x in found), soft + sum(x <= recomb for x in found)
                 if hard < share * n or soft > (1 - share) * n:
                     break
                 end = j
@@ -139,8 +254,8 @@ def haplotype_blocks(pairs: DataFrame, site: DataFrame, strong: float = 0.98, re
             i = end + 1
         return pd.DataFrame(out, columns=["chrom", "start", "end", "n_sites"])
 
-    lone = site.select("chrom", "pos", F.lit(None).cast("long").alias("pos2"), F.lit(None).cast("double").alias("dprime"))
-    return pairs.select("chrom", "pos", "pos2", "dprime").unionByName(lone).groupBy("chrom").applyInPandas(grow, "chrom string, start long, end long, n_sites long")
+    rows = parts.join(near.select("chrom", "pos", "pos2", "dprime"), SITE, "left")
+    return rows.groupBy("chrom", "part").applyInPandas(grow, "chrom string, start long, end long, n_sites long")
 
 
 def haplotypes(geno: DataFrame, size: int) -> DataFrame:
@@ -153,8 +268,26 @@ def haplotypes(geno: DataFrame, size: int) -> DataFrame:
     return t.select("chrom", "start", "n", "n_haplotypes", "largest", (1 - F.col("sq") / (F.col("n") * F.col("n")).cast("double")).alias("diversity"))
 
 
-def subpopulations(geno: DataFrame, least: int) -> DataFrame:
-    """A group per sample from its rates of heterozygous and alternative calls."""
+def haplotype_network(haps: DataFrame, group: list[str]) -> DataFrame:
+    """Per group of (hap, count) an edge from the commonest haplotype to each other: mutations (unknown letters aside) and samples."""
+    w = Window.partitionBy(*group).orderBy(F.col("count").desc(), "hap")
+    ranked = haps.withColumn("r", F.row_number().over(w)).withColumn("from", F.first("hap").over(w))
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    differ = F.zip_with(letters("from"), letters("hap"), lambda a, b: ((a != b) & (a != "?") & (b != "?")).cast("int"))
+    return ranked.where("r > 1").select(*group, "from", F.col("hap").alias("to"), F.aggregate(differ, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))).cast("long").alias("mutations"), F.col("count").alias("samples"))
+
+
+def summarise_blocks(blocks: DataFrame) -> DataFrame:
+    """One row over blocks (start, end, n_sites, n_haplotypes, diversity): number, means and bases covered."""
+    length = F.col("end") - F.col("start") + 1
+    return blocks.agg(F.count(F.lit(1)).alias("blocks"), F.avg(length).alias("mean_length"), F.avg("n_sites").alias("mean_sites"), F.avg("n_haplotypes").alias("mean_haplotypes"), F.avg("diversity").alias("mean_diversity"), F.coalesce(F.sum(length), F.lit(0)).alias("bases"))
+
+
+def subpopulations(geno: DataFrame, least: int, first: int | None = None) -> DataFrame:
+    """A group per sample from its rates of heterozygous and alternative calls, over its first sites by position if `first` is given."""
+    if first is not None:
+        order = Window.partitionBy("sample").orderBy(chromosome_index(F.col("chrom")), "chrom", "pos")
+        geno = geno.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= first).drop("__r")
     s = geno.groupBy("sample").agg(F.count("dos").alias("called"), F.avg((F.col("dos") == 1).cast("int")).alias("het"), F.avg((F.col("dos") == 2).cast("int")).alias("hom_alt"))
     name = F.when(F.col("called") < least, "Unknown").when(F.col("het") > 0.15, "Admixed").when(F.col("hom_alt") > 0.45, "Indica").when(F.col("hom_alt") < 0.20, "Japonica").otherwise("Intermediate")
     return s.withColumn("subpopulation", name)

@@ -33,8 +33,6 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-
-
 def n_of(letters: str) -> str:
     return f"(length(s) - length(translate(s, '{letters}', '')))"
 
@@ -71,7 +69,6 @@ query("find_motif", v.sql("SELECT doc_id, p - 1 AS pos FROM (SELECT doc_id, s, u
     lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.find_motif(F.col("s"), "TATAA")).alias("pos")).select("doc_id", F.col("pos").cast("long"))
 )
 
-query("restriction_digest", None)(lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.digest(F.col("s"))).alias("x")).select("x.enzyme", "doc_id", "x.pos", "x.cut"))
 
 
 @query("virtual_digest", v.sql("""SELECT doc_id, count(*) AS fragments, CAST(max(b - a) AS BIGINT) AS longest, CAST(sum(b - a) AS BIGINT) AS total FROM (
@@ -109,8 +106,14 @@ def _kmer_sql(k: int) -> str:
     return f"SELECT doc_id, substr(s, CAST(p + 1 AS INTEGER), {k}) AS kmer FROM (SELECT doc_id, s, unnest(range(0, length(s) - {k - 1})) AS p FROM v_dna WHERE length(s) >= {k})"
 
 
+def _counted(seqs: DataFrame, k: int, name: str) -> DataFrame:
+    """Occurrences of each k-mer and texts with it: a text's k-mers are sorted, its first of a kind marked, so one aggregation over k-mers does."""
+    marked = S.let(F.array_sort(S.kmers(F.col("s"), k)), lambda a: F.transform(a, lambda x, i: F.struct(x.alias("x"), ((i == 0) | (F.get(a, i - 1) != x)).cast("long").alias("new"))))
+    return seqs.select(F.explode(marked).alias("y")).groupBy(F.col("y.x").alias(name)).agg(F.count(F.lit(1)).alias("n"), F.sum("y.new").alias("docs"))
+
+
 query("kmer_counts", v.sql(f"SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_kmer_sql(6)}) GROUP BY kmer", v.DNA))(
-    lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.kmers(F.col("s"), 6)).alias("kmer")).groupBy("kmer", "doc_id").count().groupBy("kmer").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("docs"))
+    lambda spark, d: _counted(v.dna(spark, d), 6, "kmer")
 )
 
 
@@ -140,8 +143,7 @@ def codon_adaptation(spark, d) -> DataFrame:
 
 @query("shannon_entropy", v.sql("SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM (SELECT doc_id, unnest(string_split(s, '')) AS b FROM v_dna WHERE s <> '') GROUP BY doc_id, b) GROUP BY doc_id", v.DNA))
 def shannon_entropy(spark, d) -> DataFrame:
-    shares = [F.try_divide(S.count_of(F.col("s"), b).cast("double"), F.length(F.col("s"))) for b in "ACGT"]
-    return v.dna(spark, d).where("s <> ''").select("doc_id", r6(-sum((F.when(p > 0, p * F.log2(p)).otherwise(0.0) for p in shares), F.lit(0.0))).alias("entropy"))
+    return v.dna(spark, d).where("s <> ''").select("doc_id", r6(S.entropy(F.col("s"))).alias("entropy"))
 
 
 def _complexity_sql(text: str, most: int = 8) -> str:
@@ -150,7 +152,6 @@ def _complexity_sql(text: str, most: int = 8) -> str:
     return f"CASE WHEN {could} = 0 THEN 0 ELSE CAST({seen} AS DOUBLE) / ({could}) END"
 
 
-query("linguistic_complexity", None)(lambda spark, d: v.dna(spark, d).select("doc_id", r6(S.linguistic_complexity(F.col("s"))).alias("complexity")))
 
 
 @query("te_content", v.sql(f"SELECT doc_id, count(*) AS windows, round(avg(CASE WHEN cx < 0.4 - 1e-9 OR gc > 75 OR gc < 25 THEN 1.0 ELSE 0.0 END), 6) AS te FROM (SELECT doc_id, {_complexity_sql('w')} AS cx, (500 - length(translate(w, 'GC', ''))) / 5.0 AS gc FROM (SELECT doc_id, substr(s, CAST(k * 500 + 1 AS INTEGER), 500) AS w FROM (SELECT doc_id, s, unnest(range(0, length(s) // 500)) AS k FROM v_dna))) GROUP BY doc_id", v.DNA))
@@ -195,10 +196,10 @@ def aa_total(values: dict) -> str:
 
 ALL20 = n_of("ACDEFGHIKLMNPQRSTVWY")
 
-query("protein_profile", v.sql(f"""SELECT doc_id, length(s) AS len, round({aa_total(T.MASS)} - (length(s) - 1) * 18.02, 4) AS mw, round({aa_total(T.HYDROPATHY)} / {ALL20}, 6) AS gravy, round({aa_total(T.BOMAN)} / {ALL20}, 6) AS boman,
+query("protein_profile", v.sql(f"""SELECT doc_id, length(s) AS len, CAST(round({aa_total(T.MASS)} - (length(s) - 1) * 18.02, 4) AS DOUBLE) AS mw, round({aa_total(T.HYDROPATHY)} / {ALL20}, 6) AS gravy, round({aa_total(T.BOMAN)} / {ALL20}, 6) AS boman,
     round(CAST({n_of('FHWY')} AS DOUBLE) / length(s), 6) AS aromaticity, round(CAST({n_of('AVILMFWP')} AS DOUBLE) / length(s), 6) AS hydrophobic, round(100.0 * ({n_of('A')} + 2.9 * {n_of('V')} + 3.9 * {n_of('IL')}) / length(s), 6) AS aliphatic,
-    {n_of('W')} * 5500.0 + {n_of('Y')} * 1490.0 + {n_of('C')} * 125.0 AS extinction FROM v_prot WHERE s <> ''""", v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).where("s <> ''").select("doc_id", F.length("s").cast("long").alias("len"), F.round(P.molecular_weight(F.col("s")), 4).alias("mw"), r6(P.gravy(F.col("s"))).alias("gravy"), r6(P.boman(F.col("s"))).alias("boman"), r6(P.aromaticity(F.col("s"))).alias("aromaticity"), r6(P.hydrophobic_ratio(F.col("s"))).alias("hydrophobic"), r6(P.aliphatic_index(F.col("s"))).alias("aliphatic"), P.extinction_coefficient(F.col("s")).alias("extinction"))
+    CAST({n_of('W')} * 5500.0 + {n_of('Y')} * 1490.0 + {n_of('C')} * 125.0 AS DOUBLE) AS extinction FROM v_prot WHERE s <> ''""", v.PROTEIN))(
+    lambda spark, d: v.protein(spark, d).where("s <> ''").select("doc_id", P.figures(F.col("s")).alias("x")).select("doc_id", "x.len", F.round("x.weight", 4).alias("mw"), *(r6(f"x.{c}").alias(c) for c in ("gravy", "boman", "aromaticity", "hydrophobic", "aliphatic")), "x.extinction")
 )
 
 
@@ -208,18 +209,16 @@ def charge_sql(ph: float) -> str:
     return " ".join(part)
 
 
-query("charge_profile", v.sql(" UNION ALL ".join(f"SELECT doc_id, {float(ph)} AS ph, round({charge_sql(float(ph))}, 6) AS charge FROM v_prot" for ph in range(0, 15, 2)), v.PROTEIN))(
+query("charge_profile", v.sql(" UNION ALL ".join(f"SELECT doc_id, CAST({float(ph)} AS DOUBLE) AS ph, round({charge_sql(float(ph))}, 6) AS charge FROM v_prot" for ph in range(0, 15, 2)), v.PROTEIN))(
     lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(F.array(*(F.struct(F.lit(float(ph)).alias("ph"), r6(P.charge_at(F.col("s"), float(ph))).alias("charge")) for ph in range(0, 15, 2)))).alias("x")).select("doc_id", "x.ph", "x.charge")
 )
 
-query("isoelectric_point", None)(lambda spark, d: v.protein(spark, d).select("doc_id", r6(P.isoelectric_point(F.col("s"))).alias("pi")))
-
 query("amino_acid_composition", v.sql("SELECT doc_id, aa, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY doc_id), 6) AS fraction FROM (SELECT doc_id, unnest(string_split(s, '')) AS aa FROM v_prot WHERE s <> '') GROUP BY 1, 2", v.PROTEIN))(
     lambda spark, d: v.protein(spark, d).where("s <> ''").select("doc_id", F.length("s").alias("len"), F.explode(F.array(*(F.struct(F.lit(a).alias("aa"), S.count_of(F.col("s"), a).alias("n")) for a in T.RESIDUES))).alias("x")).where("x.n > 0").select("doc_id", "x.aa", "x.n", r6(F.col("x.n") / F.col("len")).alias("fraction"))
 )
 
 query("dipeptide_composition", v.sql("SELECT dipeptide, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, substr(s, CAST(p + 1 AS INTEGER), 2) AS dipeptide FROM (SELECT doc_id, s, unnest(range(0, length(s) - 1)) AS p FROM v_prot WHERE length(s) >= 2)) GROUP BY 1", v.PROTEIN))(
-    lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(S.kmers(F.col("s"), 2)).alias("dipeptide")).groupBy("dipeptide", "doc_id").count().groupBy("dipeptide").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("docs"))
+    lambda spark, d: _counted(v.protein(spark, d), 2, "dipeptide")
 )
 
 DIWV = "map {" + ", ".join(f"'{k}': {x!r}" for k, x in T.INSTABILITY.items()) + "}"
@@ -228,10 +227,6 @@ query("instability_index", v.sql(f"SELECT doc_id, round(10.0 * sum(coalesce(m[su
     lambda spark, d: v.protein(spark, d).where("length(s) >= 2").select("doc_id", F.round(P.instability_index(F.col("s")), 4).alias("instability"))
 )
 
-query("ctd_descriptors", None)(lambda spark, d: v.protein(spark, d).select("doc_id", F.explode(P.ctd(F.col("s"))).alias("feature", "value")).select("doc_id", "feature", r6("value").alias("value")))
-
-query("autocorrelation", None)(lambda spark, d: v.protein(spark, d).select("doc_id", *(r6(P.autocorrelation(F.col("s"), T.HYDROPHOBICITY, k, False)).alias(f"moran_{k}") for k in (1, 2, 3)), *(r6(P.autocorrelation(F.col("s"), T.MASS, k, True)).alias(f"geary_{k}") for k in (1, 2, 3))))
-
 INTERFACE = "map {" + ", ".join(f"'{k}': {x!r}" for k, x in T.INTERFACE.items()) + "}"
 
 
@@ -296,22 +291,22 @@ query("variant_summary", v.sql("SELECT count(*) AS n_sites, count(DISTINCT chrom
 query("variant_classes", v.sql("SELECT count(*) FILTER (ref <> alt) AS snps, count(*) FILTER (ref || alt IN ('AG', 'GA', 'CT', 'TC')) AS transitions, count(*) FILTER (ref <> alt AND ref || alt NOT IN ('AG', 'GA', 'CT', 'TC')) AS transversions FROM v_var", v.VARIANTS))(
     lambda spark, d: v.variants(spark, d).agg(F.count_if((F.col("ref") != F.col("alt")) & V.is_snp(F.col("ref"), F.array("alt"))).alias("snps"), F.count_if(V.is_transition(F.col("ref"), F.col("alt"))).alias("transitions"), F.count_if((F.col("ref") != F.col("alt")) & ~V.is_transition(F.col("ref"), F.col("alt"))).alias("transversions"))
 )
-query("snp_density", v.sql("SELECT g.chrom, g.k * 20000 + 1 AS start, count(t.pos) AS n_snps, round(coalesce(sum(2 * t.p * (1 - t.p)), 0) / 20000, 6) AS pi FROM (SELECT chrom, unnest(range(0, (max(pos) - 1) // 20000 + 1)) AS k FROM v_site GROUP BY chrom) g LEFT JOIN v_site t ON t.chrom = g.chrom AND (t.pos - 1) // 20000 = g.k GROUP BY 1, 2", v.GENOTYPES, v.SITES))(
-    lambda spark, d: V.tumbling(site(spark, d), 20000).select("chrom", "start", "n_snps", r6("pi").alias("pi"))
+query("snp_density", v.sql("SELECT g.chrom, g.k * 20000 + 1 AS start, count(t.pos) AS n_snps, round(coalesce(sum(CAST(round(2 * t.p * (1 - t.p) * 1000000000000) AS BIGINT)), 0) / 1e12::DOUBLE / 20000, 12) AS pi FROM (SELECT chrom, unnest(range(0, (max(pos) - 1) // 20000 + 1)) AS k FROM v_site GROUP BY chrom) g LEFT JOIN v_site t ON t.chrom = g.chrom AND (t.pos - 1) // 20000 = g.k GROUP BY 1, 2", v.GENOTYPES, v.SITES))(
+    lambda spark, d: V.tumbling(site(spark, d), 20000).select("chrom", "start", "n_snps", F.round("pi", 12).alias("pi"))
 )
 _n = 2 * SAMPLES
 _a1, _a2 = V._sums(_n)
 _b1, _b2 = (_n + 1) / (3 * (_n - 1)), 2 * (_n * _n + _n + 3) / (9 * _n * (_n - 1))
 _e1, _e2 = (_b1 - 1 / _a1) / _a1, (_b2 - (_n + 2) / (_a1 * _n) + _a2 / (_a1 * _a1)) / (_a1 * _a1 + _a2)
-WINDOWS = "v_win AS (SELECT chrom, k * 10000 + 1 AS start, count(*) AS c, sum(2 * p * (1 - p)) AS h FROM (SELECT chrom, p, unnest(range(CAST(greatest(0, ceil((pos - 20000) / 10000.0)) AS BIGINT), (pos - 1) // 10000 + 1)) AS k FROM v_site WHERE p > 0 AND p < 1) GROUP BY 1, 2)"
+WINDOWS = "v_win AS (SELECT chrom, k * 10000 + 1 AS start, count(*) AS c, sum(CAST(round(2 * p * (1 - p) * 1000000000000) AS BIGINT)) / 1e12::DOUBLE AS h FROM (SELECT chrom, p, unnest(range(CAST(greatest(0, ceil((pos - 20000) / 10000.0)) AS BIGINT), (pos - 1) // 10000 + 1)) AS k FROM v_site WHERE p > 0 AND p < 1) GROUP BY 1, 2)"
 
 
 def windowed_diversity(spark, d) -> DataFrame:
     w = V.diversity(site(spark, d), SAMPLES, 20000, 10000)
-    return w.select("chrom", "start", "n_snps", r6("pi").alias("pi"), r6("theta_w").alias("theta_w"), r6("tajima_d").alias("tajima_d"))
+    return w.select("chrom", "start", "n_snps", F.round("pi", 12).alias("pi"), F.round("theta_w", 12).alias("theta_w"), r6("tajima_d").alias("tajima_d"))
 
 
-query("windowed_diversity", v.sql(f"SELECT chrom, start, c AS n_snps, round(h / 20000, 6) AS pi, round(c / (CAST({_a1!r} AS DOUBLE) * 20000), 6) AS theta_w, round(CASE WHEN c < 2 THEN 0 ELSE (h * {_n} / {_n - 1}.0 - c / CAST({_a1!r} AS DOUBLE)) / sqrt(CAST({_e1!r} AS DOUBLE) * c + CAST({_e2!r} AS DOUBLE) * CAST(c AS DOUBLE) * (c - 1)) END, 6) AS tajima_d FROM v_win", v.GENOTYPES, v.SITES, WINDOWS))(windowed_diversity)
+query("windowed_diversity", v.sql(f"SELECT chrom, start, c AS n_snps, round(h / 20000, 12) AS pi, round(c / (CAST({_a1!r} AS DOUBLE) * 20000), 12) AS theta_w, round(CASE WHEN c < 2 THEN 0 ELSE (h * {_n} / {_n - 1}.0 - c / CAST({_a1!r} AS DOUBLE)) / sqrt(CAST({_e1!r} AS DOUBLE) * c + CAST({_e2!r} AS DOUBLE) * CAST(c AS DOUBLE) * (c - 1)) END, 6) AS tajima_d FROM v_win", v.GENOTYPES, v.SITES, WINDOWS))(windowed_diversity)
 query("selection_windows", v.sql("SELECT chrom, start, c AS n_snps, round(z, 6) AS z FROM (SELECT *, (h / 20000 - avg(h / 20000) OVER ()) / greatest(stddev_pop(h / 20000) OVER (), 0.001) AS z FROM v_win WHERE c >= 5) WHERE abs(z) >= 0.5", v.GENOTYPES, v.SITES, WINDOWS))(
     lambda spark, d: V.outlier_windows(V.diversity(site(spark, d), SAMPLES, 20000, 10000), z=0.5).select("chrom", "start", "n_snps", r6("z").alias("z"))
 )
@@ -341,12 +336,12 @@ query("subpopulations", v.sql("SELECT sample, called, round(het, 6) AS het, roun
     lambda spark, d: V.subpopulations(v.genotypes(spark, d), 50).select("sample", "called", r6("het").alias("het"), r6("hom_alt").alias("hom_alt"), "subpopulation")
 )
 query("dosage_matrix", v.sql("SELECT chrom, pos, " + ", ".join(f"coalesce(max(CASE WHEN sample = {i} THEN coalesce(dos, -1) END), -1) AS s{i}" for i in range(SAMPLES)) + " FROM v_geno GROUP BY 1, 2", v.GENOTYPES))(lambda spark, d: V.dosage_matrix(v.genotypes(spark, d), list(range(SAMPLES))))
-query("chromosome_positions", v.sql("SELECT place, count(*) AS n FROM (SELECT CASE WHEN pos * 100 <= 100000 OR pos * 100 >= 30000000 - 100000 THEN 'end' ELSE 'inner' END AS place FROM v_site) GROUP BY place", v.GENOTYPES, v.SITES))(
-    lambda spark, d: site(spark, d).select(F.when((F.col("pos") * 100 <= 100000) | (F.col("pos") * 100 >= 30000000 - 100000), "end").otherwise("inner").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+CHROMS = "v_chrom(name, size, lo, hi) AS (VALUES " + ", ".join(f"('{k}', {n}, {lo}, {hi})" for k, (n, lo, hi) in T.CHROMOSOMES.items()) + ")"
+ARMS = f"v_arm AS (SELECT s.chrom, s.pos, CASE WHEN s.pos * 100 <= {T.TELOMERE} OR s.pos * 100 >= size - {T.TELOMERE} THEN 'telomeric' WHEN s.pos * 100 BETWEEN lo AND hi THEN 'centromeric' WHEN s.pos * 100 < lo THEN 'short arm (p)' ELSE 'long arm (q)' END AS place FROM v_site s LEFT JOIN v_chrom ON name = s.chrom)"
+query("chromosome_positions", v.sql("SELECT place, count(*) AS n FROM v_arm GROUP BY place", v.GENOTYPES, v.SITES, CHROMS, ARMS))(
+    lambda spark, d: site(spark, d).select(S.chromosome_position(F.col("chrom"), F.col("pos") * 100).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
 )
-query("chromosome_arms", None)(lambda spark, d: site(spark, d).select("chrom", "pos", S.chromosome_position(F.col("chrom"), F.col("pos") * 100).alias("place")))
-query("domestication_hits", None)(lambda spark, d: V.domestication_hits(site(spark, d)))
-
+query("chromosome_arms", v.sql("SELECT * FROM v_arm", v.GENOTYPES, v.SITES, CHROMS, ARMS))(lambda spark, d: site(spark, d).select("chrom", "pos", S.chromosome_position(F.col("chrom"), F.col("pos") * 100).alias("place")))
 # Annotation
 
 JOINED = "v_hit AS (SELECT v.id, v.chrom, v.pos, g.gene FROM v_var v JOIN v_gene g ON v.chrom = g.chrom AND v.pos BETWEEN g.st AND g.en)"
@@ -416,13 +411,6 @@ query("tissue_tau", v.sql("SELECT gene, round(tau, 6) AS tau, CASE WHEN tau >= 0
 )
 
 
-@query("gene_set_enrichment", None)
-def gene_set_enrichment(spark, d) -> DataFrame:
-    genes = v.table(spark, d, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") % 6).cast("string").alias("set"))
-    chosen = welch(spark, d).where(F.abs("t") >= 2)
-    return E.enrichment(genes, chosen, 35000)
-
-
 # Population statistics: the 50 letters of the alignment are the first letters of words in part names, all of one length.
 
 query("pairwise_distance", v.sql("SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(coalesce(CAST(len(list_filter(range(1, least(length(a.n_name), length(b.n_name)) + 1), lambda i: substr(a.n_name, CAST(i AS INTEGER), 1) <> substr(b.n_name, CAST(i AS INTEGER), 1))) AS DOUBLE) / nullif(least(length(a.n_name), length(b.n_name)), 0), 1), 6) AS p FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"))(
@@ -444,34 +432,25 @@ query("consensus", v.sql("SELECT CAST(c AS INTEGER) AS col, CASE WHEN n / tot >=
 query("fst_columns", v.sql("SELECT round(avg(ht), 6) AS ht, round(avg(hs), 6) AS hs, round((avg(ht) - avg(hs)) / avg(ht), 6) AS fst FROM (SELECT c, 1 - sum(pow(n / tot, 2)) AS ht FROM (SELECT c, base, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER (PARTITION BY c) AS tot FROM v_col GROUP BY 1, 2) GROUP BY c) JOIN (SELECT c, avg(h) AS hs FROM (SELECT c, pop, 1 - sum(pow(n / tot, 2)) AS h FROM (SELECT c, pop, base, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER (PARTITION BY c, pop) AS tot FROM v_col GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY c) USING (c)", KEYS, COLS))(
     lambda spark, d: G.fst(keys_as_dna(spark, d)).select(*(r6(c).alias(c) for c in ("ht", "hs", "fst")))
 )
-query("tajimas_d", None)(lambda spark, d: G.tajimas_d(keys_as_dna(spark, d)))
-
-
-@query("dn_ds", None)
-def dn_ds(spark, d) -> DataFrame:
-    k = keys_as_dna(spark, d)
-    pairs = k.where("pop = 0").select((F.col("id") / 2).cast("long").alias("g"), F.col("s").alias("a")).join(k.where("pop = 1").select((F.col("id") / 2).cast("long").alias("g"), F.col("s").alias("b")), "g")
-    return pairs.select("g", G.dn_ds(F.col("a"), F.col("b")).alias("x")).select("g", "x.ka", "x.ks")
 
 
 # DNA and RNA interactions
 
-query("hybridize", None)(lambda spark, d: keys_as_dna(spark, d).select("id", S.hybridize(F.col("s"), S.reverse_complement(F.col("s"))).alias("x")).select("id", *(r6(f"x.{c}").alias(c) for c in ("dh", "ds", "dg37", "tm")), "x.mismatches"))
-query("mirna_targets", None)(lambda spark, d: v.dna(spark, d).select("doc_id", F.explode(S.mirna_sites(F.lit("UGAGGUAGUAGGUUGUAUAGUU"), F.col("s"))).alias("x")).select("doc_id", "x.*"))
-query("crispr_efficiency", None)(lambda spark, d: keys_as_dna(spark, d).select("id", r6(S.crispr_efficiency(F.concat(F.col("s"), F.substring(F.col("s"), 1, 8)), F.concat(F.col("s"), F.substring(F.col("s"), 1, 8), F.lit("TGG")))).alias("efficiency")))
 
 # Fingerprint similarity
 
-query("tanimoto_screen", v.sql("SELECT vec_id, round(CAST(c AS DOUBLE) / (len(bits) + len(q) - c), 6) AS tanimoto, round(2.0 * c / (len(bits) + len(q)), 6) AS dice, round(c / sqrt(CAST(len(bits) * len(q) AS DOUBLE)), 6) AS cosine FROM (SELECT f.vec_id, f.bits, q.bits AS q, len(list_intersect(f.bits, q.bits)) AS c FROM v_fp f, (SELECT bits FROM v_fp WHERE vec_id = 0) q) WHERE CAST(c AS DOUBLE) / (len(bits) + len(q) - c) >= 0.4", v.BITS))(
+query("tanimoto_screen", v.sql("SELECT q.vec_id AS query, f.vec_id, round(CAST(len(list_intersect(f.bits, q.bits)) AS DOUBLE) / (len(f.bits) + len(q.bits) - len(list_intersect(f.bits, q.bits))), 6) AS tanimoto, round(2.0 * len(list_intersect(f.bits, q.bits)) / (len(f.bits) + len(q.bits)), 6) AS dice, round(len(list_intersect(f.bits, q.bits)) / sqrt(CAST(len(f.bits) * len(q.bits) AS DOUBLE)), 6) AS cosine FROM v_fp f, v_fp q WHERE q.vec_id % 50 = 0 AND CAST(len(list_intersect(f.bits, q.bits)) AS DOUBLE) / (len(f.bits) + len(q.bits) - len(list_intersect(f.bits, q.bits))) >= 0.4", v.BITS))(
     lambda spark, d: _screen(v.bits(spark, d))
 )
 
 
 def _screen(fp: DataFrame) -> DataFrame:
-    from strandwork.operators.similarity import cosine, dice, tanimoto
+    """Rows like those whose id is divisible by 50, found in blocks; the other two measures of the pairs found."""
+    from strandwork.operators.similarity import cosine, dice, screen
 
-    q = F.broadcast(fp.where("vec_id = 0").select(F.col("bits").alias("q")))
-    return fp.join(q).where(tanimoto(F.col("bits"), F.col("q")) >= 0.4).select("vec_id", *(r6(f(F.col("bits"), F.col("q"))).alias(n) for n, f in (("tanimoto", tanimoto), ("dice", dice), ("cosine", cosine))))
+    ids = fp.withColumnRenamed("vec_id", "id")
+    hits = screen(ids.where("id % 50 = 0"), ids, 0.4).join(ids.withColumnRenamed("bits", "b"), "id").join(ids.select(F.col("id").alias("query"), F.col("bits").alias("q")), "query")
+    return hits.select("query", F.col("id").alias("vec_id"), r6("tanimoto").alias("tanimoto"), r6(dice(F.col("b"), F.col("q"))).alias("dice"), r6(cosine(F.col("b"), F.col("q"))).alias("cosine"))
 
 
 # Alignment, trees, folding
@@ -525,31 +504,6 @@ def kmer_seed_hits(spark, d) -> DataFrame:
     return seed_hits(k, k, 11)
 
 
-# Molecules
-
-# Example molecules by name.
-SMILES = {"aspirin": "CC(=O)Oc1ccccc1C(=O)O", "ibuprofen": "CC(C)Cc1ccc(cc1)C(C)C(=O)O", "caffeine": "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "benzene": "c1ccccc1", "ethanol": "CCO", "glycine": "NCC(=O)O"}
-
-
-@query("molecule_descriptors")
-def molecule_descriptors(spark, d) -> DataFrame:
-    from strandwork.functions import molecule as M
-
-    m = spark.createDataFrame(list(SMILES.items()), "name string, smiles string").withColumn("d", M.descriptors(F.col("smiles")))
-    x = F.col("d")
-    return m.select("name", "d.*", M.lipinski(x).alias("lipinski"), M.veber(x).alias("veber"), M.ghose(x).alias("ghose"), M.egan(x).alias("egan"), M.muegge(x).alias("muegge"), M.admet(x).alias("admet"), M.alerts(x).alias("alerts"))
-
-
-@query("virtual_screening")
-def virtual_screening(spark, d) -> DataFrame:
-    from strandwork.functions import molecule as M
-    from strandwork.operators.similarity import tanimoto
-
-    m = spark.createDataFrame(list(SMILES.items()), "name string, smiles string").withColumn("fp", M.fingerprint(F.col("smiles")))
-    q = F.broadcast(m.where("name = 'aspirin'").select(F.col("fp").alias("q")))
-    return m.join(q).select("name", r6(tanimoto(F.col("fp"), F.col("q"))).alias("tanimoto")).withColumn("rank", F.row_number().over(Window.orderBy(F.col("tanimoto").desc(), "name")))
-
-
 # Models
 
 def _nb_sql(features: list[str], classes: dict) -> tuple[str, list[str]]:
@@ -562,40 +516,21 @@ def _nb_sql(features: list[str], classes: dict) -> tuple[str, list[str]]:
     return parts, list(classes)
 
 
-def promoter_features() -> list[Column]:
-    n = F.length("s")
-    cpg = F.coalesce(F.try_divide(F.regexp_count("s", F.lit("CG")).cast("double"), n - 1), F.lit(0.0))
-    tata = F.when(F.col("s").contains("TATAAA"), 1.0).when(F.col("s").contains("TATA"), 0.5).when(F.col("s").contains("TAT"), 0.2).otherwise(0.0)
-    box = F.when(F.col("s").contains("GGGCGG"), 1.0).when(F.col("s").contains("GGCGG"), 0.6).when(F.col("s").contains("GCGG"), 0.3).otherwise(0.0)
-    return [S.gc_content(F.col("s")) / 100.0, cpg, tata, box, F.when(F.col("s").contains("CCAAT"), 0.8).otherwise(0.0)]
-
-
 def _promoter_sql() -> str:
     from strandwork.operators.models import BUILT_IN
 
     (a, b), _ = _nb_sql(["f1", "f2", "f3", "f4", "f5"], BUILT_IN["promoter"][1])
     return f"""SELECT doc_id, CASE WHEN a >= b THEN 'promoter' ELSE 'non-promoter' END AS label, round(1 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS confidence FROM (SELECT doc_id, {a} AS a, {b} AS b FROM (
         SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE {n_of('GC')} / CAST(length(s) AS DOUBLE) END AS f1, coalesce(((length(s) - length(replace(s, 'CG', ''))) / 2.0) / nullif(length(s) - 1, 0), 0) AS f2,
-            CASE WHEN contains(s, 'TATAAA') THEN 1.0 WHEN contains(s, 'TATA') THEN 0.5 WHEN contains(s, 'TAT') THEN 0.2 ELSE 0 END AS f3,
-            CASE WHEN contains(s, 'GGGCGG') THEN 1.0 WHEN contains(s, 'GGCGG') THEN 0.6 WHEN contains(s, 'GCGG') THEN 0.3 ELSE 0 END AS f4, CASE WHEN contains(s, 'CCAAT') THEN 0.8 ELSE 0 END AS f5 FROM v_dna))"""
+            CASE WHEN regexp_matches(s, 'TATAAAA|TATAAAT|TATAAAG|TATAATG') THEN 1.0 WHEN contains(s, 'TATAA') THEN 0.5 WHEN contains(s, 'TATA') THEN 0.2 ELSE 0 END AS f3,
+            CASE WHEN contains(s, 'GGGCGG') THEN 1.0 WHEN contains(s, 'GGCGG') THEN 0.6 WHEN {n_of('GC')} > 0.65 * length(s) AND s <> '' THEN 0.3 ELSE 0 END AS f4, CASE WHEN contains(s, 'CAAT') THEN 0.8 ELSE 0 END AS f5 FROM v_dna))"""
 
 
 @query("nb_promoter", v.sql(_promoter_sql(), v.DNA))
 def nb_promoter(spark, d) -> DataFrame:
-    from strandwork.operators.models import BUILT_IN, naive_bayes
+    from strandwork.operators.predictors import predict
 
-    f = v.dna(spark, d).select("doc_id", *(c.alias(f"f{i + 1}") for i, c in enumerate(promoter_features())))
-    return f.select("doc_id", naive_bayes([F.col(f"f{i}") for i in range(1, 6)], BUILT_IN["promoter"][1]).alias("x")).select("doc_id", "x.label", r6("x.confidence").alias("confidence"))
-
-
-@query("nearest_neighbours")
-def nearest_neighbours(spark, d) -> DataFrame:
-    """Suppliers classified by their nation's balance among the nations' mean balances of customers."""
-    from strandwork.operators.models import k_nearest
-
-    c, sup = v.table(spark, d, "customer"), v.table(spark, d, "supplier")
-    points = c.groupBy(F.col("c_nationkey").cast("long").alias("pid")).agg(F.array(F.avg("c_acctbal") / 1000.0).alias("v"), F.max("c_mktsegment").alias("label"))
-    return k_nearest(sup.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / 1000.0).alias("v")), points, 3).withColumn("confidence", r6("confidence"))
+    return v.dna(spark, d).select("doc_id", predict("promoter", F.col("s")).alias("x")).select("doc_id", "x.label", r6("x.confidence").alias("confidence"))
 
 
 # Motif table functions
@@ -604,13 +539,6 @@ def _seqs(spark, d) -> DataFrame:
     return v.dna(spark, d).select(F.col("doc_id").alias("id"), "s")
 
 
-@query("microsatellites")
-def microsatellites(spark, d) -> DataFrame:
-    from strandwork.operators.motifs import microsatellites as find
-
-    return find(_seqs(spark, d))
-
-
 @query("microsatellite_summary")
 def microsatellite_summary(spark, d) -> DataFrame:
     """Counts by kind and motif with totals, as grouping sets."""
@@ -619,13 +547,6 @@ def microsatellite_summary(spark, d) -> DataFrame:
     return find(_seqs(spark, d)).withColumn("length", F.col("end") - F.col("start") + 1).rollup("kind", "motif").agg(F.count(F.lit(1)).alias("n"), F.avg("repeats").alias("avg_repeats"), F.sum("length").alias("total_length"))
 
 
-@query("cis_elements")
-def cis_elements(spark, d) -> DataFrame:
-    from strandwork.operators.motifs import cis_elements as find
-
-    return find(_seqs(spark, d)).groupBy("element", "motif", "strand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("docs"))
-
-
 @query("te_classes")
 def te_classes(spark, d) -> DataFrame:
     from strandwork.operators.motifs import te_classes as classify
@@ -638,3 +559,6 @@ def primer_candidates(spark, d) -> DataFrame:
     from strandwork.operators.motifs import primers
 
     return primers(_seqs(spark, d).withColumn("target_start", F.floor(F.length("s") / 3).cast("int")).withColumn("target_end", F.floor(2 * F.length("s") / 3).cast("int")))
+
+
+from strandwork.plans import catalog_genome, catalog_molecule, catalog_protein, catalog_sequence  # noqa: E402, F401  (they register their queries)
