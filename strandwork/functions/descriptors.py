@@ -107,19 +107,16 @@ def pseudo_composition(s: Column, most: int = 30, weight: float = 0.05) -> Colum
 
 
 def composition(s: Column, k: int) -> Column:
-    """Map of each k-mer that occurs to its number."""
+    """Map of each k-mer (k up to 8) that occurs to its number."""
 
-    def counted(a: Column) -> Column:
-        kinds = F.array_distinct(a)
-        ends = F.transform(kinds, lambda x: F.size(F.filter(a, lambda y: y == x)).cast("long"))
-        return F.map_from_arrays(kinds, ends)
-
-    if k < 3:
-        return let(kmers(s, k), counted)
-
-    def one(text: str | None) -> dict:  # many kinds: counted in one pass
-        c = text or ""
-        return pd.Series([c[i : i + k] for i in range(len(c) - k + 1)], dtype=object).value_counts().to_dict()
+    def one(text: str | None) -> dict:
+        code = _bytes(text).astype(np.int64)
+        n = len(code) - k + 1
+        if n < 1:
+            return {}
+        number = sum(code[i : i + n] << 8 * (k - 1 - i) for i in range(k))
+        kinds, counts = np.unique(number, return_counts=True)
+        return {int(x).to_bytes(k, "big").decode(): int(c) for x, c in zip(kinds, counts)}
 
     return F.pandas_udf(lambda x: x.map(one), "map<string,bigint>", F.PandasUDFType.SCALAR)(s)
 
@@ -154,9 +151,17 @@ def conjunction(a: Column, b: Column) -> Column:
     return let(F.struct(P.figures(a).alias("x"), P.figures(b).alias("y"), P.residue_counts(a).alias("nx"), P.residue_counts(b).alias("ny"), P.isoelectric_point(a).alias("px"), P.isoelectric_point(b).alias("py")), of)
 
 
-def _interface_share(s: Column) -> Column:
-    score = F.transform(P.interface_residues(s), lambda e: e["score"])
-    return F.coalesce(F.try_divide(F.size(F.filter(score, lambda x: x >= 1.05 - 1e-9)).cast("double"), F.length(s)), F.lit(0.0))
+def _interface_share(s: Column, half: int = 3) -> Column:
+    """Share of residues whose mean interface propensity, of the window around them, is at least 1.05."""
+    table = _lookup(T.INTERFACE, 1.0)
+
+    def one(text: str | None) -> float:
+        x = table[_bytes(text)]
+        sums, at = np.concatenate([[0.0], np.cumsum(x)]), np.arange(len(x))
+        lo, hi = np.maximum(at - half, 0), np.minimum(at + half + 1, len(x))
+        return float(((sums[hi] - sums[lo]) / (hi - lo) >= 1.05 - 1e-9).mean()) if len(x) else 0.0
+
+    return F.pandas_udf(lambda x: x.map(one), "double", F.PandasUDFType.SCALAR)(s)
 
 
 def _dipeptide_shares(s: Column) -> Column:

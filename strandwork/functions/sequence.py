@@ -130,7 +130,7 @@ def translate_rna(s: Column, code: int = 1) -> Column:
 def checked_translation(s: Column, code: int = 1) -> Column:
     """translate(), but an error for a codon that the code does not have."""
     known = F.forall(codons(s), lambda c: c.isin(list(T.codon_table(code))))
-    return F.when(known, translate(s, code)).otherwise(F.raise_error(F.concat(F.lit("unknown codon in "), F.substring(s, 1, 60))))
+    return F.when(s.isNull(), F.lit(None)).when(known, translate(s, code)).otherwise(F.raise_error(F.concat(F.lit("unknown codon in "), F.substring(s, 1, 60))))
 
 
 def codons(s: Column, frame: int = 0) -> Column:
@@ -330,15 +330,17 @@ def mean_skew(s: Column) -> Column:
 
     def of(z: Column) -> Column:
         text, n = z["s"], z["n"]
-        w, step = F.least(F.lit(50), F.floor(n / 4).cast("int") + 1), F.least(F.lit(10), F.floor(n / 10).cast("int") + 1)
-        places = F.when(n >= w, F.sequence(F.lit(0), F.greatest(n - w, F.lit(0)), step)).otherwise(F.array().cast("array<int>"))
+        w, step = F.floor(n / 4).cast("int") + 1, F.floor(n / 10).cast("int") + 1
+        places = F.when((n < 196) & (n >= w), F.sequence(F.lit(0), F.greatest(n - w, F.lit(0)), F.least(F.lit(10), step))).otherwise(F.array().cast("array<int>"))
 
-        def one(i: Column) -> Column:
-            part = F.substring(text, i + 1, w)
+        def one(part: Column) -> Column:
             g, c = count_of(part, "G"), count_of(part, "C")
             return F.when(g + c == 0, F.lit(0.0)).otherwise((g - c) / F.greatest(g + c, F.lit(1)))
 
-        return let(F.transform(places, one), lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x)).otherwise(F.lit(0.0)))
+        # From 196 bases on the window is 50 and the step 10: one pass of the pattern matcher.
+        few = F.transform(places, lambda i: F.substring(text, i + 1, F.least(F.lit(50), w)))
+        parts = F.when(n >= 196, windows(text, 50, 10)).otherwise(few)
+        return let(F.transform(parts, one), lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x)).otherwise(F.lit(0.0)))
 
     return let(F.struct(s.alias("s"), F.length(s).alias("n")), of)
 

@@ -63,7 +63,7 @@ query("vcf_limits", v.sql("""SELECT id, pos, CAST(3 AS BIGINT) AS calls FROM v_a
 )
 
 
-@query("vcf_body", v.sql("SELECT chrom || chr(9) || pos || chr(9) || id || chr(9) || ref || chr(9) || alt || chr(9) || coalesce(CAST(CAST(qual AS BIGINT) AS VARCHAR), '.') || chr(9) || CASE WHEN filter = '' THEN 'PASS' ELSE filter END || chr(9) || CASE WHEN db THEN 'DB;' ELSE '' END || 'DP=' || dp || chr(9) || 'GT' || chr(9) || g1 || chr(9) || g2 || chr(9) || './.' AS value FROM v_vcf", VCF))
+@query("vcf_body", v.sql("SELECT chrom || chr(9) || pos || chr(9) || id || chr(9) || ref || chr(9) || alt || chr(9) || coalesce(CAST(CAST(qual AS BIGINT) AS VARCHAR), '.') || chr(9) || CASE WHEN filter = '' THEN 'PASS' ELSE filter END || chr(9) || 'DP=' || dp || CASE WHEN db THEN ';DB' ELSE '' END || chr(9) || 'GT' || chr(9) || g1 || chr(9) || g2 || chr(9) || './.' AS value FROM v_vcf", VCF))
 def vcf_body(spark, d) -> DataFrame:
     """Records parsed, cut to two samples and written for three: the missing one is ./. ."""
     kept = V.subset(S.parse_vcf(vcf_lines(spark, d), SAMPLES), ["s1", "s2"])
@@ -145,7 +145,7 @@ query("haplotype_network", v.sql("SELECT chrom, start, head AS \"from\", hap AS
 )
 
 
-@query("block_summary", v.sql("SELECT count(*) AS blocks, 20000.0::DOUBLE AS mean_length, round(avg(sites), 6) AS mean_sites, round(avg(k), 6) AS mean_haplotypes, round(avg(diversity), 6) AS mean_diversity, CAST(count(*) * 20000 AS BIGINT) AS bases FROM (SELECT chrom, start, count(*) AS k, 1 - CAST(sum(c * c) AS DOUBLE) / (sum(c) * sum(c)) AS diversity FROM v_hap GROUP BY 1, 2) JOIN (SELECT chrom, ((pos - 1) // 20000) * 20000 + 1 AS start, count(*) AS sites FROM v_site GROUP BY 1, 2) USING (chrom, start)", v.GENOTYPES, v.SITES, HAPS))
+@query("block_summary", v.sql("SELECT count(*) AS blocks, 20000.0::DOUBLE AS mean_length, round(avg(sites), 6) AS mean_sites, round(avg(k), 6) AS mean_haplotypes, round(avg(diversity), 6) AS mean_diversity, CAST(count(*) * 20000 AS BIGINT) AS bases FROM (SELECT chrom, start, count(*) AS k, 1 - CAST(sum(c * c) AS DOUBLE) / (sum(c) * sum(c)) AS diversity FROM v_hap GROUP BY 1, 2) JOIN (SELECT chrom, ((pos - 1) // 20000) * 20000 + 1 AS start, count(*) AS sites FROM v_site GROUP BY 1, 2) USING (chrom, start)", v.GENOTYPES, v.SITES, HAPS.replace("string_agg(CASE", "string_agg(pos || ':' || CASE").replace("END, ''", "END, ','")))
 def block_summary(spark, d) -> DataFrame:
     start = (F.floor((F.col("pos") - 1) / 20000) * 20000 + 1).cast("long").alias("start")
     n = site(spark, d).groupBy("chrom", start).agg(F.count(F.lit(1)).alias("n_sites"))

@@ -30,10 +30,10 @@ CLASSES = "v_cls(prop, k, letters) AS (VALUES " + ", ".join(f"('{p}', {i + 1}, '
 CTD = """v_code AS (SELECT doc_id, prop, p, k, n FROM v_res JOIN v_cls ON contains(letters, aa)),
     v_place AS (SELECT doc_id, prop, k, max(n) AS n, list(p ORDER BY p) AS ps FROM v_code GROUP BY 1, 2, 3),
     v_all AS (SELECT d.doc_id, c.prop, c.k, d.n, coalesce(q.ps, []) AS ps FROM (SELECT doc_id, length(s) AS n FROM v_prot WHERE length(s) > 4) d CROSS JOIN v_cls c LEFT JOIN v_place q ON q.doc_id = d.doc_id AND q.prop = c.prop AND q.k = c.k)"""
-query("ctd_descriptors", v.sql("""SELECT doc_id, prop || '_C' || k AS feature, round(CAST(len(ps) AS DOUBLE) / n, 6) AS value FROM v_all
-    UNION ALL SELECT doc_id, prop || '_T', round(CAST(count(*) FILTER (k <> nk) AS DOUBLE) / (max(n) - 1), 6) FROM (SELECT *, lead(k) OVER (PARTITION BY doc_id, prop ORDER BY p) AS nk FROM v_code) GROUP BY doc_id, prop
-    UNION ALL SELECT doc_id, prop || '_' || k || '_' || name, round(coalesce(CAST(ps[CAST(CASE name WHEN 'D1' THEN 0 WHEN 'D25' THEN len(ps) // 4 WHEN 'D50' THEN len(ps) // 2 WHEN 'D75' THEN 3 * len(ps) // 4 ELSE len(ps) - 1 END + 1 AS INTEGER)] AS DOUBLE) / n, 0), 6) FROM v_all, (SELECT unnest(['D1', 'D25', 'D50', 'D75', 'D100']) AS name)""", v.PROTEIN, RESIDUES_SQL, CLASSES, CTD))(
-    lambda spark, d: long_enough(spark, d).select("doc_id", F.explode(P.ctd(F.col("s"))).alias("feature", "value")).select("doc_id", "feature", r6("value").alias("value"))
+query("ctd_descriptors", v.sql("""SELECT doc_id, prop || '_C' || k AS feature, round(CAST(len(ps) AS DOUBLE) / n, 12) AS value FROM v_all
+    UNION ALL SELECT doc_id, prop || '_T', round(CAST(count(*) FILTER (k <> nk) AS DOUBLE) / (max(n) - 1), 12) FROM (SELECT *, lead(k) OVER (PARTITION BY doc_id, prop ORDER BY p) AS nk FROM v_code) GROUP BY doc_id, prop
+    UNION ALL SELECT doc_id, prop || '_' || k || '_' || name, round(coalesce(CAST(ps[CAST(CASE name WHEN 'D1' THEN 0 WHEN 'D25' THEN len(ps) // 4 WHEN 'D50' THEN len(ps) // 2 WHEN 'D75' THEN 3 * len(ps) // 4 ELSE len(ps) - 1 END + 1 AS INTEGER)] AS DOUBLE) / n, 0), 12) FROM v_all, (SELECT unnest(['D1', 'D25', 'D50', 'D75', 'D100']) AS name)""", v.PROTEIN, RESIDUES_SQL, CLASSES, CTD))(
+    lambda spark, d: long_enough(spark, d).select("doc_id", F.explode(P.ctd(F.col("s"))).alias("feature", "value")).select("doc_id", "feature", F.round("value", 12).alias("value"))
 )
 
 # Sums over pairs at a lag come from inner products of a sequence's values with themselves, moved by the lag.

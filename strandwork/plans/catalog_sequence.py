@@ -21,9 +21,10 @@ query("restriction_digest", v.sql(" UNION ALL ".join(f"SELECT enzyme, doc_id, p
 
 # Tandem repeats as runs of places whose base equals the one k further on: a run of at least (m - 1) k such places holds m repeats.
 _RUNS = "SELECT doc_id, {k} AS k, min(p) AS a, count(*) AS n FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM v_pos WHERE p + {k} < length(s) AND substr(s, CAST(p + 1 AS INTEGER), 1) = substr(s, CAST(p + {k} + 1 AS INTEGER), 1)) GROUP BY doc_id, island HAVING count(*) >= {least}"
-# A match ends after whole repeats, up to k - 1 places into the next run; what is left of that run is looked at from there.
-RUNS = "v_raw AS (" + " UNION ALL ".join(_RUNS.format(k=k, least=(m - 1) * k) for k, m in T.SSR_LEAST.items()) + "), v_run AS (SELECT doc_id, k, a, n FROM (SELECT doc_id, k, greatest(a, before) AS a, n - greatest(before - a, 0) AS n FROM (SELECT *, coalesce(lag(a + (n // k + 1) * k) OVER (PARTITION BY doc_id, k ORDER BY a), 0) AS before FROM v_raw)) WHERE n >= CASE k " + " ".join(f"WHEN {k} THEN {(m - 1) * k}" for k, m in T.SSR_LEAST.items()) + " END)"
-query("microsatellites", v.sql("SELECT doc_id AS id, a + 1 AS start, a + (n // r.k + 1) * r.k AS \"end\", substr(s, CAST(a + 1 AS INTEGER), CAST(r.k AS INTEGER)) AS motif, CAST(n // r.k + 1 AS INTEGER) AS repeats, CASE r.k WHEN 1 THEN 'mono' WHEN 2 THEN 'di' WHEN 3 THEN 'tri' WHEN 4 THEN 'tetra' WHEN 5 THEN 'penta' ELSE 'hexa' END AS kind FROM v_run r JOIN v_dna USING (doc_id)", v.DNA, POSITIONS, RUNS))(
+# A match ends after whole repeats, up to k - 1 places into the next run; what is left of that run counts from there.
+RUNS = "v_raw AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY a) AS rn, CASE k " + " ".join(f"WHEN {k} THEN {(m - 1) * k}" for k, m in T.SSR_LEAST.items()) + " END AS least FROM (" + " UNION ALL ".join(_RUNS.format(k=k, least=(m - 1) * k) for k, m in T.SSR_LEAST.items()) + "))"
+WALK = "v_walk(doc_id, k, rn, a, n, e, fine) AS (SELECT doc_id, k, rn, a, n, a + (n // k + 1) * k, TRUE FROM v_raw WHERE rn = 1 UNION ALL SELECT doc_id, k, rn, b, m, CASE WHEN m >= least THEN b + (m // k + 1) * k ELSE e END, m >= least FROM (SELECT r.doc_id, r.k, r.rn, r.least, w.e, greatest(r.a, w.e) AS b, r.n - greatest(w.e - r.a, 0) AS m FROM v_walk w JOIN v_raw r ON r.doc_id = w.doc_id AND r.k = w.k AND r.rn = w.rn + 1))"
+query("microsatellites", v.sql("SELECT doc_id AS id, a + 1 AS start, a + (n // r.k + 1) * r.k AS \"end\", substr(s, CAST(a + 1 AS INTEGER), CAST(r.k AS INTEGER)) AS motif, CAST(n // r.k + 1 AS INTEGER) AS repeats, CASE r.k WHEN 1 THEN 'mono' WHEN 2 THEN 'di' WHEN 3 THEN 'tri' WHEN 4 THEN 'tetra' WHEN 5 THEN 'penta' ELSE 'hexa' END AS kind FROM v_walk r JOIN v_dna USING (doc_id) WHERE fine", v.DNA, POSITIONS, RUNS, WALK).replace("WITH ", "WITH RECURSIVE ", 1))(
     lambda spark, d: _found(spark, d)
 )
 

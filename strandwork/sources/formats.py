@@ -146,7 +146,8 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq_text(df: DataFrame) -> DataFrame:
-    q = F.coalesce(F.array_join(F.transform("quality", lambda x: F.char(x + 33)), ""), F.expr("repeat('I', length(sequence))"))
+    best = F.expr("repeat('I', length(sequence))")
+    q = F.coalesce(F.array_join(F.transform("quality", lambda x: F.char(x + 33)), ""), best) if "quality" in df.columns else best
     return df.select(F.concat(F.lit("@"), F.trim(F.concat_ws(" ", "id", "description")), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), q).alias("value"))
 
 
@@ -295,7 +296,7 @@ def vcf_header(samples: list[str], meta: dict[str, str] | None = None, contigs:
 def vcf_text(df: DataFrame, samples: list[str]) -> DataFrame:
     """Lines of a VCF body from the long table, with chrom and pos; a missing sample is ./. ."""
     qual = F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit("."))
-    info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ";")
+    info = F.array_join(F.transform(F.map_entries("info"), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ";")
     keys = ["chrom", "pos", "id", "ref", F.array_join("alt", ",").alias("alt"), qual.alias("qual"), F.when(F.size("filter") == 0, "PASS").otherwise(F.array_join("filter", ";")).alias("filter"), F.when(info == "", ".").otherwise(F.coalesce(info, F.lit("."))).alias("info")]
     names = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
     wide = df.select(*keys, "sample", "gt").groupBy(*names).pivot("sample", samples).agg(F.first("gt"))

@@ -7,7 +7,8 @@ from strandwork.plans import catalog
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"linguistic_complexity", "six_frame_translation"}
+# Slow in DuckDB; smaller tests cover them.
+SLOW = {"linguistic_complexity", "six_frame_translation", "mirna_targets", "restriction_digest", "geary_autocorrelation", "moran_autocorrelation", "autocorrelation", "ctd_descriptors", "quasi_sequence_order", "pseudo_composition", "microsatellites", "protein_features"}
 
 
 @pytest.fixture(scope="module")
@@ -38,12 +39,25 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
-def test_entry_runs_without_corpus(spark):
+def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_entry_without_the_corpus_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "strandwork", tmp_path / "strandwork", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'gc_content' in q and 'pipeline' not in q"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+
+
 def test_import_needs_no_session():
     import subprocess
     import sys
