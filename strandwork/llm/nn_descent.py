@@ -3,7 +3,7 @@
 Equal vectors of a label form one class first. Every class starts with the neighbours it meets in the leaves of
 seeded random-hyperplane trees; rounds of NN-descent then refine the neighbour lists: each vector joins the vectors
 that stand in its list or hold it in theirs, and those of them that are nearer to each other than their lists' last
-entries enter. Rounds stop when few entries change. Recall is audited against brute force on a sample of vectors that
+entries enter. Rounds stop when few links are new. Recall is audited against brute force on a sample of vectors that
 grows until it holds LINKS true links; while recall is below the target, further trees and rounds follow, and if it
 stays there, all vectors are compared with all of their label in blocks. Edges at the threshold are kept.
 
@@ -262,8 +262,8 @@ def neighbour_lists(classes: DataFrame, threshold: float, k: int = K, trees: int
         first += trees
         for _ in range(rounds):
             new = cut(_best(_local_join(lists, classes, total, k).unionByName(lists), k), "lists")
-            # Saturated lists are searched whole later, so their entries need not settle.
-            open_ = new.join(_saturated(new, threshold, k).withColumnRenamed("c", "a"), "a", "left_anti")
+            # Links are what counts, and saturated lists are searched whole later: rounds stop when the other lists gain few links.
+            open_ = new.where(F.col("sim") >= threshold).join(_saturated(new, threshold, k).withColumnRenamed("c", "a"), "a", "left_anti")
             got = open_.join(lists.select("a", "b", F.lit(1).alias("held")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("held")).first()
             drop_cut(lists)
             lists = new
