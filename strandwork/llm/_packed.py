@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._store import cut
+from strandwork.llm._store import cut, spread
 from strandwork.llm._text import trimmed
 
 BATCH = "__strandwork_batch"
@@ -34,7 +34,7 @@ _REPLIES = pa.schema([("b", pa.int32()), ("p", pa.int32()), ("n", pa.binary())])
 def dealt(docs: DataFrame, text: str, batches: int) -> DataFrame:
     """docs with its batch in column BATCH; equal rows may share a batch, other rows spread by id and text."""
     keys = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]
-    return docs.withColumn(BATCH, F.pmod(F.xxhash64(*(keys or [F.col(text)])), F.lit(batches)).cast("int"))
+    return spread(docs.withColumn(BATCH, F.pmod(F.xxhash64(*(keys or [F.col(text)])), F.lit(batches)).cast("int")), BATCH, batches)
 
 
 class Distinct:
@@ -151,7 +151,7 @@ def tally(sent: DataFrame, batches: int) -> DataFrame:
     """Replies (b, p, n) to the blobs of all batches, made for lanes(batches) ranges."""
     n = lanes(batches)
     if n == batches:
-        return sent.groupBy("p").applyInArrow(trimmed(_tally), REPLIES)
+        return spread(spread(sent, "p", n).groupBy("p").applyInArrow(trimmed(_tally), REPLIES), "b", batches)
     fan = -(-batches // n)  # ranges of a lane
     teams = cut(sent, "sent").withColumn("s", F.col("b") % n)  # lane p, team s
 
@@ -167,4 +167,4 @@ def tally(sent: DataFrame, batches: int) -> DataFrame:
     merged = teams.groupBy("p", "s").applyInArrow(trimmed(merge), BLOBS)
     replies = merged.groupBy("p").applyInArrow(trimmed(_tally), REPLIES)
     replies = replies.select(F.floor(F.col("b") / n).cast("int").alias("lane"), (F.col("b") % n).alias("s"), "p", "n")
-    return teams.groupBy("p", "s").cogroup(replies.groupBy("lane", "s")).applyInArrow(trimmed(split), REPLIES)
+    return spread(teams.groupBy("p", "s").cogroup(replies.groupBy("lane", "s")).applyInArrow(trimmed(split), REPLIES), "b", batches)

@@ -83,6 +83,15 @@ def slices(df: DataFrame, text: str, each: int, least: int = 8) -> int:
     return max(least, -(-int(total) // each))
 
 
+GROUPS = 8
+
+
+def spread(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """df dealt by key to a task per GROUPS groups, where the session's shuffle partitions would hold more of them each."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if groups <= GROUPS * usual else df.repartition(-(-groups // GROUPS), key)
+
+
 HOT = 4096
 
 

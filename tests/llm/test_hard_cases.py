@@ -48,6 +48,18 @@ def test_two_hops_count_like_one(spark, monkeypatch):
     assert sum(n for n, _ in one.values()) > 0
 
 
+def test_many_batches_get_tasks_of_their_own(spark, monkeypatch):
+    from strandwork.llm import _store
+
+    rows = [(i, " ".join("abcdefgh"[(i * j) % 8] for j in range(40))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: ({x.doc_id: x.n_removed for x in substring.remove_repeats(df, length=4, anchor=2, batch_bytes=300).collect()}, {x.doc_id: round(x.log10_score, 6) for x in backoff.score(df, batch_bytes=300).collect()})
+    want = run()
+    monkeypatch.setattr(_store, "GROUPS", 1)
+    assert _packed.dealt(df, "text", 9).rdd.getNumPartitions() == 9
+    assert run() == want
+
+
 def test_key_places_and_counts():
     r = np.random.default_rng(1)
     k = np.sort(r.integers(0, 1 << 64, 5000, dtype=np.uint64))
