@@ -221,7 +221,7 @@ def tau(values: DataFrame) -> DataFrame:
 
 
 def enrichment(sets: DataFrame, chosen: DataFrame, background: int) -> DataFrame:
-    """Per set its size, the chosen genes in it, ratio to expectation and hypergeometric upper tail."""
+    """Per set its size, the chosen genes in it, ratio to expectation and hypergeometric upper tail; the tail is 1 where the background is smaller than the set or the choice."""
     total = chosen.select("gene").distinct().count()
     hit = sets.join(chosen.select("gene").distinct().withColumn("hit", F.lit(1)), "gene", "left").groupBy("set").agg(F.count(F.lit(1)).alias("size"), F.count("hit").alias("overlap"))
 
@@ -230,6 +230,9 @@ def enrichment(sets: DataFrame, chosen: DataFrame, background: int) -> DataFrame
         for b in batches:
             out = []
             for size, k in zip(b["size"], b["overlap"]):
+                if max(size, total) > background:
+                    out.append(1.0)
+                    continue
                 top = min(size, total)
                 out.append(min(1.0, sum(math.exp(c(size, i) + c(background - size, total - i) - c(background, total)) for i in range(k, top + 1) if total - i <= background - size)))
             yield b.assign(ratio=b["overlap"] / (b["size"] * total / background), p=out)
