@@ -289,13 +289,13 @@ def gtf_lines(spark, d) -> DataFrame:
 
 
 query("gff3_features", v.sql("SELECT 'chr' || (tx % 12) AS seqname, type, CAST(st AS INTEGER) AS start, CAST(en AS INTEGER) AS \"end\", CASE WHEN tx % 2 = 0 THEN '+' ELSE '-' END AS strand, 0 AS phase, 'part' || st AS id, 'tx' || tx || '|all' AS parents, 'a b;c' || tx AS note FROM v_exon", v.EXONS))(
-    lambda spark, d: S.parse_gff3(gff_lines(spark, d)).select("seqname", "type", "start", "end", "strand", "phase", L.attribute(F.col("attributes"), "ID").alias("id"), F.array_join(F.try_element_at("attributes", F.lit("Parent")), "|").alias("parents"), L.attribute(F.col("attributes"), "Note").alias("note"))
+    lambda spark, d: S.parse_gff3(gff_lines(spark, d)).select("seqname", "type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "strand", "phase", L.attribute(F.col("attributes"), "ID").alias("id"), F.array_join(F.try_element_at("attributes", F.lit("Parent")), "|").alias("parents"), L.attribute(F.col("attributes"), "Note").alias("note"))
 )
 query("gff3_lines", v.sql("SELECT 'chr' || (tx % 12) || chr(9) || 'src' || chr(9) || type || chr(9) || st || chr(9) || en || chr(9) || '.' || chr(9) || CASE WHEN tx % 2 = 0 THEN '+' ELSE '-' END || chr(9) || '0' || chr(9) || 'ID=part' || st || ';Parent=tx' || tx || ',all;Note=a b%3Bc' || tx AS value FROM v_exon", v.EXONS))(
     lambda spark, d: S.gff3_text(S.parse_gff3(gff_lines(spark, d))).select("value")
 )
 query("gtf_features", v.sql("SELECT 'chr' || (tx % 12) AS seqname, type, CAST(st AS INTEGER) AS start, 't' || tx AS id, 't' || tx AS parent, 'g' || (tx // 4) AS gene FROM v_exon", v.EXONS))(
-    lambda spark, d: S.parse_gtf(gtf_lines(spark, d)).select("seqname", "type", "start", L.attribute(F.col("attributes"), "ID").alias("id"), L.attribute(F.col("attributes"), "Parent").alias("parent"), L.attribute(F.col("attributes"), "gene_id").alias("gene"))
+    lambda spark, d: S.parse_gtf(gtf_lines(spark, d)).select("seqname", "type", F.col("start").cast("int").alias("start"), L.attribute(F.col("attributes"), "ID").alias("id"), L.attribute(F.col("attributes"), "Parent").alias("parent"), L.attribute(F.col("attributes"), "gene_id").alias("gene"))
 )
 
 # Sequence records

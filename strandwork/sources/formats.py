@@ -314,7 +314,7 @@ def _columns(lines: DataFrame) -> DataFrame:
     c = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#")).where(F.size(c) >= 9).withColumn("c", c)
     g = lambda i: F.get(F.col("c"), F.lit(i))
-    r = rows.select(g(0).alias("seqname"), g(1).alias("source"), g(2).alias("type"), g(3).try_cast("int").alias("start"), g(4).try_cast("int").alias("end"), g(5).try_cast("double").alias("score"), g(6).alias("strand"), g(7).try_cast("int").alias("phase"), g(8).alias("raw"))
+    r = rows.select(g(0).alias("seqname"), g(1).alias("source"), g(2).alias("type"), g(3).try_cast("long").alias("start"), g(4).try_cast("long").alias("end"), g(5).try_cast("double").alias("score"), g(6).alias("strand"), g(7).try_cast("int").alias("phase"), g(8).alias("raw"))
     return r.where("start is not null and end is not null")
 
 
