@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -195,15 +197,23 @@ def describe(smiles: str) -> tuple:
     return (*(formula(m), weight, _logp(m), donors, n("N") + n("O"), _tpsa(m), rotatable, len(m.rings), aromatic_rings, heavy, heavy + sum(m.hydrogens), len(m.bonds), sp3 / len(carbons) if carbons else 0.0, 0.029 * weight + 1.512 * (n("C") + n("N")) + 0.686 * (n("O") + n("S")), stereo), *more)
 
 
+KNOWN = 1 << 14  # molecules whose descriptors or bits a worker remembers
+
+
 def descriptors(smiles: Column) -> Column:
     """The descriptor struct; select it once, then use its fields."""
 
     def run(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([describe(s) for s in x], columns=[c.split()[0] for c in DESCRIPTORS.split(", ")])
+        return pd.DataFrame([_described(s) for s in x], columns=[c.split()[0] for c in DESCRIPTORS.split(", ")])
 
     return F.pandas_udf(run, DESCRIPTORS, F.PandasUDFType.SCALAR)(smiles)
 
 
+@lru_cache(KNOWN)
+def _described(smiles: str) -> tuple:
+    return describe(smiles)
+
+
 def _wrap(h: int) -> int:
     h &= 0xFFFFFFFF
     return h - (1 << 32) if h >= 1 << 31 else h
@@ -251,9 +261,13 @@ def keys(smiles: str) -> list[int]:
     return [k for k, v in rules.items() if v]
 
 
+@lru_cache(KNOWN)
+def _bits(kind: str, smiles: str) -> list[int]:
+    return {"morgan": morgan, "paths": paths, "keys": keys}[kind](smiles)
+
+
 def fingerprint(smiles: Column, kind: str = "morgan") -> Column:
-    f = {"morgan": morgan, "paths": paths, "keys": keys}[kind]
-    return F.pandas_udf(lambda x: x.map(f), "array<int>", F.PandasUDFType.SCALAR)(smiles)
+    return F.pandas_udf(lambda x: x.map(lambda s: _bits(kind, s)), "array<int>", F.PandasUDFType.SCALAR)(smiles)
 
 
 def pharmacophore(smiles: Column) -> Column:

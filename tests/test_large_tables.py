@@ -14,3 +14,18 @@ def test_enrichment_of_sets_larger_than_the_background(spark):
     sets = spark.createDataFrame([(i, "big" if i < 30 else "small") for i in range(34)], "gene long, set string")
     p = {r.set: r.p for r in expression.enrichment(sets, spark.createDataFrame([(0,), (31,)], "gene long"), 20).collect()}
     assert p["big"] == 1.0 and 0 < p["small"] < 1
+
+
+def test_binding_keeps_texts_out_of_the_join(spark, capsys):
+    from strandwork.plans import catalog
+
+    for name in ("drug_dna_binding",):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").explain("simple")
+        joined = capsys.readouterr().out
+        assert "BroadcastHashJoin" in joined and "BuildRight" in joined  # the documents' figures, not the molecules
+
+
+def test_molecules_are_dealt_to_tasks(spark):
+    from strandwork.plans.catalog_molecule import smiles
+
+    assert smiles(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
