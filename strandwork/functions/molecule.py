@@ -350,24 +350,36 @@ def verdict(d: Column) -> Column:
     return F.when((passed >= 4) & (n == 0), "Excellent").when((passed >= 3) & (n <= 1), "Acceptable").otherwise("Concerns")
 
 
+def host(s: Column) -> Column:
+    """Struct of what binding reads of a protein: residue counts and charge."""
+    from strandwork.functions import protein as P
+
+    return F.struct(P.residue_counts(s).alias("n"), P.charge_at(s, 7.0).alias("c"))
+
+
 def protein_binding(d: Column, s: Column) -> Column:
     """Struct of the terms, free energy, dissociation constant (micromolar), confidence and verdict of a molecule with a protein."""
+    return host_binding(d, host(s))
+
+
+def host_binding(d: Column, protein: Column) -> Column:
+    """protein_binding with a protein of which host() is known."""
     from strandwork.functions import protein as P
     from strandwork.functions.sequence import let
 
     def of(z: Column) -> Column:
-        m, n = z["d"], z["n"]
+        m, n = z["d"], z["h"]["n"]
         count = lambda letters: P.count_in(n, letters)
         bonds = -(F.least(m["hbd"], count("DESTYNQH")) + F.least(m["hba"], count("STYKRHNQW"))) * 0.9
         water = F.when(m["logp"] > 0, -m["logp"] * F.coalesce(F.try_divide(count("AVILMFWPY").cast("double"), n["len"]), F.lit(0.0)) * 0.8).otherwise(0.0)
-        ionic = F.when(m["charge"] * z["c"] < 0, m["charged"] * -0.5).otherwise(m["charged"] * 0.2)
+        ionic = F.when(m["charge"] * z["h"]["c"] < 0, m["charged"] * -0.5).otherwise(m["charged"] * 0.2)
         stacking = -F.least(m["aromatic_rings"] * count("FYWH") * 0.3, F.lit(3.0))
         desolvation, turns = m["tpsa"] * 0.02, m["rotatable"] * 0.3
         dg = bonds + water + ionic + stacking + desolvation + turns
         sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (-dg - 2.0) / 8.0))
         return F.struct(bonds.alias("hydrogen_bonds"), water.alias("hydrophobic"), ionic.alias("electrostatic"), stacking.alias("aromatic"), desolvation.alias("desolvation"), turns.alias("rotation"), dg.alias("dg"), (F.exp(dg / (0.001987 * 310.15)) * 1e6).alias("kd"), sure.alias("confidence"), ((dg < -5.0) & (sure > 0.4)).alias("binder"))
 
-    return let(F.struct(d.alias("d"), P.residue_counts(s).alias("n"), P.charge_at(s, 7.0).alias("c")), of)
+    return let(F.struct(d.alias("d"), protein.alias("h")), of)
 
 
 def binding_site(s: Column, most: int = 10) -> Column:

@@ -76,7 +76,7 @@ def _with_hosts(spark, d, texts: DataFrame, figures: Column) -> DataFrame:
 
 HOST = f"v_host AS (SELECT doc_id, length(s) AS n, {n_of('DESTYNQH')} AS acceptors, {n_of('STYKRHNQW')} AS donors, {n_of('AVILMFWPY')} AS water, {n_of('FYWH')} AS aromatic, {charge_sql(7.0)} AS charge FROM v_prot)"
 query("drug_protein_binding", v.sql("SELECT id, round(dg, 9) AS dg, round(least(1, greatest(0, (-dg - 2) / 8)), 12) AS confidence, dg < -5 AND least(1, greatest(0, (-dg - 2) / 8)) > 0.4 AS binder FROM (SELECT id, CAST(-(least(hbd, acceptors) + least(hba, donors)) * 0.9 - CASE WHEN logp > 0 THEN logp * coalesce(CAST(water AS DOUBLE) / nullif(p.n, 0), 0) * 0.8 ELSE 0 END - least(r * aromatic * 0.3, 3.0) + tpsa * 0.02 + rotatable * 0.3 AS DOUBLE) AS dg FROM v_mol m JOIN v_host p ON p.doc_id = m.id % 500)", v.PROTEIN, CHAIN, MOL, HOST))(
-    lambda spark, d: molecules(spark, d).withColumn("doc_id", F.col("id") % 500).join(v.protein(spark, d), "doc_id").select("id", M.protein_binding(F.col("d"), F.col("s")).alias("b")).select("id", F.round("b.dg", 9).alias("dg"), F.round("b.confidence", 12).alias("confidence"), "b.binder")
+    lambda spark, d: _with_hosts(spark, d, v.protein(spark, d), M.host(F.col("s"))).select("id", M.host_binding(F.col("d"), F.col("h")).alias("b")).select("id", F.round("b.dg", 9).alias("dg"), F.round("b.confidence", 12).alias("confidence"), "b.binder")
 )
 query("drug_dna_binding", v.sql(f"SELECT id, round(inter, 6) AS intercalation, round(groove, 6) AS groove, risk, CASE WHEN inter > 4 THEN 'Intercalation' WHEN groove > 3 THEN 'Minor groove binding' WHEN risk = 'High' THEN 'Covalent alkylation' ELSE 'Electrostatic / non-specific' END AS mode FROM (SELECT id, CAST(CASE WHEN r = 1 THEN 0.9 ELSE 0 END + gc / 200.0 AS DOUBLE) AS inter, CAST(greatest(0, 1 - rotatable * 0.1) * 2 + (100 - gc) / 100.0 * 1.5 + hbd * 0.5 + CASE WHEN weight BETWEEN 300 AND 600 THEN 1 ELSE 0 END AS DOUBLE) AS groove, CASE WHEN alerts = '' THEN 'Low' ELSE 'Moderate' END AS risk FROM v_pass JOIN (SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE {n_of('GC')} * 100.0 / length(s) END AS gc FROM v_dna) g ON g.doc_id = id % 500)", v.DNA, CHAIN, MOL, PASSED))(
     lambda spark, d: _with_hosts(spark, d, v.dna(spark, d), S.gc_content(F.col("s"))).select("id", M.dna_binding(F.col("d"), F.col("h")).alias("b")).select("id", r6("b.intercalation").alias("intercalation"), r6("b.groove").alias("groove"), "b.risk", "b.mode")

@@ -19,7 +19,7 @@ def test_enrichment_of_sets_larger_than_the_background(spark):
 def test_binding_keeps_texts_out_of_the_join(spark, capsys):
     from strandwork.plans import catalog
 
-    for name in ("drug_dna_binding",):
+    for name in ("drug_dna_binding", "drug_protein_binding"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001").explain("simple")
         joined = capsys.readouterr().out
         assert "BroadcastHashJoin" in joined and "BuildRight" in joined  # the documents' figures, not the molecules
