@@ -55,6 +55,11 @@ def screen(queries: DataFrame, rows: DataFrame, threshold: float, most: int | No
         both = (m[p] @ m[q].T).astype(float)
         sim = both / np.maximum(n[p][:, None] + n[q][None, :] - both, 1.0)
         i, j = np.nonzero((sim >= threshold) & (both > 0))
+        if most is not None:  # no other block can bring more of a query's best from here
+            order = np.lexsort((ids[q][j], -sim[i, j], i))
+            i, j = i[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+            i, j = i[keep], j[keep]
         return pa.Table.from_arrays([pa.array(ids[p][i]), pa.array(ids[q][j]), pa.array(sim[i, j])], names=["query", "id", "tanimoto"])
 
     hits = left.unionByName(right).groupBy("x", "y").applyInArrow(compare, "query long, id long, tanimoto double")
@@ -64,6 +69,24 @@ def screen(queries: DataFrame, rows: DataFrame, threshold: float, most: int | No
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def screen_kinds(queries: DataFrame, rows: DataFrame, threshold: float, most: int, key: str = "id", bits: str = "bits", block: int = SCREEN_BLOCK) -> DataFrame:
+    """screen() with `most`, over kinds of equal fingerprints, for tables with many of them.
+
+    Rows of a kind are equally similar, so the `most` smallest keys of a kind are all that can be among a query's best,
+    and queries of a kind have the same best rows. A kind's smallest key stands for it.
+    """
+    w = Window.partitionBy(bits).orderBy(key)
+    first = rows.select(bits, key).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most)
+    kinds = first.groupBy(bits).agg(F.min(key).alias(key), F.sort_array(F.collect_list(key)).alias("__keys"))
+    asked = queries.groupBy(bits).agg(F.min(key).alias(key))
+    hits = screen(asked, kinds, threshold, most, key, bits, block).drop("rank")
+    each = hits.join(kinds.select(F.col(key).cast("long").alias("id"), "__keys"), "id").select(F.col("query").alias("__kind"), F.explode("__keys").alias("id"), "tanimoto")
+    best = Window.partitionBy("__kind").orderBy(F.col("tanimoto").desc(), "id")
+    top = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    ask = queries.select(F.col(key).cast("long").alias("query"), bits).join(asked.select(bits, F.col(key).cast("long").alias("__kind")), bits)
+    return ask.join(top, "__kind").select("query", F.col("id").cast("long").alias("id"), "tanimoto", "rank")
+
+
 def max_min_pick(fp: DataFrame, n: int, key: str = "id", bits: str = "bits") -> DataFrame:
     """Greedy diverse choice: from the smallest key on, the row farthest from those chosen; one aggregate per pick."""
     first = fp.orderBy(key).limit(1)

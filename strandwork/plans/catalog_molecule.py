@@ -116,10 +116,10 @@ def drug_predictions(spark, d) -> DataFrame:
 @query("virtual_screening")
 def virtual_screening(spark, d) -> DataFrame:
     """The twenty most similar drug-like molecules of each molecule whose id is divisible by 50, by Morgan fingerprints."""
-    from strandwork.operators.similarity import screen
+    from strandwork.operators.similarity import screen_kinds
 
     fp = molecules(spark, d).where(M.lipinski(F.col("d"))).select("id", M.fingerprint(F.col("smiles")).alias("bits"))
-    return screen(fp.where("id % 50 = 0"), fp, 0.4, 20).withColumn("tanimoto", r6("tanimoto"))
+    return screen_kinds(fp.where("id % 50 = 0"), fp, 0.4, 20).withColumn("tanimoto", r6("tanimoto"))
 
 
 query("fingerprint_screen", v.sql("SELECT q.vec_id AS query, f.vec_id AS id, round(CAST(len(list_intersect(f.bits, q.bits)) AS DOUBLE) / (len(f.bits) + len(q.bits) - len(list_intersect(f.bits, q.bits))), 6) AS tanimoto FROM v_fp f, v_fp q WHERE q.vec_id % 50 = 0 AND CAST(len(list_intersect(f.bits, q.bits)) AS DOUBLE) / (len(f.bits) + len(q.bits) - len(list_intersect(f.bits, q.bits))) >= 0.5", v.BITS))(

@@ -16,6 +16,22 @@ def test_enrichment_of_sets_larger_than_the_background(spark):
     assert p["big"] == 1.0 and 0 < p["small"] < 1
 
 
+def test_screen_of_kinds_equals_the_screen_of_rows(spark):
+    import random
+
+    from strandwork.operators.similarity import screen, screen_kinds
+
+    r = random.Random(5)
+    forms = [sorted(r.sample(range(12), r.randint(1, 6))) for _ in range(7)]
+    fp = spark.createDataFrame([(i, r.choice(forms)) for i in range(120)], "id long, bits array<int>")
+    q = fp.where("id % 10 = 0")
+    for most in (1, 5, 20):
+        want = {tuple(x) for x in screen(q, fp, 0.3).select("query", "id", "tanimoto").collect()}
+        best = {(k, *y) for k in {x[0] for x in want} for y in [(i, t, n) for n, (t, i) in enumerate(sorted((-x[2], x[1]) for x in want if x[0] == k)[:most], 1)]}
+        for f in (screen, screen_kinds):
+            assert {(x.query, x.id, -x.tanimoto, x.rank) for x in f(q, fp, 0.3, most, block=16).collect()} == best
+
+
 def test_binding_keeps_texts_out_of_the_join(spark, capsys):
     from strandwork.plans import catalog
 
