@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.operators.relational import interval_join
+from strandwork.operators.relational import interval_join, outside
 
 
 def annotate(variants: DataFrame, genes: DataFrame, width: int = 4096, most: int = 2000) -> DataFrame:
     """(variant id, chrom, pos) by the genes that hold it, or else by the nearest gene within `most` bases.
 
-    genes: gene, chrom, st, en, strand. Result: place (genic, upstream or downstream) and distance. One join with genes
-    widened by `most` finds both; a window per variant keeps the genes that hold it or, without any, the nearest one.
+    genes: gene, chrom, st, en, strand. Result: place (genic, upstream or downstream) and distance. A variant stands in
+    one bin, so the join that finds the genes around it also tells whether one holds it, and no pair is shuffled: only
+    those without any go on to the nearest one. Ids may repeat: an id with a row in a gene has no nearest gene.
     """
-    wide = genes.withColumn("__from", F.col("st") - most).withColumn("__to", F.col("en") + most)
-    near = interval_join(variants, wide, "pos", "__from", "__to", ["chrom"], width)
-    inside = F.col("pos").between(F.col("st"), F.col("en"))
-    edge = F.least(F.abs(F.col("st") - F.col("pos")), F.abs(F.col("en") - F.col("pos")))
-    near = near.withColumn("__in", inside).withColumn("distance", F.when(inside, F.lit(0)).otherwise(edge).cast("long"))
-    each = Window.partitionBy("id")
-    near = near.withColumn("__any", F.max("__in").over(each)).withColumn("__r", F.row_number().over(each.orderBy("__in", "distance", "gene")))
+    inside = interval_join(variants, genes, "pos", "st", "en", ["chrom"], width).select("id", "chrom", "pos", "gene", F.lit("genic").alias("place"), F.lit(0).cast("long").alias("distance"))
+    free = outside(variants, genes, "pos", "st", "en", ["chrom"], width)
+    held = outside(variants, genes, "pos", "st", "en", ["chrom"], width, held=True).select("id")
+    free = free.join(held.hint("shuffle_hash"), "id", "left_anti")
+    near = interval_join(free, genes.withColumn("__from", F.col("st") - most).withColumn("__to", F.col("en") + most), "pos", "__from", "__to", ["chrom"], width)
+    edge = F.least(F.abs(F.col("st") - F.col("pos")), F.abs(F.col("en") - F.col("pos"))).cast("long")
     up = ((F.col("strand") == "+") & (F.col("pos") < F.col("st"))) | ((F.col("strand") == "-") & (F.col("pos") > F.col("en")))
-    place = F.when(F.col("__in"), "genic").when(up, "upstream").otherwise("downstream")
-    return near.where(F.col("__in") | (~F.col("__any") & (F.col("__r") == 1))).select("id", "chrom", "pos", "gene", place.alias("place"), "distance")
+    best = near.groupBy("id").agg(F.min(F.struct(edge.alias("distance"), "gene", "chrom", "pos", F.when(up, "upstream").otherwise("downstream").alias("place"))).alias("x"))
+    return inside.unionByName(best.select("id", "x.chrom", "x.pos", "x.gene", "x.place", "x.distance"))
 
 
 def consequence(snp: Column, feature: Column) -> Column:

@@ -16,6 +16,17 @@ def interval_join(points: DataFrame, spans: DataFrame, pos: str, start: str, end
     return left.join(spans.withColumn("__bin", F.explode(bins)), [*on, "__bin"]).where(F.col(pos).between(F.col(start), F.col(end))).drop("__bin")
 
 
+def outside(points: DataFrame, spans: DataFrame, pos: str, start: str, end: str, on: list[str], width: int, held: bool = False) -> DataFrame:
+    """The points that no span holds, or with `held` those that one does: a point stands in one bin, so that bin's spans decide."""
+    bins = F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long"))
+    p = points.withColumn("__bin", F.floor(F.col(pos) / width).cast("long")).alias("p")
+    s = spans.select(*on, F.col(start).alias("__start"), F.col(end).alias("__end"), F.explode(bins).alias("__bin")).alias("s")
+    same = F.col(pos).between(F.col("__start"), F.col("__end"))
+    for c in [*on, "__bin"]:
+        same = same & (F.col(f"p.{c}") == F.col(f"s.{c}"))
+    return p.join(s, same, "left_semi" if held else "left_anti").drop("__bin")
+
+
 def nearest_join(points: DataFrame, spans: DataFrame, pos: str, start: str, end: str, on: list[str], most: int, point_id: list[str], span_id: str) -> DataFrame:
     """For each point the nearest span edge within `most`, smallest span_id on ties: binned, so a point meets a few bins only."""
     width = most

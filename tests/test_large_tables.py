@@ -45,3 +45,24 @@ def test_molecules_are_dealt_to_tasks(spark):
     from strandwork.plans.catalog_molecule import smiles
 
     assert smiles(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_annotation_of_repeated_ids_shuffles_no_pairs(spark, capsys):
+    import random
+
+    from strandwork.operators.annotation import annotate
+
+    r = random.Random(2)
+    points = [(r.randint(0, 150), r.randint(0, 1), r.randint(1, 60000)) for _ in range(300)]
+    spans = [(i, r.randint(0, 1), a, a + r.randint(0, 900), r.choice("+-")) for i, a in enumerate(r.sample(range(1, 60000), 30))]
+    df = annotate(spark.createDataFrame(points, "id long, chrom int, pos long"), spark.createDataFrame(spans, "gene long, chrom int, st long, en long, strand string"))
+    genic = [(i, c, x, g, "genic", 0) for i, c, x in points for g, d, a, b, _ in spans if c == d and a <= x <= b]
+    held, best = {x[0] for x in genic}, {}
+    for i, c, x in points:
+        for g, d, a, b, s in spans:
+            far = min(abs(a - x), abs(b - x))
+            if i not in held and c == d and far <= 2000:
+                best[i] = min(best.get(i, (9999,)), (far, g, c, x, "upstream" if (s == "+" and x < a) or (s == "-" and x > b) else "downstream"))
+    assert sorted(tuple(x) for x in df.collect()) == sorted(genic + [(i, c, x, g, p, far) for i, (far, g, c, x, p) in best.items()])
+    df.explain("simple")
+    assert "Window" not in capsys.readouterr().out
