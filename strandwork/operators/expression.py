@@ -195,9 +195,151 @@ def correlations(values: DataFrame, least: int = 3, block: int = BLOCK) -> DataF
     return rows.groupBy("x", "y").applyInArrow(_correlation(least), "a long, b long, n long, r double")
 
 
-def top_edges(values: DataFrame, threshold: float = 0.8, most: int = 100, least: int = 3) -> DataFrame:
-    """The `most` strongest pairs of genes with |r| from the threshold on."""
-    return correlations(values, least).where(F.abs("r") >= threshold).orderBy(F.round(F.abs("r"), 9).desc(), "a", "b").limit(most)
+TILE = 2048
+
+
+def _strong(threshold: float, least: int, most: int | None):
+    """Arrow function: of one task (x, y) the pairs of genes of two blocks with |r| from the threshold on; with `most` only the strongest.
+
+    Genes with values in the same samples form a class. For two classes r is one product of unit vectors over the samples
+    of both, in single precision; what comes near the threshold is computed again in double. Where classes hold few genes
+    each, tiles of the general formula do the same.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(table):
+        own, x, y, genes = (np.array(table.column(c)) for c in ("own", "x", "y", "gene"))
+        lists = table.column("p").combine_chunks()
+        size = np.diff(np.array(lists.offsets))
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(genes)), size)
+        samples, col = np.unique(np.array(flat.field("sample")), return_inverse=True)
+        v, has = np.zeros((len(genes), len(samples))), np.zeros((len(genes), len(samples)), bool)
+        v[row, col], has[row, col] = np.array(flat.field("value"), dtype=float), True
+        v -= (v.sum(1) / np.maximum(has.sum(1), 1))[:, None] * has  # centred: the sums below lose no digits
+        p, q = np.flatnonzero(own == x[0]), np.flatnonzero(own == y[0])
+        found, least_r = [], threshold
+
+        def keep(i, j, n, r):
+            nonlocal found, least_r
+            g, h = genes[i], genes[j]
+            fine = (np.abs(r) >= least_r) & ((g < h) if x[0] == y[0] else True)
+            found.append((np.minimum(g, h)[fine], np.maximum(g, h)[fine], n[fine], r[fine]))
+            if most is not None and sum(len(f[0]) for f in found) > 4 * most:
+                trim()
+
+        def trim():
+            nonlocal found, least_r
+            f = [np.concatenate(c) for c in zip(*found)]
+            strength = np.floor(np.abs(f[3]) * 1e9 + 0.5)
+            best = np.lexsort((f[1], f[0], -strength))[:most]
+            found = [tuple(c[best] for c in f)]
+            if len(best) == most:
+                least_r = max(threshold, strength[best[-1]] / 1e9 - 1e-9)
+
+        def classes(at):
+            kinds, which = np.unique(has[at], axis=0, return_inverse=True)
+            return [(k, at[which == n]) for n, k in enumerate(kinds)]
+
+        left, right = classes(p), classes(q)
+        if len(left) * len(right) * 4096 <= len(p) * len(q) or len(left) * len(right) <= 4096:
+            for a, at in left:
+                for b, to in right:
+                    both = np.flatnonzero(a & b)
+                    if len(both) < max(least, 1):
+                        continue
+                    u, w = v[np.ix_(at, both)], v[np.ix_(to, both)]
+                    u, w = u - u.mean(1)[:, None], w - w.mean(1)[:, None]
+                    nu, nw = (u * u).sum(1), (w * w).sum(1)
+                    u, w = u[nu > 1e-9] / np.sqrt(nu[nu > 1e-9])[:, None], w[nw > 1e-9] / np.sqrt(nw[nw > 1e-9])[:, None]
+                    i_of, j_of = at[nu > 1e-9], to[nw > 1e-9]
+                    us, ws = u.astype(np.float32), np.ascontiguousarray(w.astype(np.float32).T)
+                    for i in range(0, len(us), TILE):
+                        for j in range(0, ws.shape[1], TILE):
+                            r = us[i : i + TILE] @ ws[:, j : j + TILE]
+                            near = np.flatnonzero(np.abs(r, out=r).ravel() >= np.float32(least_r - 1e-4))
+                            if len(near):
+                                m, k = np.divmod(near, r.shape[1])
+                                exact = np.einsum("ij,ij->i", u[m + i], w[k + j])
+                                keep(i_of[m + i], j_of[k + j], np.full(len(m), len(both)), np.clip(exact, -1.0, 1.0))
+        else:
+            for i in range(0, len(p), 256):
+                for j in range(0, len(q), 256):
+                    s, t = p[i : i + 256], q[j : j + 256]
+                    a, b, ma, mb = v[s], v[t], has[s].astype(float), has[t].astype(float)
+                    n, sa, sb, ab = ma @ mb.T, a @ mb.T, ma @ b.T, a @ b.T
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        va, vb = (a * a) @ mb.T - sa * sa / n, ma @ (b * b).T - sb * sb / n
+                        r = (ab - sa * sb / n) / np.sqrt(va * vb)
+                    m, k = np.nonzero(np.isfinite(r) & (va > 1e-9) & (vb > 1e-9) & (n >= max(least, 1)) & (np.abs(r) >= least_r))
+                    keep(s[m], t[k], n[m, k].astype(np.int64), np.clip(r[m, k], -1.0, 1.0))
+        if found and most is not None:
+            trim()
+        f = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(f, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "n", "r"])
+
+    return run
+
+
+def _profiles(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kinds of genes with equal values: (p, gene: the smallest of the kind, second: its next, fine: enough variance); and members (gene, kind)."""
+    pair = F.struct("sample", F.col("value").cast("double").alias("value"))
+    each = values.where(F.col("value").isNotNull()).groupBy(F.col("gene").cast("long").alias("gene")).agg(F.sort_array(F.collect_list(pair)).alias("p"))
+    kinds = each.groupBy("p").agg(F.min("gene").alias("kind"))
+    return kinds, each.join(kinds, "p").select("gene", "kind")
+
+
+def _kind_edges(kinds: DataFrame, threshold: float, least: int, most: int | None, block: int | None = None) -> DataFrame:
+    """(a, b, n, r) of pairs of different kinds, by blocks that grow with the kinds: a profile travels at most 16 times until blocks are full."""
+    count = kinds.count()
+    block = block or min(1 << 17, max(1 << 12, -(-count // 16)))
+    blocks = max(1, -(-count // block))
+    rows = kinds.select(F.col("kind").alias("gene"), "p").withColumn("own", F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
+    return rows.groupBy("x", "y").applyInArrow(_strong(threshold, least, most), "a long, b long, n long, r double")
+
+
+def _alike(kinds: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """Kinds of at least two genes and enough samples and variance: r is 1 among their members."""
+    x = F.transform("p", lambda e: e["value"])
+    mean = F.aggregate(x, F.lit(0.0), lambda t, e: t + e) / F.size("p")
+    varied = F.aggregate(x, F.lit(0.0), lambda t, e: t + (e - mean) * (e - mean)) > 1e-9
+    several = members.groupBy("kind").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("gene") != F.col("kind"), F.col("gene"))).alias("second")).where("size > 1")
+    return kinds.where((F.size("p") >= max(least, 1)) & varied).select("kind", F.size("p").cast("long").alias("n")).join(several, "kind")
+
+
+def _expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of kinds (a, b, n, r) to the pairs of their genes."""
+    one, two = members.select(F.col("kind").alias("a"), F.col("gene").alias("g")), members.select(F.col("kind").alias("b"), F.col("gene").alias("h"))
+    both = pairs.join(one, "a").join(two, "b").where((F.col("a") != F.col("b")) | (F.col("g") < F.col("h")))
+    return both.select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"), "n", "r")
+
+
+def edges(values: DataFrame, threshold: float, least: int = 3, block: int | None = None) -> DataFrame:
+    """(a, b, n, r) of all pairs of genes that share at least `least` samples and have |r| from the threshold (above 0) on.
+
+    Genes of equal values are compared as one kind and expanded afterwards; kinds meet in blocks, and no weak pair leaves a task.
+    """
+    kinds, members = _profiles(values)
+    same = _alike(kinds, members, least).select(F.col("kind").alias("a"), F.col("kind").alias("b"), "n", F.lit(1.0).alias("r")).where(F.lit(threshold <= 1))
+    return _expanded(_kind_edges(kinds, threshold, least, None, block).unionByName(same), members)
+
+
+def top_edges(values: DataFrame, threshold: float = 0.8, most: int = 100, least: int = 3, block: int | None = None) -> DataFrame:
+    """The `most` strongest pairs of genes with |r| from the threshold on.
+
+    Each task keeps its strongest `most`. A pair of kinds ranks by its smallest pair of genes, so the first `most` pairs of
+    kinds hold the first `most` pairs of genes, and of a kind its `most` + 1 smallest genes suffice.
+    """
+    kinds, members = _profiles(values)
+    order = [F.round(F.abs("r"), 9).desc(), "a", "b"]
+    apart = _kind_edges(kinds, threshold, least, most, block).select("a", "b", "n", "r", F.col("b").alias("to"))
+    same = _alike(kinds, members, least).select(F.col("kind").alias("a"), F.col("second").alias("b"), "n", F.lit(1.0).alias("r"), F.col("kind").alias("to")).where(F.lit(threshold <= 1))
+    first = apart.unionByName(same).orderBy(*order).limit(most).select("a", F.col("to").alias("b"), "n", "r")
+    w = Window.partitionBy("kind").orderBy("gene")
+    few = members.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most + 1).drop("__r")
+    return _expanded(first, few).orderBy(*order).limit(most)
 
 
 def coexpressed(values: DataFrame, gene, threshold: float = 0.7, most: int = 20, least: int = 3) -> DataFrame:

@@ -404,7 +404,7 @@ query("bh_adjust", v.sql("SELECT gene, round(least(p * count(*) OVER () / row_nu
 )
 query("coexpressed_with", v.sql("SELECT b.gene, count(*) AS n, round(coalesce(CASE WHEN isnan(corr(a.value, b.value)) THEN 0 ELSE corr(a.value, b.value) END, 0), 6) AS r FROM v_expr a JOIN v_expr b USING (sample) WHERE a.gene = 1 AND b.gene <> 1 GROUP BY b.gene HAVING count(*) >= 3", v.EXPRESSION))(lambda spark, d: E.correlated_with(v.expression(spark, d), 1).withColumn("r", r6("r")))
 query("coexpression_edges", v.sql("SELECT a, b, n, round(r, 6) AS r FROM (SELECT a.gene AS a, b.gene AS b, count(*) AS n, corr(a.value, b.value) AS r FROM v_expr a JOIN v_expr b ON a.sample = b.sample AND a.gene < b.gene GROUP BY 1, 2 HAVING count(*) >= 8) WHERE abs(r) >= 0.95", v.EXPRESSION))(
-    lambda spark, d: E.correlations(v.expression(spark, d), 8).where(F.abs("r") >= 0.95).withColumn("r", r6("r"))
+    lambda spark, d: E.edges(v.expression(spark, d), 0.95, 8).withColumn("r", r6("r"))
 )
 query("tissue_tau", v.sql("SELECT gene, round(tau, 6) AS tau, CASE WHEN tau >= 0.85 THEN 'Highly tissue-specific' WHEN tau >= 0.65 THEN 'Tissue-enhanced' WHEN tau >= 0.35 THEN 'Mixed/tissue-preferred' ELSE 'Housekeeping / broadly expressed' END AS pattern FROM (SELECT gene, CASE WHEN max(value) > 0 AND count(*) > 1 THEN (count(*) - CAST(sum(value) AS DOUBLE) / max(value)) / (count(*) - 1) ELSE 0 END AS tau FROM v_expr GROUP BY gene)", v.EXPRESSION))(
     lambda spark, d: E.tau(v.expression(spark, d)).withColumn("tau", r6("tau"))

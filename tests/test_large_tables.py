@@ -66,3 +66,26 @@ def test_annotation_of_repeated_ids_shuffles_no_pairs(spark, capsys):
     assert sorted(tuple(x) for x in df.collect()) == sorted(genic + [(i, c, x, g, p, far) for i, (far, g, c, x, p) in best.items()])
     df.explain("simple")
     assert "Window" not in capsys.readouterr().out
+
+
+def _expressed(spark, genes: int, samples: int, gone: float):
+    import random
+
+    r = random.Random(genes)
+    rows = {g: {s: float(r.randint(0, 9)) for s in range(samples) if r.random() >= gone} for g in range(genes)}
+    rows |= {g + 1000: rows[g] for g in range(0, genes, 3)}  # equal genes
+    rows[5000] = dict.fromkeys(range(samples), 4.0)  # without variance
+    return spark.createDataFrame([(g, s, x) for g, row in rows.items() for s, x in row.items()], "gene long, sample int, value double")
+
+
+def test_edges_equal_all_correlations(spark):
+    for genes, samples, gone in ((40, 6, 0.2), (90, 14, 0.5)):  # few classes of samples, and many
+        df = _expressed(spark, genes, samples, gone)
+        every = expression.correlations(df, 4).collect()
+        want = sorted((x.a, x.b, x.n, round(x.r, 9)) for x in every if abs(x.r) >= 0.7)
+        for block in (None, 16):
+            assert sorted((x.a, x.b, x.n, round(x.r, 9)) for x in expression.edges(df, 0.7, 4, block).collect()) == want
+        ranked = sorted(((-round(abs(x[3]), 9), x[0], x[1]) for x in want))
+        for most in (3, 25):
+            got = [(-round(abs(x.r), 9), x.a, x.b) for x in expression.top_edges(df, 0.7, most, 4, 16).collect()]
+            assert got == ranked[:most]
