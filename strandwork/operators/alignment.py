@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -134,29 +135,34 @@ def search(queries: DataFrame, subjects: DataFrame, k: int = 11, most: int = 50,
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
 
 
+@lru_cache(1 << 10)  # a row of several functions folds a sequence more than once
 def fold(rna: str, hairpin: int = 3) -> tuple[str, int, float]:
     """Dot-bracket structure with the most pairs, their number, and an energy estimate."""
     s, n = rna.upper().replace("T", "U"), len(rna)
     pairs = {"AU", "UA", "GC", "CG", "GU", "UG"}
-    best = np.zeros((n + 1, n + 1), np.int32)
+    mates = [[k for k in range(i + hairpin + 1, n) if s[i] + s[k] in pairs] for i in range(n)]
+    best = [[0] * (n + 1) for _ in range(n + 1)]
     for d in range(hairpin + 1, n):
         for i in range(n - d):
-            j = i + d
-            top = best[i + 1, j]
-            for k in range(i + hairpin + 1, j + 1):
-                if s[i] + s[k] in pairs:
-                    top = max(top, 1 + best[i + 1, k - 1] + (best[k + 1, j] if k < j else 0))
-            best[i, j] = top
+            j, below = i + d, best[i + 1]
+            top = below[j]
+            for k in mates[i]:
+                if k > j:
+                    break
+                x = 1 + below[k - 1] + best[k + 1][j]
+                if x > top:
+                    top = x
+            best[i][j] = top
     out, todo = ["."] * n, [(0, n - 1)] if n else []
     while todo:
         i, j = todo.pop()
         if j - i <= hairpin:
             continue
-        if best[i, j] == best[i + 1, j]:
+        if best[i][j] == best[i + 1][j]:
             todo.append((i + 1, j))
             continue
-        for k in range(i + hairpin + 1, j + 1):
-            if s[i] + s[k] in pairs and best[i, j] == 1 + best[i + 1, k - 1] + (best[k + 1, j] if k < j else 0):
+        for k in mates[i]:
+            if best[i][j] == 1 + best[i + 1][k - 1] + best[k + 1][j]:
                 out[i], out[k] = "(", ")"
                 todo += [(i + 1, k - 1), (k + 1, j)]
                 break

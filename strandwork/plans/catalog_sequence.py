@@ -120,7 +120,8 @@ def rna_interactions(spark, d) -> DataFrame:
     """Energies of RNA pairs, kissing loops, stems and R-loops of the order keys as sequences."""
     from strandwork.operators import alignment as L
 
-    k = keys_as_dna(spark, d).select("id", "s", S.transcribe(F.concat("s", S.reverse_complement(F.col("s")))).alias("r"))
+    dealt = keys_as_dna(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # a small file is one task, and a row costs far more than its bytes
+    k = dealt.select("id", "s", S.transcribe(F.concat("s", S.reverse_complement(F.col("s")))).alias("r"))
     folded = k.withColumn("f", L.fold_column(F.col("r")))
     return folded.select("id", r6(L.rna_hybridize(F.col("r"), F.col("r"))).alias("energy"), L.kissing_loops(F.col("r"), F.col("r")).alias("kiss"), r6(L.r_loop(F.col("s"), F.col("r"))).alias("r_loop"), F.size(L.stems(F.col("f.structure"))).alias("stems"), F.col("f.pairs").alias("pairs"))
 

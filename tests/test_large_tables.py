@@ -89,3 +89,67 @@ def test_edges_equal_all_correlations(spark):
         for most in (3, 25):
             got = [(-round(abs(x.r), 9), x.a, x.b) for x in expression.top_edges(df, 0.7, most, 4, 16).collect()]
             assert got == ranked[:most]
+
+
+def test_primers_of_long_texts_copy_no_text(spark):
+    import random
+
+    from strandwork.operators.motifs import primers
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ACGT") for _ in range(n)) for n in (0, 30, 90, 700)]
+    rows = [(i, s, a, b) for i, s in enumerate(texts) for a, b in ((len(s) // 3, 2 * len(s) // 3),)]
+    df = primers(spark.createDataFrame(rows, "id long, s string, target_start int, target_end int"))
+    want = set()
+    for i, s, a, b in rows:
+        for side, starts in (("forward", range(max(a - 50, 0), a + 1)), ("reverse", range(b, b + 51))):
+            for x in starts:
+                for size in range(18, 26):
+                    if x + size <= len(s):
+                        p = s[x : x + size]
+                        p = p if side == "forward" else p.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+                        gc = sum(c in "GC" for c in p)
+                        if 55 <= 64.9 + 41 * (gc - 16.4) / size <= 65 and 40 <= gc * 100 / size <= 60:
+                            want.add((i, side, x, p))
+    assert {(x.id, x.side, x.start, x.primer) for x in df.collect()} == want and want
+    assert "substring(near" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_figures_of_texts_by_batch(spark):
+    from pyspark.sql import functions as F
+
+    from strandwork.functions import protein as P
+    from strandwork.functions import tables as T
+
+    texts = ["MKKLLDE", "A", "", None, "WWYCDEHKR" * 40]
+    df = spark.createDataFrame([(x,) for x in texts], "s string").select("s", P.instability_index(F.col("s")).alias("i"), P.isoelectric_point(F.col("s")).alias("pi"))
+    for s, i, pi in df.collect():
+        want = 10.0 * sum(T.INSTABILITY.get(s[k : k + 2], 1.0) for k in range(len(s) - 1)) / len(s) if s else None
+        assert i == want or abs(i - want) < 1e-9
+        if s:
+            q = 1 / (1 + 10 ** (pi - T.PKA_N_TERM)) - 1 / (1 + 10 ** (T.PKA_C_TERM - pi)) + sum(s.count(a) * (-1 / (1 + 10 ** (k - pi)) if a in "DECY" else 1 / (1 + 10 ** (pi - k))) for a, k in T.PKA.items())
+            assert abs(q) < 1e-6
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from" not in plan and "aggregate(" not in plan  # no map of 400 pairs and no bisection per row
+
+
+def test_named_features_compute_no_others(spark):
+    from pyspark.sql import functions as F
+
+    from strandwork.functions import descriptors as D
+
+    df = spark.createDataFrame([("MKKLLDEAAWYRH" * 4,)], "s string")
+    some = ["AAC_A", "PC_gravy", "CTD_charge_C3", "DPC_AA"]
+    few = df.select(D.all_features(F.col("s"), some).alias("f"))
+    every = df.select(D.all_features(F.col("s")).alias("f")).first().f
+    assert {k: few.first().f[k] for k in some} == {k: every[k] for k in some}
+    assert len(every) > 300 and len(few.first().f) < 150
+
+
+def test_folding_is_remembered_and_dealt_to_tasks(spark):
+    from strandwork.operators import alignment
+    from strandwork.plans import catalog
+
+    assert alignment.fold("GGGAAACCC")[:2] == ("(((...)))", 3)
+    assert alignment.fold.cache_info().maxsize
+    assert catalog.QUERIES["rna_interactions"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
