@@ -81,14 +81,19 @@ def te_classes(df: DataFrame) -> DataFrame:
 
 
 def primers(templates: DataFrame, flank: int = 50, sizes: tuple[int, int] = (18, 25), tm: tuple[float, float] = (55.0, 65.0), gc: tuple[float, float] = (40.0, 60.0)) -> DataFrame:
-    """Forward and reverse primer candidates around [target_start, target_end) of (id, s): every start in the flanks, every size."""
-    size = F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1])))
-    t = templates.withColumn("size", size)
-    places = F.sequence(F.greatest(F.col("target_start") - flank, F.lit(0)), F.greatest(F.col("target_start"), F.lit(0)))
-    ahead = t.select("id", "s", "size", F.lit("forward").alias("side"), F.explode(places).alias("start"))
-    back = t.select("id", "s", "size", F.lit("reverse").alias("side"), F.explode(F.sequence(F.col("target_end"), F.col("target_end") + flank)).alias("start"))
-    c = ahead.unionByName(back).where(F.col("start") + F.col("size") <= F.length("s"))
-    piece = F.substring("s", F.col("start") + 1, F.col("size"))
+    """Forward and reverse primer candidates around [target_start, target_end) of (id, s): every start in the flanks, every size.
+
+    The flanks are cut from the text first, so places and sizes multiply some flank + size letters, not the whole text.
+    """
+    s, reach = F.col("s"), flank + sizes[1]
+    sides = F.array(
+        F.struct(F.lit("forward").alias("side"), F.greatest(F.col("target_start") - flank, F.lit(0)).alias("first"), F.greatest(F.col("target_start"), F.lit(0)).alias("last")),
+        F.struct(F.lit("reverse").alias("side"), F.col("target_end").alias("first"), (F.col("target_end") + flank).alias("last")),
+    )
+    t = templates.select("id", "s", F.explode(sides).alias("x")).select("id", "x.*", F.substring(s, F.col("x.first") + 1, F.lit(reach)).alias("near"))
+    c = t.select("id", "side", "first", "near", F.explode(F.sequence("first", "last")).alias("start")).select("id", "side", "first", "near", "start", F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1]))).alias("size"))
+    c = c.where(F.col("start") - F.col("first") + F.col("size") <= F.length("near"))
+    piece = F.substring("near", F.col("start") - F.col("first") + 1, F.col("size"))
     c = c.withColumn("primer", F.when(F.col("side") == "forward", piece).otherwise(reverse_complement(piece)))
     p = F.col("primer")
     share = count_of(p, "GC") * 100.0 / F.col("size")
