@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,17 +66,21 @@ def charge_at(s: Column, ph: Column | float) -> Column:
 
 
 def isoelectric_point(s: Column, rounds: int = 100) -> Column:
-    """Bisection of the charge over [0, 14], in one expression over the residue counts."""
-    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    """Bisection of the charge over [0, 14], for all texts of an Arrow batch at once; a null text has no charge and ends at 0."""
+    signs = [(aa, pk, -1.0 if aa in "DECY" else 1.0) for aa, pk in T.PKA.items()]
 
-    def search(n: Column) -> Column:
-        def halve(x: Column, _: Column) -> Column:
-            mid = (x["lo"] + x["hi"]) / 2.0
-            return F.when(_charge(lambda aa: n[aa], mid) > 0, pair(mid, x["hi"])).otherwise(pair(x["lo"], mid))
+    def run(texts):
+        n = [np.array([np.nan if t is None else t.count(aa) for t in texts]) for aa, *_ in signs]
+        lo, hi = np.zeros(len(texts)), np.full(len(texts), 14.0)
+        for _ in range(rounds):
+            mid = (lo + hi) / 2.0
+            charge = 1.0 / (1.0 + 10.0 ** (mid - T.PKA_N_TERM)) - 1.0 / (1.0 + 10.0 ** (T.PKA_C_TERM - mid))
+            for c, (_, pk, sign) in zip(n, signs):
+                charge = charge + sign / (1.0 + 10.0 ** (sign * (mid - pk))) * c
+            lo, hi = np.where(charge > 0, mid, lo), np.where(charge > 0, hi, mid)
+        return pd.Series((lo + hi) / 2.0)
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pair(F.lit(0.0), F.lit(14.0)), halve, lambda x: (x["lo"] + x["hi"]) / 2.0)
-
-    return let(F.struct(*(count_of(s, aa).alias(aa) for aa in T.PKA)), search)
+    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(s)
 
 
 def gravy(s: Column) -> Column:
@@ -101,9 +107,24 @@ def extinction_coefficient(s: Column) -> Column:
     return count_of(s, "W") * 5500.0 + count_of(s, "Y") * 1490.0 + count_of(s, "C") * 125.0
 
 
+def _pair_weights() -> np.ndarray:
+    out = np.ones((256, 256))
+    for k, x in T.INSTABILITY.items():
+        out[ord(k[0]), ord(k[1])] = x
+    return out
+
+
 def instability_index(s: Column) -> Column:
-    table = literal_map(T.INSTABILITY)
-    return F.try_divide(10.0 * F.aggregate(kmers(s, 2), F.lit(0.0), lambda a, p: a + F.coalesce(F.try_element_at(table, p), F.lit(1.0))), F.length(s))
+    """Ten times the sum of the neighbours' weights over the length: one lookup per pair, in Arrow batches, as a map of 400 pairs is searched in turn."""
+    weights = _pair_weights()
+
+    def one(text: str | None) -> float | None:
+        if not text:
+            return None
+        code = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+        return float(10.0 * weights[code[:-1], code[1:]].sum() / len(code))
+
+    return F.pandas_udf(lambda x: x.map(one), "double", F.PandasUDFType.SCALAR)(s)
 
 
 def residue_values(s: Column, values: dict[str, float], default: float | None = None) -> Column:
@@ -142,43 +163,38 @@ def autocorrelation(s: Column, values: dict[str, float], lag: int, geary: bool)
     return let(let(residue_values(s, values), lambda v: F.struct(v.alias("v"), _mean(v).alias("m"))), of)
 
 
-def ctd(s: Column) -> Column:
-    """Composition, transition and distribution descriptors as a map of 95 features."""
-
-    def one(prop: str, classes: tuple) -> Column:
-        code = F.regexp_replace(F.translate(s, "".join(classes), "".join(str(i + 1) * len(c) for i, c in enumerate(classes))), "[^123]", "")
-
-        def features(x: Column) -> Column:
-            c, n = x["c"], F.length(x["c"])
-            out = []
-            for k in "123":
-                out.append(F.struct(F.lit(f"{prop}_C{k}").alias("key"), F.coalesce(F.try_divide(count_of(c, k).cast("double"), n), F.lit(0.0)).alias("value")))
-            out.append(F.struct(F.lit(f"{prop}_T").alias("key"), F.coalesce(F.try_divide(x["t"].cast("double"), n - 1), F.lit(0.0)).alias("value")))
-            for k in "123":
-                where, m = x[f"p{k}"], F.size(x[f"p{k}"])
-                for name, place in (("D1", F.lit(0)), ("D25", F.floor(m / 4)), ("D50", F.floor(m / 2)), ("D75", F.floor(3 * m / 4)), ("D100", m - 1)):
-                    out.append(F.struct(F.lit(f"{prop}_{k}_{name}").alias("key"), F.coalesce(F.try_divide(F.get(where, place.cast("int")).cast("double"), n), F.lit(0.0)).alias("value")))
-            return F.array(*out)
-
-        def parts(c: Column) -> Column:
-            turns = F.size(F.filter(kmers(c, 2), lambda p: ~p.isin("11", "22", "33")))
-            letters = F.filter(F.split(c, ""), lambda y: y != "")
-            indexed = F.transform(letters, lambda y, i: F.struct(y.alias("y"), i.alias("i")))
-            places = lambda k: F.transform(F.filter(indexed, lambda e: e["y"] == k), lambda e: e["i"])
-            return F.struct(c.alias("c"), turns.alias("t"), *(places(k).alias(f"p{k}") for k in "123"))
-
-        return let(let(code, parts), features)
-
-    return F.map_from_entries(F.concat(*(one(p, c) for p, c in T.CTD.items())))
-
-
-def profile(s: Column) -> Column:
-    """The eleven physicochemical figures as a map."""
+def ctd(s: Column, properties: list[str] | None = None) -> Column:
+    """Composition, transition and distribution descriptors as a map of 95 features, or of those of some properties, in Arrow batches."""
+    tables = {}
+    for prop, classes in T.CTD.items():
+        if properties is None or prop in properties:
+            tables[prop] = np.zeros(256, np.uint8)
+            for k, letters in enumerate(classes, 1):
+                tables[prop][[ord(c) for c in letters]] = k
+
+    def one(text: str | None) -> dict[str, float]:
+        code, out = np.frombuffer((text or "").encode("ascii", "replace"), np.uint8), {}
+        for prop, table in tables.items():
+            c = table[code]
+            c = c[c > 0]
+            n, where = len(c), {k: np.flatnonzero(c == k) for k in (1, 2, 3)}
+            out |= {f"{prop}_C{k}": len(w) / n if n else 0.0 for k, w in where.items()}
+            out[f"{prop}_T"] = float((c[1:] != c[:-1]).sum() / (n - 1)) if n > 1 else 0.0
+            for k, w in where.items():
+                m = len(w)
+                out |= {f"{prop}_{k}_{name}": float(w[i] / n) if m else 0.0 for name, i in (("D1", 0), ("D25", m // 4), ("D50", m // 2), ("D75", 3 * m // 4), ("D100", m - 1))}
+        return out
+
+    return F.pandas_udf(lambda x: x.map(one), "map<string,double>", F.PandasUDFType.SCALAR)(s)
+
+
+def profile(s: Column, names: list[str] | None = None) -> Column:
+    """The eleven physicochemical figures as a map, or the named ones of them."""
     parts = {
         "length": F.length(s).cast("double"), "molecularWeight": molecular_weight(s), "isoelectricPoint": isoelectric_point(s), "aromaticity": aromaticity(s), "instabilityIndex": instability_index(s), "gravy": gravy(s),
         "aliphaticIndex": aliphatic_index(s), "bomanIndex": boman(s), "chargeAtPH7": charge_at(s, 7.0), "hydrophobicRatio": hydrophobic_ratio(s), "extinctionCoeff": extinction_coefficient(s),
     }
-    return F.create_map(*(x for k, v in parts.items() for x in (F.lit(k), v)))
+    return F.create_map(*(x for k, v in parts.items() if names is None or k in names for x in (F.lit(k), v)))
 
 
 def rgene_evidence(s: Column) -> Column:
