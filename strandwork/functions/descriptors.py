@@ -125,13 +125,29 @@ def _prefixed(head: str, m: Column) -> Column:
     return F.transform_keys(m, lambda k, _: F.concat(F.lit(head), k))
 
 
-def all_features(s: Column) -> Column:
-    """All descriptors as one flat map: composition, the first hundred dipeptides, classes, order, pseudo composition, autocorrelations and figures."""
+def all_features(s: Column, names: list[str] | None = None) -> Column:
+    """All descriptors as one flat map: composition, the first hundred dipeptides, classes, order, pseudo composition, autocorrelations and figures.
+
+    With names, only the groups that hold one of them are computed.
+    """
     n = F.greatest(F.length(s), F.lit(1)).cast("double")
-    aac = F.map_from_arrays(F.array(*map(F.lit, T.RESIDUES)), F.array(*(P.count_of(s, a) / n for a in T.RESIDUES)))
-    pairs = [a + b for a in T.RESIDUES for b in T.RESIDUES][:100]
-    dipeptides = let(composition(s, 2), lambda m: F.map_from_arrays(F.array(*map(F.lit, pairs)), F.transform(F.array(*map(F.lit, pairs)), lambda p: F.coalesce(F.try_element_at(m, p), F.lit(0)) / F.greatest(n - 1, F.lit(1.0)))))
-    return F.map_concat(_prefixed("AAC_", aac), _prefixed("DPC_", dipeptides), _prefixed("CTD_", P.ctd(s)), quasi_sequence_order(s), pseudo_composition(s), geary(s), moran(s), _prefixed("PC_", P.profile(s)))
+
+    def aac() -> Column:
+        return F.map_from_arrays(F.array(*map(F.lit, T.RESIDUES)), F.array(*(P.count_of(s, a) / n for a in T.RESIDUES)))
+
+    def dipeptides() -> Column:
+        pairs = [a + b for a in T.RESIDUES for b in T.RESIDUES][:100]
+        return let(composition(s, 2), lambda m: F.map_from_arrays(F.array(*map(F.lit, pairs)), F.transform(F.array(*map(F.lit, pairs)), lambda p: F.coalesce(F.try_element_at(m, p), F.lit(0)) / F.greatest(n - 1, F.lit(1.0)))))
+
+    def some(head: str) -> list[str] | None:
+        return None if names is None else [x.removeprefix(head) for x in names if x.startswith(head)]
+
+    classes = None if names is None else [p for p in T.CTD if any(x.startswith(f"{p}_") for x in some("CTD_"))]
+    groups = {
+        "AAC_": lambda: _prefixed("AAC_", aac()), "DPC_": lambda: _prefixed("DPC_", dipeptides()), "CTD_": lambda: _prefixed("CTD_", P.ctd(s, classes)), "QSO_": lambda: quasi_sequence_order(s),
+        "PAAC_": lambda: pseudo_composition(s), "Geary_": lambda: geary(s), "Moran_": lambda: moran(s), "PC_": lambda: _prefixed("PC_", P.profile(s, some("PC_"))),
+    }
+    return F.map_concat(*(make() for head, make in groups.items() if names is None or some(head)))
 
 
 def conjunction(a: Column, b: Column) -> Column:

@@ -92,11 +92,12 @@ query("pseudo_composition", v.sql(_with_lags("PAAC", "lambda", 0.05), v.PROTEIN,
 query("tripeptide_composition", v.sql("SELECT doc_id, t AS tripeptide, count(*) AS n, round(CAST(count(*) AS DOUBLE) / max(n), 6) AS fraction FROM (SELECT doc_id, length(s) - 2 AS n, substr(s, CAST(p + 1 AS INTEGER), 3) AS t FROM (SELECT doc_id, s, unnest(range(0, length(s) - 2)) AS p FROM v_prot WHERE length(s) > 4)) GROUP BY 1, 2", v.PROTEIN))(
     lambda spark, d: long_enough(spark, d).select("doc_id", (F.length("s") - 2).alias("len"), F.explode(D.composition(F.col("s"), 3)).alias("tripeptide", "n")).select("doc_id", "tripeptide", "n", r6(F.col("n") / F.col("len")).alias("fraction"))
 )
+_SHOWN = ["AAC_A", "PC_gravy", "CTD_charge_C3", "DPC_AA"]
 query("protein_features", v.sql(f"""SELECT doc_id, 'AAC_A' AS feature, round(CAST({n_of('A')} AS DOUBLE) / length(s), 6) AS value FROM v_prot WHERE length(s) > 4
     UNION ALL SELECT doc_id, 'PC_gravy', round({aa_total(T.HYDROPATHY)} / {ALL20}, 6) FROM v_prot WHERE length(s) > 4
     UNION ALL SELECT doc_id, 'CTD_charge_C3', round(CAST({n_of('HKR')} AS DOUBLE) / length(s), 6) FROM v_prot WHERE length(s) > 4
     UNION ALL SELECT doc_id, 'DPC_AA', round(CAST(len(list_filter(range(1, length(s)), lambda i: substr(s, CAST(i AS INTEGER), 2) = 'AA')) AS DOUBLE) / (length(s) - 1), 6) FROM v_prot WHERE length(s) > 4""", v.PROTEIN))(
-    lambda spark, d: long_enough(spark, d).select("doc_id", F.explode(D.all_features(F.col("s"))).alias("feature", "value")).where(F.col("feature").isin("AAC_A", "PC_gravy", "CTD_charge_C3", "DPC_AA")).select("doc_id", "feature", r6("value").alias("value"))
+    lambda spark, d: long_enough(spark, d).select("doc_id", F.explode(D.all_features(F.col("s"), _SHOWN)).alias("feature", "value")).where(F.col("feature").isin(_SHOWN)).select("doc_id", "feature", r6("value").alias("value"))
 )
 query("metal_binding_sites", v.sql("SELECT doc_id, CAST(p AS INTEGER) AS pos FROM v_res WHERE aa IN ('H', 'C', 'D', 'E', 'M')", v.PROTEIN, RESIDUES_SQL))(lambda spark, d: long_enough(spark, d).select("doc_id", F.explode(P.metal_binding(F.col("s"))).alias("pos")))
 
