@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandwork.llm._store import cut, drop_cut, join_hot
 
 ROUNDS = 60
+ONE_TASK = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,14 +41,24 @@ def _local(batches):
     yield pa.RecordBatch.from_arrays([pa.array(node[keep], pa.int64()), pa.array(root[keep], pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _whole(batches):
+    """Each node of all edges with its component's smallest."""
+    parts = [(np.array(x.column(0)), np.array(x.column(1))) for x in batches]
+    node, root = forest(*(np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*parts) if parts else ((), ()))))
+    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, small: int = 0) -> DataFrame:
     """(node, root) for every node of the edges (a, b: long): root is the component's smallest node.
 
+    At most `small` edges are settled in one task (16 bytes each), as every round takes several jobs and plans.
     Alternates large-star and small-star rounds. Minima are aggregated before the shuffle and joined back, those of hubs by
     broadcast, so the hub of a large component is no group of its own; edges inside one task shrink to a forest first.
     """
     table = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_local, "a long, b long"), "edges")
     seen, total = None, table.count()
+    if total <= small:
+        return table.repartition(1).mapInArrow(_whole, "node long, root long")
     for _ in range(ROUNDS):
         both = table.unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.llm._graph import bins, block_tasks, components, forest
-from strandwork.llm._store import cut, cuts, drop_since, join_hot
+from strandwork.llm._graph import ONE_TASK, bins, block_tasks, components, forest
+from strandwork.llm._store import cut, cuts, drop_cut, drop_since, join_hot
 from strandwork.llm._text import U64, Words, grams, mix, texts_of, trimmed
 
 N = 5
@@ -137,8 +137,15 @@ def _classes(sets: DataFrame) -> DataFrame:
     return cut(found.select(F.monotonically_increasing_id().alias("c"), "k1", "k2", "size", "first", "n", "sketch"), "classes")
 
 
+def _placed(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """c, root and sketch of each class: root is its component so far, at first itself."""
+    if roots is None:
+        return classes.select("c", F.col("c").alias("root"), "sketch")
+    return classes.select("c", "sketch").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "sketch")
+
+
 def _paths(rows: DataFrame, run: int, depth: int, picks: int) -> DataFrame:
-    """(key, c): each class under the tokens at the coordinates picked for its path (at depth 0, for the run)."""
+    """(key, parent, c, root): each class under the tokens at the coordinates picked for its path (at depth 0, for the run)."""
 
     def split(batches):
         for batch in batches:
@@ -146,7 +153,7 @@ def _paths(rows: DataFrame, run: int, depth: int, picks: int) -> DataFrame:
                 continue
             path = np.array(batch.column(0)).astype(np.int64).view(U64)
             c = np.array(batch.column(1))
-            s = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, SKETCH)
+            s = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, SKETCH)
             keys = []
             for p in range(picks):
                 if depth == 0:  # other coordinates in each run, as long as there are
@@ -155,9 +162,9 @@ def _paths(rows: DataFrame, run: int, depth: int, picks: int) -> DataFrame:
                     at = (mix(path, 1000 + p) % U64(SKETCH)).astype(np.int64)
                 token = s[np.arange(len(c)), at].astype(U64) | at.astype(U64) << U64(32)
                 keys.append(mix(mix(token, 5) ^ path, 7 + depth))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(np.array(batch.column(0)), picks), pa.int64()), pa.array(np.tile(c, picks), pa.int64())], names=["key", "parent", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(np.array(batch.column(0)), picks), pa.int64()), pa.array(np.tile(c, picks), pa.int64()), pa.array(np.tile(np.array(batch.column(2)), picks), pa.int64())], names=["key", "parent", "c", "root"])
 
-    return rows.select("path", "c", "sketch").mapInArrow(split, "key long, parent long, c long")
+    return rows.select("path", "c", "root", "sketch").mapInArrow(split, "key long, parent long, c long, root long")
 
 
 def _agreeing(threshold: float) -> int:
@@ -191,16 +198,15 @@ def _compare_sketches(tasks: DataFrame, least: int) -> DataFrame:
     return tasks.select("task", "key", "x", "y", "own", "c", "sketch").groupBy("task").applyInArrow(trimmed(compare), "a long, b long")
 
 
-def _run(classes: DataFrame, roots: DataFrame | None, run: int, picks: int, small: int, least: int) -> list[DataFrame]:
-    """Edges found by one run; with roots, in buckets of more than one component."""
-    out, level, depth = [], classes.select(F.lit(run).cast("long").alias("path"), "c", "sketch"), 0
+def _run(placed: DataFrame, run: int, picks: int, small: int, least: int) -> list[DataFrame]:
+    """Edges found by one run over classes (c, root, sketch) in buckets of more than one component.
+
+    A class meets its component once, before it takes its paths: as many rows as classes are joined, not as paths.
+    """
+    out, level, depth = [], placed.select(F.lit(run).cast("long").alias("path"), "c", "root", "sketch"), 0
     while True:
         keys = _paths(level, run, depth, picks)
-        if depth == 0 and roots is not None:
-            named = keys.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        else:
-            named = keys.withColumn("root", F.col("c"))
-        sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("parent").alias("parent")).where("size > 1 and lo <> hi")
+        sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("parent").alias("parent")).where("size > 1 and lo <> hi")
         if depth:
             sizes = sizes.join(parents, "parent")
         else:
@@ -212,19 +218,23 @@ def _run(classes: DataFrame, roots: DataFrame | None, run: int, picks: int, smal
         done = done if depth < DEPTH else F.lit(True)
         members = cut(join_hot(keys.select("key", "c"), sizes.where(done).select("key", "size"), ["key"], "size", total), "members")
         blocks = F.ceil(F.col("size") / F.lit(SKETCH_BLOCK))
-        tasks = block_tasks(members, "key", "c", blocks, bins(members.count(), 4096)).join(classes.select("c", "sketch"), "c")
+        tasks = block_tasks(members, "key", "c", blocks, bins(members.count(), 4096)).join(placed.select("c", "sketch"), "c")
         out.append(_compare_sketches(tasks, least))
         large = sizes.where(~done) if depth < DEPTH else None
         if large is None or large.isEmpty():
             return out
         parents = large.select(F.col("key").alias("parent"), F.col("size").alias("above"))
-        level = join_hot(keys.select("key", "c"), large.select("key", "size"), ["key"], "size", total).join(classes.select("c", "sketch"), "c").select(F.col("key").alias("path"), "c", "sketch")
+        level = join_hot(keys.select("key", "c"), large.select("key", "size"), ["key"], "size", total).join(placed, "c").select(F.col("key").alias("path"), "c", "root", "sketch")
         level, depth = cut(level, "level"), depth + 1
 
 
 def _audit(classes: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
     """Measured recall: of the pairs of a sample with all sketches that agree like the threshold, the share in one component."""
-    rows = classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "sketch")
+    return _recall(_placed(classes, roots), threshold, sample)
+
+
+def _recall(rows: DataFrame, threshold: float, sample: int) -> float:
+    """_audit() over classes (c, root, sketch)."""
     asked = rows.orderBy(F.xxhash64(F.lit(31), "c"), "c").limit(sample).collect()  # at most `sample` sketches
     if not asked:
         return 1.0
@@ -325,24 +335,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     sets = cut(_sets(docs, key, text, n), "sets")
     classes = _classes(sets)
     runs = max(1, math.ceil(math.log(1 - recall) / math.log((1 - threshold) ** picks)))
-    roots = edges = None
+    edges, placed = None, _placed(classes, None)
     for run in range(max(runs, SKETCH // picks)):
-        mark = cuts()
-        for found in _run(classes, roots, run, picks, small, _agreeing(threshold)):
+        mark, before = cuts(), placed
+        for found in _run(placed, run, picks, small, _agreeing(threshold)):
             edges = found if edges is None else edges.unionByName(found)
-        roots = cut(components(edges), "roots")
-        drop_since(mark, roots)
+        roots = cut(components(edges, ONE_TASK), "roots")
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if run + 1 >= runs and _audit(classes, roots, threshold, AUDIT) >= AUDITED:
+        placed = cut(_placed(classes, roots), "placed")
+        drop_since(mark, roots, placed)
+        drop_cut(before)
+        if run + 1 >= runs and _recall(placed, threshold, AUDIT) >= AUDITED:
             break
+    drop_cut(placed)
     sizes = roots.join(classes.select(F.col("c").alias("node"), "size"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("grams"))
     named = classes.select("c", "n", "first.row_id", "first.text_key")
     members = join_hot(roots.withColumnRenamed("node", "c"), sizes, ["root"], "members", roots.count()).join(named, "c")
     mark = cuts()
     exact = cut(_exact(cut(members, "members"), docs, key, text, n, threshold, block), "exact")
     links = exact.groupBy("c").agg(F.sum("links").alias("links"))
-    linked = components(exact.select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "c").withColumnRenamed("root", "class")
-    each = classes.select("k1", "k2", "size", "n", "c", "first").join(links, "c", "left").join(linked, "c", "left").withColumn("class", F.coalesce("class", "c"))
+    linked = components(exact.select(F.col("c").alias("a"), F.col("root").alias("b")), ONE_TASK).select(F.col("node").alias("c"), F.col("root").alias("class"))
+    links = links.join(linked, "c", "left")  # what has an edge has links
+    each = cut(classes.select("k1", "k2", "size", "n", "c", "first").join(links, "c", "left").withColumn("class", F.coalesce("class", "c")), "each")
     firsts = each.groupBy("class").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("classes"))
     each = join_hot(each.drop("first"), firsts, ["class"], "classes", classes.count())
     each = cut(each.select("k1", "k2", "size", "n", "head", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
