@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,28 +221,39 @@ def ld_pairs(geno: DataFrame, span: int, least: int = 4) -> DataFrame:
     return s.select("chrom", "pos", "pos2", "n", r2.alias("r2"), dprime.alias("dprime"))
 
 
+def _neighbours(pairs: DataFrame, site: DataFrame, span: int) -> DataFrame:
+    """(chrom, pos, next, far) of the sites that have a known pair with the next site: far holds pos2 and dprime of all their pairs.
+
+    Sites are put in order within bins of the span's width; the last one of a bin is followed by the first of the bin behind it, or by none within the span.
+    """
+    far = pairs.groupBy(*SITE).agg(F.collect_list(F.struct("pos2", "dprime")).alias("far"))
+    places = site.select(*SITE).distinct().withColumn("bin", F.floor(F.col("pos") / span).cast("long"))
+    heads = places.groupBy("chrom", (F.col("bin") - 1).alias("bin")).agg(F.min("pos").alias("head"))
+    rows = places.join(far, SITE, "left").withColumn("next", F.lead("pos").over(Window.partitionBy("chrom", "bin").orderBy("pos")))
+    rows = rows.where(F.col("far").isNotNull()).join(heads, ["chrom", "bin"], "left").withColumn("next", F.coalesce("next", "head"))
+    return rows.where(F.exists("far", lambda x: x["pos2"] == F.col("next"))).select(*SITE, "next", "far")
+
+
 def haplotype_blocks(pairs: DataFrame, site: DataFrame, strong: float = 0.98, recomb: float = 0.70, share: float = 0.95, span: int = 200_000) -> DataFrame:
     """Greedy blocks: a block grows while enough of its pairs are strong, few show recombination and it stays within `span`.
 
-    A chromosome is cut wherever no pair reaches over a gap between neighbouring sites, as no block can, so a task
-    scans one connected part, not a chromosome.
+    All pairs of a block are known, those of neighbouring sites too. So a chromosome falls into runs of sites that each
+    have a known pair with the next one; sites outside of runs reach no task, and a task scans many runs, one after another.
     """
-    near = pairs.where(F.col("pos2") - F.col("pos") <= span)
-    reach = site.select("chrom", "pos").join(near.groupBy("chrom", "pos").agg(F.max("pos2").alias("far")), SITE, "left")
+    known = F.col("dprime").isNotNull() & ~F.isnan("dprime")
+    near = pairs.where((F.col("pos") < F.col("pos2")) & (F.col("pos2") - F.col("pos") <= span) & known)
     order = Window.partitionBy("chrom").orderBy("pos")
-    before = F.max(F.greatest(F.coalesce("far", F.col("pos")), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    part = F.sum(F.when(before.isNull() | (before < F.col("pos")), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    parts = reach.withColumn("before", before).withColumn("part", part).select("chrom", "pos", "part")
+    rows = _neighbours(near, site, span).withColumn("before", F.lag("next").over(order))
+    first = F.when(F.col("before").eqNullSafe(F.col("pos")), None).otherwise(F.col("pos"))
+    rows = rows.withColumn("run", F.last(first, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def grow(g: pd.DataFrame) -> pd.DataFrame:
-        pos = sorted(set(g["pos"]))
-        known = {(int(a), int(b)): d for a, b, d in g[["pos", "pos2", "dprime"]].dropna().itertuples(index=False)}
+    def scan(pos: list[int], far: list[dict[int, float]]) -> list[tuple[int, int, int]]:
         out, i = [], 0
         while i < len(pos):
             n = hard = soft = 0
             end = i
             for j in range(i + 1, len(pos)):
-                found = [known.get((pos[a], pos[j])) for a in range(i, j)]
+                found = [far[a].get(pos[j]) for a in range(i, j)]
                 if None in found:
                     break
                 n, hard, soft = n + len(found), hard + sum(x >= strong for x in found), soft + sum(x <= recomb for x in found)
@@ -250,12 +261,31 @@ def haplotype_blocks(pairs: DataFrame, site: DataFrame, strong: float = 0.98, re
                     break
                 end = j
             if end > i:
-                out.append((g["chrom"].iloc[0], pos[i], pos[end], end - i + 1))
+                out.append((pos[i], pos[end], end - i + 1))
             i = end + 1
-        return pd.DataFrame(out, columns=["chrom", "start", "end", "n_sites"])
-
-    rows = parts.join(near.select("chrom", "pos", "pos2", "dprime"), SITE, "left")
-    return rows.groupBy("chrom", "part").applyInPandas(grow, "chrom string, start long, end long, n_sites long")
+        return out
+
+    def grow(batches):
+        run, pos, far, last = None, [], [], None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if (key := (row["chrom"], row["run"])) != run:
+                    out += [(run[0], *x) for x in scan([*pos, last], far)] if pos else []
+                    run, pos, far = key, [], []
+                pos.append(row["pos"])
+                far.append({x["pos2"]: x["dprime"] for x in row["far"]})
+                last = row["next"]
+            yield _blocks(out)
+        yield _blocks([(run[0], *x) for x in scan([*pos, last], far)] if pos else [])
+
+    rows = rows.select("chrom", "run", "pos", "next", "far").repartition("chrom", "run").sortWithinPartitions("chrom", "run", "pos")
+    return rows.mapInArrow(grow, "chrom string, start long, end long, n_sites long")
+
+
+def _blocks(rows: list[tuple[str, int, int, int]]) -> pa.RecordBatch:
+    kinds = (("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("n_sites", pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[k for k, _ in kinds])
 
 
 def haplotypes(geno: DataFrame, size: int) -> DataFrame:

@@ -153,3 +153,53 @@ def test_folding_is_remembered_and_dealt_to_tasks(spark):
     assert alignment.fold("GGGAAACCC")[:2] == ("(((...)))", 3)
     assert alignment.fold.cache_info().maxsize
     assert catalog.QUERIES["rna_interactions"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _blocks_of(pos, known, strong=0.98, recomb=0.70, share=0.95):
+    """The greedy blocks of one chromosome, from all its sites and the pairs known."""
+    out, i = [], 0
+    while i < len(pos):
+        n = hard = soft = 0
+        end = i
+        for j in range(i + 1, len(pos)):
+            found = [known.get((pos[a], pos[j])) for a in range(i, j)]
+            if None in found:
+                break
+            n, hard, soft = n + len(found), hard + sum(x >= strong for x in found), soft + sum(x <= recomb for x in found)
+            if hard < share * n or soft > (1 - share) * n:
+                break
+            end = j
+        if end > i:
+            out.append((pos[i], pos[end], end - i + 1))
+        i = end + 1
+    return out
+
+
+def test_haplotype_blocks_of_runs_equal_those_of_chromosomes(spark):
+    import random
+
+    from strandwork.operators.variants import haplotype_blocks
+
+    r = random.Random(11)
+    sites, pairs, want = [], [], set()
+    for chrom in ("a", "b", "c"):
+        pos = sorted(r.sample(range(1, 4000), 160))
+        dense = {"a": 0.3, "b": 0.9, "c": 1.0}[chrom]
+        known = {(x, y): r.choice([1.0, 1.0, 1.0, 0.99, 0.6]) if dense < 1 else 1.0 for i, x in enumerate(pos) for y in pos[i + 1 :] if y - x <= 300 and r.random() < dense}
+        sites += [(chrom, x) for x in pos]
+        pairs += [(chrom, x, y, d) for (x, y), d in known.items()] + [(chrom, pos[3], pos[4] + 5000, 1.0), (chrom, pos[7], 4001, None), (chrom, pos[9], 4002, float("nan"))]
+        near = {k: d for k, d in known.items() if k[1] - k[0] <= 200}
+        want |= {(chrom, *x) for x in _blocks_of(pos, near)}
+    got = haplotype_blocks(spark.createDataFrame(pairs, "chrom string, pos long, pos2 long, dprime double"), spark.createDataFrame([*sites, *sites[:5]], "chrom string, pos long"), span=200)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 40
+
+
+def test_haplotype_blocks_deal_no_lone_site_to_python(spark, capsys):
+    from strandwork.operators.variants import haplotype_blocks
+
+    lone = spark.range(20_000).selectExpr("'a' AS chrom", "id * 7 AS pos")
+    one = spark.createDataFrame([("a", 70, 77, 1.0)], "chrom string, pos long, pos2 long, dprime double")
+    df = haplotype_blocks(one, lone)
+    assert [tuple(x) for x in df.collect()] == [("a", 70, 77, 2)]
+    df.explain("simple")
+    assert "FlatMapGroupsInPandas" not in capsys.readouterr().out  # a site without pairs was a group of its own
