@@ -65,20 +65,30 @@ def charge_at(s: Column, ph: Column | float) -> Column:
     return _charge(lambda aa: count_of(s, aa), F.lit(ph) if isinstance(ph, float) else ph)
 
 
+def _batch_charge(n: dict[str, np.ndarray], ph: np.ndarray | float) -> np.ndarray:
+    """The charge of all texts of a batch, from their residue counts."""
+    charge = 1.0 / (1.0 + 10.0 ** (ph - T.PKA_N_TERM)) - 1.0 / (1.0 + 10.0 ** (T.PKA_C_TERM - ph))
+    for aa, pk in T.PKA.items():
+        sign = -1.0 if aa in "DECY" else 1.0
+        charge = charge + sign / (1.0 + 10.0 ** (sign * (ph - pk))) * n[aa]
+    return charge
+
+
+def _bisect(n: dict[str, np.ndarray], size: int, rounds: int) -> np.ndarray:
+    lo, hi = np.zeros(size), np.full(size, 14.0)
+    for _ in range(rounds):
+        mid = (lo + hi) / 2.0
+        up = _batch_charge(n, mid) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return (lo + hi) / 2.0
+
+
 def isoelectric_point(s: Column, rounds: int = 100) -> Column:
     """Bisection of the charge over [0, 14], for all texts of an Arrow batch at once; a null text has no charge and ends at 0."""
-    signs = [(aa, pk, -1.0 if aa in "DECY" else 1.0) for aa, pk in T.PKA.items()]
 
     def run(texts):
-        n = [np.array([np.nan if t is None else t.count(aa) for t in texts]) for aa, *_ in signs]
-        lo, hi = np.zeros(len(texts)), np.full(len(texts), 14.0)
-        for _ in range(rounds):
-            mid = (lo + hi) / 2.0
-            charge = 1.0 / (1.0 + 10.0 ** (mid - T.PKA_N_TERM)) - 1.0 / (1.0 + 10.0 ** (T.PKA_C_TERM - mid))
-            for c, (_, pk, sign) in zip(n, signs):
-                charge = charge + sign / (1.0 + 10.0 ** (sign * (mid - pk))) * c
-            lo, hi = np.where(charge > 0, mid, lo), np.where(charge > 0, hi, mid)
-        return pd.Series((lo + hi) / 2.0)
+        n = {aa: np.array([np.nan if t is None else t.count(aa) for t in texts]) for aa in T.PKA}
+        return pd.Series(_bisect(n, len(texts), rounds))
 
     return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(s)
 
@@ -108,25 +118,54 @@ def extinction_coefficient(s: Column) -> Column:
 
 
 def _pair_weights() -> np.ndarray:
-    out = np.ones((256, 256))
+    """Of all pairs of bytes, in whole hundredths: sums of doubles depend on their order and can miss a tie of the rounding."""
+    out = np.full((256, 256), 100, np.int64)
     for k, x in T.INSTABILITY.items():
-        out[ord(k[0]), ord(k[1])] = x
+        out[ord(k[0]), ord(k[1])] = round(100 * x)
     return out
 
 
+def _instability(code: np.ndarray, weights: np.ndarray) -> float:
+    return float(weights[code[:-1], code[1:]].sum() / 10.0 / len(code)) if len(code) else np.nan
+
+
 def instability_index(s: Column) -> Column:
     """Ten times the sum of the neighbours' weights over the length: one lookup per pair, in Arrow batches, as a map of 400 pairs is searched in turn."""
     weights = _pair_weights()
 
     def one(text: str | None) -> float | None:
-        if not text:
-            return None
-        code = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-        return float(10.0 * weights[code[:-1], code[1:]].sum() / len(code))
+        return _instability(np.frombuffer(text.encode("ascii", "replace"), np.uint8), weights) if text else None
 
     return F.pandas_udf(lambda x: x.map(one), "double", F.PandasUDFType.SCALAR)(s)
 
 
+def batch_figures(s: Column) -> Column:
+    """Struct of gravy, hydrophobic, charged, aliphatic, aromaticity, charge7, weight, pi and instability, as the functions above give them.
+
+    Each text is read once per batch, for the counts of its bytes and its pairs; the figures are sums over the batch's counts.
+    """
+    weights, names = _pair_weights(), ("gravy", "hydrophobic", "charged", "aliphatic", "aromaticity", "charge7", "weight", "pi", "instability")
+
+    def run(texts):
+        counts, unstable = np.full((len(texts), 256), np.nan), np.full(len(texts), np.nan)
+        for i, t in enumerate(texts):
+            if t is not None:
+                code = np.frombuffer(t.encode("ascii", "replace"), np.uint8)
+                counts[i], unstable[i] = np.bincount(code, minlength=256), _instability(code, weights)
+        n, size = {aa: counts[:, ord(aa)] for aa in T.RESIDUES}, counts.sum(axis=1)
+        total = lambda values: sum((n[aa] * v for aa, v in sorted(values.items()) if v), 0.0)
+        share = lambda letters: sum(n[aa] for aa in letters) / size
+        with np.errstate(invalid="ignore", divide="ignore"):  # a text without residues has null shares, as NaN is sent
+            aliphatic = np.where(size > 0, 100.0 * (n["A"] + 2.9 * n["V"] + 3.9 * (n["I"] + n["L"])) / size, 0.0)
+            out = (
+                total(T.HYDROPATHY) / sum(n[aa] for aa in T.HYDROPATHY), share(T.HYDROPHOBIC), np.where(size > 0, share("RKHDE"), 0.0), aliphatic, share(T.AROMATIC),
+                _batch_charge(n, 7.0), total(T.MASS) - (size - 1) * T.WATER, _bisect(n, len(texts), 100), unstable,
+            )
+        return pd.DataFrame(dict(zip(names, out)))
+
+    return F.pandas_udf(run, ", ".join(f"{x} double" for x in names), F.PandasUDFType.SCALAR)(s)
+
+
 def residue_values(s: Column, values: dict[str, float], default: float | None = None) -> Column:
     """The property along the sequence; unknown residues have the default or are left out."""
     table = literal_map(values)

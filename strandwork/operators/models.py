@@ -47,7 +47,7 @@ BUILT_IN = {
 }
 
 
-def _answer(scores: dict[str, Column]) -> Column:
+def answer(scores: dict[str, Column]) -> Column:
     """Struct of label, confidence and probabilities from log scores; the first label wins ties."""
     labels = list(scores)
     top = F.greatest(*scores.values()) if len(labels) > 1 else scores[labels[0]]
@@ -59,8 +59,8 @@ def _answer(scores: dict[str, Column]) -> Column:
     return F.struct(best.alias("label"), (1.0 / total).alias("confidence"), F.create_map(*(x for k in labels for x in (F.lit(k), weight[k] / total))).alias("probabilities"))
 
 
-def naive_bayes(features: list[Column], classes: dict) -> Column:
-    """classes: label -> (prior, means, variances)."""
+def bayes_scores(features: list[Column], classes: dict) -> dict[str, Column]:
+    """The log score of each class; classes: label -> (prior, means, variances)."""
     scores = {}
     for label, (prior, means, variances) in classes.items():
         score = F.lit(math.log(prior + 1e-10))
@@ -68,12 +68,17 @@ def naive_bayes(features: list[Column], classes: dict) -> Column:
             v = max(v, 1e-9)
             score = score - 0.5 * math.log(2 * math.pi * v) - (x - m) * (x - m) / (2 * v)
         scores[label] = score
-    return _answer(scores)
+    return scores
+
+
+def naive_bayes(features: list[Column], classes: dict) -> Column:
+    """classes: label -> (prior, means, variances)."""
+    return answer(bayes_scores(features, classes))
 
 
 def linear(features: list[Column], classes: dict) -> Column:
     """classes: label -> (bias, weights); softmax."""
-    return _answer({k: sum((x * w for x, w in zip(features, weights)), F.lit(float(bias))) for k, (bias, weights) in classes.items()})
+    return answer({k: sum((x * w for x, w in zip(features, weights)), F.lit(float(bias))) for k, (bias, weights) in classes.items()})
 
 
 def decision_tree(features: dict[str, Column], node: dict) -> Column:

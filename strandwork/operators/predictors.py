@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwork.functions import protein as P
 from strandwork.functions import sequence as S
-from strandwork.operators.models import BUILT_IN, naive_bayes
+from strandwork.operators.models import BUILT_IN, answer, bayes_scores
 
 
 def _share(s: Column, letters: str) -> Column:
@@ -49,14 +49,14 @@ def splice_features(s: Column, position: int | Column = 0, half: int = 10) -> li
 
 
 def enzyme_features(s: Column) -> list[Column]:
-    x = P.figures(s)
-    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), P.instability_index(s) / 100.0))
-    return [x["gravy"], x["hydrophobic"], x["aliphatic"], P.isoelectric_point(s), x["aromaticity"], x["charge7"], x["weight"], unit]
+    x = P.batch_figures(s)
+    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["instability"] / 100.0))
+    return [x["gravy"], x["hydrophobic"], x["aliphatic"], x["pi"], x["aromaticity"], x["charge7"], x["weight"], unit]
 
 
 def membrane_features(s: Column) -> list[Column]:
-    x = P.figures(s)
-    return [x["gravy"], x["hydrophobic"], _share(s, "RKHDE"), x["aliphatic"], x["aromaticity"], P.isoelectric_point(s)]
+    x = P.batch_figures(s)
+    return [x["gravy"], x["hydrophobic"], x["charged"], x["aliphatic"], x["aromaticity"], x["pi"]]
 
 
 def _of(d: Column, *names: str) -> list[Column]:
@@ -84,10 +84,15 @@ EXTRACTORS = {
 def predict(model: str, x: Column) -> Column:
     """Struct of label, confidence and probabilities of a built-in model, for a sequence, a protein or a descriptor struct.
 
-    The features are computed once per row.
+    The features and the scores are computed once per row.
     """
-    names = BUILT_IN[model][0]
-    return S.let(F.struct(*(c.cast("double").alias(n) for c, n in zip(EXTRACTORS[model](x), names))), lambda f: naive_bayes([f[n] for n in names], BUILT_IN[model][1]))
+    names, classes = BUILT_IN[model]
+
+    def of(f: Column) -> Column:
+        scores = bayes_scores([f[n] for n in names], classes)
+        return S.let(F.struct(*(c.alias(k) for k, c in scores.items())), lambda z: answer({k: z[k] for k in scores}))
+
+    return S.let(F.struct(*(c.cast("double").alias(n) for c, n in zip(EXTRACTORS[model](x), names))), of)
 
 
 def full_analysis(kind: str, x: Column) -> Column:

@@ -142,7 +142,7 @@ _SHARES = {"charged": "RKHDE", "hydro": T.HYDROPHOBIC, "aromatic": T.AROMATIC}
 @query("protein_predictions")
 def protein_predictions(spark, d) -> DataFrame:
     """Enzyme and membrane classes of the documents as proteins."""
-    p = v.protein(spark, d).where("length(s) > 4").select("doc_id", R.full_analysis("protein", F.col("s")).alias("x"))
+    p = v.protein(spark, d, least=5).select("doc_id", R.full_analysis("protein", F.col("s")).alias("x"))
     return p.select("doc_id", F.col("x.enzyme.label").alias("enzyme"), r6("x.enzyme.confidence").alias("enzyme_confidence"), F.col("x.membrane.label").alias("membrane"), r6("x.membrane.confidence").alias("membrane_confidence"))
 
 

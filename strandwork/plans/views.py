@@ -19,8 +19,14 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
 
 
-def protein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.upper(letters()), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("s"))
+RESIDUE = "ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy"
+
+
+def protein(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
+    """The documents' residues, of those with least residues: a pattern that stops at the last needed one finds them, as a filter on the length strips a text again."""
+    documents = table(spark, sf_dir, "documents")
+    documents = documents.where(F.col("text").rlike(f"(?:[{RESIDUE}][^{RESIDUE}]*+){{{least}}}")) if least else documents
+    return documents.select("doc_id", F.upper(F.regexp_replace("text", f"[^{RESIDUE}]+", "")).alias("s"))
 
 
 def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
